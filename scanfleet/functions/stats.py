@@ -61,9 +61,8 @@ def _select_ranks(base: DataFrame, keys: list[str], ranks: DataFrame, limit: int
     """Values at exact ranks of big groups: ``keys, _rank, _v``.
 
     Copies collapse to (value, count) first. While a group still has more than ``limit`` distinct values, a
-    mergeable quantile sketch brackets each wanted rank, the rows below the bracket are counted and only the rows
-    inside it stay: each round leaves about one row in fifty. The sketch only chooses brackets; a bracket that
-    misses its rank falls back to the full range, so the answer is always exact.
+    mergeable quantile sketch cuts it into about a hundred value ranges, the ranges are counted, and only the one
+    that holds the wanted rank stays. The sketch only chooses where to cut; counting is exact, so the answer is too.
     """
     vals = cut_lineage(base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w")))
     todo = cut_lineage(ranks.select(*keys, "_rank", F.lit(0).cast("long").alias("_below")))
@@ -73,16 +72,14 @@ def _select_ranks(base: DataFrame, keys: list[str], ranks: DataFrame, limit: int
         size = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
         if size <= limit:
             break
-        spread = rows.groupBy(*by).agg(
-            F.sum("_w").alias("_tot"), F.min("_below").alias("_b"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-            F.percentile_approx("_v", F.array(*[F.lit(i / 100.0) for i in range(101)]), F.lit(10_000)).alias("_cuts"),
+        cuts = rows.groupBy(*by).agg(
+            F.percentile_approx("_v", F.array(*[F.lit(i / 100.0) for i in range(101)]), F.lit(10_000)).alias("_cuts")
         )
-        # weights are counts, so locate the bracket from counted cuts rather than from the sketch's own ranks
-        cuts = spread.select(*by, "_tot", F.posexplode("_cuts").alias("_i", "_cut"))
         below = (
-            rows.join(spread.select(*by, "_cuts"), by)
+            rows.join(cuts, by)
             .withColumn("_i", F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))))
-            .groupBy(*by, "_i").agg(F.sum("_w").alias("_w"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.min("_below").alias("_b"))
+            .groupBy(*by, "_i")
+            .agg(F.sum("_w").alias("_w"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.min("_below").alias("_b"))
         )
         run = Window.partitionBy(*by).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
         hit = (
@@ -90,7 +87,6 @@ def _select_ranks(base: DataFrame, keys: list[str], ranks: DataFrame, limit: int
             .where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end")))
             .select(*by, "_lo", "_hi", F.col("_start").alias("_nb"))
         )
-        del cuts
         rows = cut_lineage(
             rows.join(hit, by).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
             .select(*by, "_v", "_w", F.col("_nb").alias("_below"))
