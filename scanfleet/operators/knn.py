@@ -27,7 +27,8 @@ BLOCK_LIMIT = 20_000
 #: Query locations of one block that share a task row.
 CHUNK = 256
 
-_ROWS = T.ArrayType(T.StructType([T.StructField("q", T.LongType()), T.StructField("id", T.LongType()), T.StructField("dist", T.DoubleType())]))
+_OUT = ("q", "id", "dist", "rx", "ry", "rz", "rank")
+_ROWS = T.StructType([T.StructField(c, T.ArrayType(T.LongType() if c in ("q", "id", "rank") else T.DoubleType())) for c in _OUT])
 
 
 def _depth(refs: DataFrame, k: int) -> int:
@@ -37,39 +38,54 @@ def _depth(refs: DataFrame, k: int) -> int:
 
 
 @F.pandas_udf(_ROWS)
-def _block_knn(qi: pd.Series, qx: pd.Series, qy: pd.Series, qz: pd.Series, ri: pd.Series, rx: pd.Series, ry: pd.Series, rz: pd.Series, k: pd.Series) -> pd.Series:
+def _block_knn(
+    qi: pd.Series, qx: pd.Series, qy: pd.Series, qz: pd.Series, ri: pd.Series, rx: pd.Series, ry: pd.Series, rz: pd.Series, k: pd.Series
+) -> pd.DataFrame:
     """k nearest references of every query location of a block, by distance then id."""
     out = []
     for qid, ax, ay, az, rid, bx, by, bz, kk in zip(qi, qx, qy, qz, ri, rx, ry, rz, k):
-        rid = np.asarray(rid)
-        d2 = (np.asarray(ax)[:, None] - np.asarray(bx)[None, :]) ** 2
-        d2 += (np.asarray(ay)[:, None] - np.asarray(by)[None, :]) ** 2
-        d2 += (np.asarray(az)[:, None] - np.asarray(bz)[None, :]) ** 2
+        d2 = (ax[:, None] - bx[None, :]) ** 2
+        d2 += (ay[:, None] - by[None, :]) ** 2
+        d2 += (az[:, None] - bz[None, :]) ** 2
         kk = min(int(kk), d2.shape[1])
-        rows = []
-        for q, row in zip(qid, d2):
-            # everything at or below the k-th distance, so ties are settled by id and not by memory order
-            near = np.flatnonzero(row <= np.partition(row, kk - 1)[kk - 1])
-            near = near[np.lexsort((rid[near], row[near]))][:kk]
-            rows.extend({"q": int(q), "id": int(i), "dist": float(d)} for i, d in zip(rid[near], np.sqrt(row[near])))
-        out.append(rows)
-    return pd.Series(out)
-
-
-def knn_join(queries: DataFrame, refs: DataFrame, k: int, depth: int | None = None, block_limit: int | None = None) -> DataFrame:
+        # everything at or below the k-th distance, so ties are settled by id and not by memory order
+        row, col = np.nonzero(d2 <= np.partition(d2, kk - 1, axis=1)[:, kk - 1 : kk])
+        order = np.lexsort((rid[col], d2[row, col], row))
+        row, col = row[order], col[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+        row, col, rank = row[rank <= kk], col[rank <= kk], rank[rank <= kk]
+        out.append((qid[row], rid[col], np.sqrt(d2[row, col]), bx[col], by[col], bz[col], rank))
+    return pd.DataFrame(out, columns=list(_OUT))
+
+
+def knn_join(
+    queries: DataFrame, refs: DataFrame, k: int, depth: int | None = None, block_limit: int | None = None, same: bool = False
+) -> DataFrame:
     """``scan_id, point_id, id, dist, rank`` (rank 1..k): the k nearest ``refs`` of each query in its scan.
 
     Both sides are ``scan_id, point_id, x, y, z``. Ties go to the lower reference id.
     """
+    spots, found = knn_locations(queries, refs, k, depth, block_limit, same)
+    at = queries.select("scan_id", "point_id", "x", "y", "z").join(spots, ["scan_id", "x", "y", "z"])
+    return at.join(found, ["scan_id", "q"]).select("scan_id", "point_id", "id", "dist", "rank")
+
+
+def knn_locations(
+    queries: DataFrame, refs: DataFrame, k: int, depth: int | None = None, block_limit: int | None = None, same: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The join before copies of a query location are told apart.
+
+    Returns the distinct query locations (``scan_id, q, x, y, z``) and their neighbours with coordinates
+    (``scan_id, q, id, dist, rx, ry, rz, rank``), so neighbourhood sums need no second join on points. ``same`` says that
+    both sides are one table.
+    """
     block_limit = BLOCK_LIMIT if block_limit is None else block_limit
     loc = ["scan_id", "x", "y", "z"]
-    copies = Window.partitionBy(*loc).orderBy("point_id")
-    kept = refs.select(*loc, F.col("point_id").alias("rid")).withColumn("_c", F.row_number().over(copies.orderBy(F.col("rid")))).where(F.col("_c") <= k).drop("_c")
-    kept = cut_lineage(kept)
     if depth is None:
-        depth = _depth(kept, k)
-
-    box = kept.select(*loc).union(queries.select(*loc)).groupBy("scan_id").agg(*[f(a).alias(f"{n}{a}") for n, f in (("l", F.min), ("h", F.max)) for a in "xyz"])
+        depth = _depth(refs, k)
+    edges = [f(a).alias(f"{n}{a}") for n, f in (("l", F.min), ("h", F.max)) for a in "xyz"]
+    every = refs.select(*loc) if same else refs.select(*loc).union(queries.select(*loc))
+    box = every.groupBy("scan_id").agg(*edges)
     size = F.greatest(*[F.col(f"h{a}") - F.col(f"l{a}") for a in "xyz"])
     box = box.select("scan_id", "lx", "ly", "lz", F.when(size > 0, size * (1 + 1e-9)).otherwise(F.lit(1.0)).alias("side"))
 
@@ -79,9 +95,10 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, depth: int | None = No
         return df.join(box, "scan_id").withColumns(idx)
 
     fine = ["fx", "fy", "fz"]
+    copies = Window.partitionBy(*loc).orderBy("rid")
+    kept = refs.select(*loc, F.col("point_id").alias("rid")).withColumn("_c", F.row_number().over(copies)).where(F.col("_c") <= k).drop("_c")
     ref = cut_lineage(placed(kept))
-    # one row per distinct query location; its number only has to be unique within the scan
-    spots = cut_lineage(placed(queries.select(*loc).distinct()).withColumn("q", F.monotonically_increasing_id()))
+    spots = ref.select(*loc, "lx", "ly", "lz", "side", *fine).distinct() if same else placed(queries.select(*loc).distinct())
 
     levels = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("lv")
     fine_counts = ref.groupBy("scan_id", *fine).agg(F.count(F.lit(1)).alias("n"))
@@ -92,11 +109,17 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, depth: int | None = No
     homes = spots.select("scan_id", *fine).distinct().select("scan_id", *fine, levels).select("scan_id", *fine, "lv", *_shift(fine, depth))
     homes = homes.join(counts.where(F.col("n") >= k), ["scan_id", "lv", "ci", "cj", "ck"]).groupBy("scan_id", *fine).agg(F.max("lv").alias("lv"))
     spots = spots.join(homes, ["scan_id"] + fine, "left").withColumn("lv", F.coalesce("lv", F.lit(0)))
-    spots = spots.select("scan_id", "q", "x", "y", "z", "lx", "ly", "lz", "side", "lv", *_shift(fine, depth))
+    spots = spots.select(*loc, "lx", "ly", "lz", "side", "lv", *_shift(fine, depth))
     block = ["scan_id", "lv", "ci", "cj", "ck"]
-    sizes = spots.groupBy(*block).agg(F.count(F.lit(1)).alias("_m"))
-    chunk = F.pmod(F.xxhash64("q"), F.ceil(F.col("_m") / CHUNK).cast("long"))
-    spots = cut_lineage(spots.join(sizes, block).withColumn("part", chunk).drop("_m"))
+    if same:
+        # each of the eight cells below holds fewer than k locations, or its locations would have gone deeper
+        spots = spots.withColumn("part", F.lit(0).cast("long"))
+    else:
+        sizes = spots.groupBy(*block).agg(F.count(F.lit(1)).alias("_m"))
+        chunk = F.pmod(F.xxhash64("x", "y", "z"), F.ceil(F.col("_m") / CHUNK).cast("long"))
+        spots = spots.join(sizes, block).withColumn("part", chunk).drop("_m")
+    # written once, so a location keeps its number wherever it is used
+    spots = cut_lineage(spots.withColumn("q", F.monotonically_increasing_id()))
 
     # cells that can hold one of the k nearest of any location of the block
     reach = F.col("side") / F.pow(F.lit(2.0), F.col("lv"))
@@ -127,20 +150,14 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, depth: int | None = No
     packed = ref_cells.groupBy("scan_id", "lv", "nci", "ncj", "nck").agg(F.collect_list(F.struct("rid", "x", "y", "z")).alias("_refs"))
     candidates = light.join(packed, ["scan_id", "lv", "nci", "ncj", "nck"]).groupBy(*block, "part").agg(F.flatten(F.collect_list("_refs")).alias("r"))
     asked = spots.groupBy(*block, "part").agg(F.collect_list(F.struct("q", "x", "y", "z")).alias("s"))
-    solved = asked.join(candidates, block + ["part"]).select(
-        "scan_id",
-        F.inline(_block_knn(*[F.col("s")[n] for n in ("q", "x", "y", "z")], *[F.col("r")[n] for n in ("rid", "x", "y", "z")], F.lit(k))),
-    )
-    found = solved.select("scan_id", "q", "id", "dist")
+    nearest = _block_knn(*[F.col("s")[n] for n in ("q", "x", "y", "z")], *[F.col("r")[n] for n in ("rid", "x", "y", "z")], F.lit(k))
+    solved = asked.join(candidates, block + ["part"]).select("scan_id", nearest.alias("o"))
+    found = solved.select("scan_id", F.inline(F.arrays_zip(*[F.col("o")[c].alias(c) for c in _OUT])))
     heavy = near.where(F.col("load") > block_limit).select(*block, "part").distinct()
     if not heavy.isEmpty():
         rest = spots.join(heavy, block + ["part"], "left_semi")
         found = found.union(_descend(rest, ref, counts, fine, depth, k, block_limit))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("scan_id", "q").orderBy("dist", "id")).cast("long"))
-    where = spots.select("scan_id", "q", "x", "y", "z")
-    return (
-        queries.select("scan_id", "point_id", "x", "y", "z").join(where, loc).join(ranked, ["scan_id", "q"]).select("scan_id", "point_id", "id", "dist", "rank")
-    )
+    return spots.select("scan_id", "q", "x", "y", "z"), found
 
 
 def _shift(fine: list[str], depth: int, prefix: str = "") -> list[Column]:
@@ -177,8 +194,8 @@ def _descend(spots: DataFrame, ref: DataFrame, counts: DataFrame, fine: list[str
         refs = ref.select("scan_id", *[F.shiftright(F.col(f), depth - lv).alias(c) for f, c in zip(fine, ("ci", "cj", "ck"))], "rid", F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"))
         pairs = ready.join(refs, ["scan_id", "ci", "cj", "ck"]).join(at.select(*q, "x", "y", "z"), q)
         d = vec.sub(vec.cols("x", "y", "z"), vec.cols("rx", "ry", "rz"))
-        pairs = pairs.select(*q, F.col("rid").alias("id"), vec.norm(d).alias("dist"))
-        best = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(*q).orderBy("dist", "id"))).where(F.col("_r") <= k).drop("_r")
+        pairs = pairs.select(*q, F.col("rid").alias("id"), vec.norm(d).alias("dist"), "rx", "ry", "rz")
+        best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*q).orderBy("dist", "id")).cast("long")).where(F.col("rank") <= k)
         done = best if done is None else done.union(best)
         if lv < depth and front.isEmpty():
             break
@@ -189,8 +206,8 @@ def self_knn(points: DataFrame, k: int, include_self: bool = False, depth: int |
     """k nearest other points of every point (or k including itself, which comes first)."""
     pts = points.select("scan_id", "point_id", "x", "y", "z")
     if include_self:
-        return knn_join(pts, pts, k, depth)
-    near = knn_join(pts, pts, k + 1, depth).where(F.col("id") != F.col("point_id"))
+        return knn_join(pts, pts, k, depth, same=True)
+    near = knn_join(pts, pts, k + 1, depth, same=True).where(F.col("id") != F.col("point_id"))
     w = Window.partitionBy("scan_id", "point_id").orderBy("dist", "id")
     return near.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
