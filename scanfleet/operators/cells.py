@@ -57,6 +57,12 @@ def _steps(cells, axes, connectivity, keys, n, fn):
     return cells
 
 
+def close_by(cells: DataFrame, axes: list[str], radius: str, keys: list[str]) -> DataFrame:
+    """Full-neighbourhood closing whose number of rounds is the column ``radius``, constant within a group."""
+    by = keys + [radius]
+    return _box(_box(cells, axes, by, F.col(radius), True), axes, by, F.col(radius), False).select(*keys, *axes)
+
+
 def close_cells(cells: DataFrame, axes: list[str], iterations: int, connectivity: str = "all", keys: list[str] | None = None) -> DataFrame:
     """``iterations`` dilations then as many erosions; a table of cells has no border to shrink from."""
     keys = keys or KEYS
@@ -69,7 +75,7 @@ def close_cells(cells: DataFrame, axes: list[str], iterations: int, connectivity
     return _steps(grown, axes, connectivity, keys, iterations, erode_cells)
 
 
-def _box(cells: DataFrame, axes: list[str], keys: list[str], r: int, grow: bool) -> DataFrame:
+def _box(cells: DataFrame, axes: list[str], keys: list[str], r, grow: bool) -> DataFrame:
     """``r`` rounds of the full neighbourhood at once: a (2r+1)-wide box, taken one axis at a time."""
     for a in axes:
         rest = [c for c in axes if c != a]

@@ -118,8 +118,9 @@ def oracle(names, body: str) -> str:
     """DuckDB SQL: the views used, as common table expressions, then ``body`` (which may start with more of them)."""
     ctes = [f"{n} AS ({view_sql(n, 'duckdb')})" for n in _closure(names)]
     body = body.strip()
-    if body[:5].upper() == "WITH ":
-        return "WITH " + ",\n".join(ctes + [body[5:]]) if ctes else body
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return head + ",\n".join(ctes + [body[len(head):]]) if ctes else body
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
 
 
