@@ -127,7 +127,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame, keys: list[str] | N
         return low.select(*keys, "a", F.col("_m").alias("b")).union(hang).where(F.col("a") != F.col("b")).distinct()
 
     def print_of(e: DataFrame):
-        return tuple(e.agg(F.count(F.lit(1)), F.sum("b"), F.sum(F.hash(*keys, "a", "b").cast("long"))).first())
+        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*keys, "a", "b")), F.bit_xor(F.hash(*keys, "a", "b"))).first())
 
     e = cut_lineage(edges.select(*keys, "a", "b").where(F.col("a") != F.col("b")))
     seen = print_of(e)

@@ -106,27 +106,33 @@ def plane_inliers(points: DataFrame, planes: DataFrame, distance: float = 0.03,
 
 
 def plane_frame(n) -> tuple[list[Column], list[Column]]:
-    """In-plane axes (u, v): v is as close to +Z as the plane allows, +Y for horizontal planes."""
-    n = vec.unit(n)
+    """Horizontal in-plane axis u of a unit normal, as (direction, length): across +Z for walls, across +Y for flat planes."""
     flat = F.abs(n[2]) > 0.99
-    ref = [F.lit(0.0), F.when(flat, F.lit(1.0)).otherwise(F.lit(0.0)), F.when(flat, F.lit(0.0)).otherwise(F.lit(1.0))]
-    v = vec.unit(vec.sub(ref, vec.scale(n, vec.dot(ref, n))))
-    return vec.unit(vec.cross(v, n)), v
+    zero = F.lit(0.0)
+    u = [F.when(flat, n[2]).otherwise(-n[1]), F.when(flat, zero).otherwise(n[0]), F.when(flat, -n[0]).otherwise(zero)]
+    return u, F.when(flat, F.hypot(n[2], n[0])).otherwise(F.hypot(n[0], n[1]))
 
 
 def wall_frame(n) -> tuple[list[Column], list[Column]]:
-    """(u, v) of a wall: u is horizontal, v completes the frame; a horizontal plane gets u = +X."""
-    u = [-n[1], n[0], F.lit(0.0)]
-    length = vec.norm(u)
+    """The same for walls only: a plane without horizontal direction gets u = +X."""
+    length = F.hypot(n[0], n[1])
     flat = length < 1e-9
-    u = [F.when(flat, F.lit(float(d))).otherwise(c / length) for c, d in zip(u, (1, 0, 0))]
-    return u, vec.unit(vec.cross(n, u))
+    u = [F.when(flat, F.lit(1.0)).otherwise(-n[1]), F.when(flat, F.lit(0.0)).otherwise(n[0]), F.lit(0.0)]
+    return u, F.when(flat, F.lit(1.0)).otherwise(length)
 
 
 def add_plane_frame(planes: DataFrame, frame=plane_frame) -> DataFrame:
-    """Planes with their in-plane axes as columns ux..vz, computed once per plane."""
-    u, v = frame(vec.cols("nx", "ny", "nz"))
-    return planes.withColumns({"ux": u[0], "uy": u[1], "uz": u[2], "vx": v[0], "vy": v[1], "vz": v[2]})
+    """Planes with in-plane axes ux..uz and vx..vz: u horizontal, v = n x u, as close to +Z (+Y if flat) as the plane allows.
+
+    Built in steps, so no step's expression repeats inside the next one's.
+    """
+    out = planes.withColumn("_l", vec.norm(vec.cols("nx", "ny", "nz")))
+    out = out.withColumns({f"_n{a}": F.col(f"n{a}") / F.col("_l") for a in "xyz"})
+    n = vec.cols("_nx", "_ny", "_nz")
+    u, length = frame(n)
+    out = out.withColumn("_h", length).withColumns({f"u{a}": c / F.col("_h") for a, c in zip("xyz", u)})
+    v = vec.cross(n, vec.cols("ux", "uy", "uz"))
+    return out.withColumns(dict(zip(("vx", "vy", "vz"), v))).drop("_l", "_h", "_nx", "_ny", "_nz")
 
 
 def plane_uv(points: DataFrame, planes: DataFrame, frame=plane_frame) -> DataFrame:
