@@ -19,23 +19,29 @@ AXIS = ["scan_id", "axis"]
 N, P = ("nx", "ny", "nz"), ("x", "y", "z")
 
 
-def rotation_columns(a, b) -> list[Column]:
-    """Row-major 3x3 of the shortest rotation taking unit vector a to unit vector b; half a turn when they oppose."""
-    v, c = vec.cross(a, b), vec.dot(a, b)
-    s2 = vec.dot(v, v)
-    k = 1.0 / F.when(1.0 + c < 1e-12, F.lit(1.0)).otherwise(1.0 + c)
-    skew = [F.lit(0.0), -v[2], v[1], v[2], F.lit(0.0), -v[0], -v[1], v[0], F.lit(0.0)]
+def add_rotation(df: DataFrame, a, b, prefix: str) -> DataFrame:
+    """Row-major 3x3 (``prefix0..prefix8``) of the shortest rotation from unit vector a to unit vector b.
+
+    Opposed vectors get half a turn about an axis perpendicular to a. Shared parts are columns of their own first, so
+    each of the nine entries stays small.
+    """
+    v = vec.cross(a, b)
     near_x = F.abs(a[0]) < 0.9
-    h = [F.when(near_x, F.lit(0.0)).otherwise(-a[2]), F.when(near_x, a[2]).otherwise(F.lit(0.0)), F.when(near_x, -a[1]).otherwise(a[0])]
-    h2 = vec.dot(h, h)
-    out = []
+    zero = F.lit(0.0)
+    h = [F.when(near_x, zero).otherwise(-a[2]), F.when(near_x, a[2]).otherwise(zero), F.when(near_x, -a[1]).otherwise(a[0])]
+    out = df.withColumns({f"_rv{i}": c for i, c in enumerate(v)} | {f"_rh{i}": c for i, c in enumerate(h)} | {"_rc": vec.dot(a, b)})
+    v, h, c = vec.cols("_rv0", "_rv1", "_rv2"), vec.cols("_rh0", "_rh1", "_rh2"), F.col("_rc")
+    out = out.withColumns({"_rs": vec.dot(v, v), "_rq": vec.dot(h, h), "_rk": 1.0 / F.when(1.0 + c < 1e-12, F.lit(1.0)).otherwise(1.0 + c)})
+    s2, k = F.col("_rs"), F.col("_rk")
+    skew = [zero, -v[2], v[1], v[2], zero, -v[0], -v[1], v[0], zero]
+    cols = {}
     for i in range(3):
         for j in range(3):
             eye = 1.0 if i == j else 0.0
             turn = F.lit(eye) * (1.0 - s2 * k) + skew[3 * i + j] + v[i] * v[j] * k
-            half = 2.0 * h[i] * h[j] / h2 - eye
-            out.append(F.when(F.sqrt(s2) < 1e-12, F.when(c > 0, F.lit(eye)).otherwise(half)).otherwise(turn))
-    return out
+            half = 2.0 * h[i] * h[j] / F.col("_rq") - eye
+            cols[f"{prefix}{3 * i + j}"] = F.when(F.sqrt(s2) < 1e-12, F.when(c > 0, F.lit(eye)).otherwise(half)).otherwise(turn)
+    return out.withColumns(cols).drop(*[f"_rv{i}" for i in range(3)], *[f"_rh{i}" for i in range(3)], "_rc", "_rs", "_rq", "_rk")
 
 
 def manhattan_axes(planes: DataFrame, points: DataFrame | None = None) -> DataFrame:
@@ -46,12 +52,13 @@ def manhattan_axes(planes: DataFrame, points: DataFrame | None = None) -> DataFr
     """
     fams = plane_families(planes, 10.0, 24)
     order = fams.select("scan_id", F.posexplode("fams").alias("o", "f"))
+    order = cut_lineage(order)
     key = F.struct((-F.col("f")["w"]).alias("w"), "o", F.col("f").alias("f"))
     first = order.groupBy("scan_id").agg(F.min(key)["f"].alias("a"))
     dot = F.col("f")["nx"] * F.col("a")["nx"] + F.col("f")["ny"] * F.col("a")["ny"] + F.col("f")["nz"] * F.col("a")["nz"]
     second = order.join(first, "scan_id").where(F.abs(dot) <= math.sin(math.radians(20.0))).groupBy("scan_id").agg(F.min(key)["f"].alias("b"))
     a = [F.col("a")[c] for c in N]
-    rows = first.join(second, "scan_id", "left").withColumns(dict(zip(("_x", "_y", "_z"), a)))
+    rows = cut_lineage(first.join(second, "scan_id", "left").withColumns(dict(zip(("_x", "_y", "_z"), a))))
     u = vec.cols("_x", "_y", "_z")
     near_x = F.abs(u[0]) < 0.9
     spare = [F.when(near_x, F.lit(0.0)).otherwise(-u[2]), F.when(near_x, u[2]).otherwise(F.lit(0.0)), F.when(near_x, -u[1]).otherwise(u[0])]
@@ -73,7 +80,7 @@ def manhattan_axes(planes: DataFrame, points: DataFrame | None = None) -> DataFr
 def normal_pole(points: DataFrame, axes: DataFrame, degrees: float = K.WALL_TOL_DEG, rounds: int = 4) -> DataFrame:
     """Each axis refined to the pole of the normals lying near its great circle, with whether enough of them did."""
     limit = math.sin(math.radians(degrees))
-    out = axes.withColumn("converged", F.lit(False))
+    out = cut_lineage(axes.withColumn("converged", F.lit(False)))
     n, a = vec.cols(*N), vec.cols("ax", "ay", "az")
     for _ in range(rounds):
         m = points.select("scan_id", *N).join(out, "scan_id").where(F.abs(vec.dot(n, a)) <= limit).groupBy(*AXIS).agg(*moments(*n)).where(F.col("n") >= 64)
@@ -186,7 +193,7 @@ def find_up(evidence: DataFrame, planes: DataFrame, hints: DataFrame | None = No
     e = evidence.join(hints, "scan_id", "left") if hints is not None else evidence.withColumns({c: F.lit(None).cast("double") for c in ("hx", "hy", "hz")})
     e = e.withColumn("_hint", vec.dot(vec.cols("ax", "ay", "az"), vec.cols("hx", "hy", "hz")))
     wide = e.where(F.col("cams") >= 8).groupBy("scan_id").agg(F.max("cam_spread").alias("_wide"))
-    e = e.join(wide, "scan_id", "left")
+    e = cut_lineage(e.join(wide, "scan_id", "left"))
     score = (
         K.W_BAND * F.abs("band") + K.W_FREE * F.abs("free") + K.W_CONTACT * F.greatest("low_contact", "high_contact")
         + F.when(F.col("_wide") > 0, K.W_CAMERA_AXIS * (1.0 - F.col("cam_spread") / F.col("_wide"))).otherwise(0.0) + F.coalesce(K.W_UP_HINT * F.abs("_hint"), F.lit(0.0))
@@ -209,6 +216,7 @@ def resolve_sign(best: DataFrame, planes: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_k"), F.min(F.struct("_h", "_w"))["_w"].alias("_wl"), F.max(F.struct("_h", "_w"))["_w"].alias("_wh")
     )
     rows = best.join(two, "scan_id", "left")
+    rows = cut_lineage(rows)
     el, eh = F.abs(F.col("cam_t") - F.col("lo") - K.CAMERA_HEIGHT_M), F.abs(F.col("hi") - F.col("cam_t") - K.CAMERA_HEIGHT_M)
     votes = {
         "hint": F.col("_hint"), "band": F.col("band"), "mass": F.col("free"), "contact": F.col("low_contact") - F.col("high_contact"),
@@ -260,8 +268,8 @@ def find_yaw(ups: DataFrame, planes: DataFrame) -> DataFrame:
     """Rotation about up that squares the walls with the axes (radians), from the fourfold circular mean of their directions."""
     rows = wall_planes(ups, planes, K.YAW_MIN_REL_WEIGHT)
     u, n = vec.cols("ux", "uy", "uz"), vec.cols(*N)
-    r = rotation_columns(u, [F.lit(0.0), F.lit(0.0), F.lit(1.0)])
-    rows = rows.withColumns({"_mx": vec.dot(r[0:3], n), "_my": vec.dot(r[3:6], n)}).where(F.hypot("_mx", "_my") >= 1e-9).withColumn("_t", 4.0 * F.atan2("_my", "_mx"))
+    rows = add_rotation(rows, u, [F.lit(0.0), F.lit(0.0), F.lit(1.0)], "_t")
+    rows = rows.withColumns({"_mx": vec.dot(vec.cols("_t0", "_t1", "_t2"), n), "_my": vec.dot(vec.cols("_t3", "_t4", "_t5"), n)}).where(F.hypot("_mx", "_my") >= 1e-9).withColumn("_t", 4.0 * F.atan2("_my", "_mx"))
     out = rows.groupBy("scan_id").agg(F.sum(F.col("_w") * F.sin("_t")).alias("_s"), F.sum(F.col("_w") * F.cos("_t")).alias("_c"), F.count(F.lit(1)).alias("walls"))
     out = ups.select("scan_id").join(out, "scan_id", "left").fillna(0.0, ["_s", "_c"]).fillna(0, ["walls"])
     none = F.abs("_s") + F.abs("_c") < 1e-12

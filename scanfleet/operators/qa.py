@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import vec
-from ..functions.linalg import moments  # noqa: F401  (re-exported for callers that pre-aggregate)
 from ..functions.stats import percentiles
 from ..session import cut_lineage
 from . import cells as cl
@@ -37,12 +36,12 @@ def coverage(points: DataFrame, scans: DataFrame, footprint: DataFrame, openings
 
     ``cells``: scan_id, cell. Only occupied and footprint cells become rows; wall probes are boundary cells times heights.
     """
-    box = points.groupBy("scan_id").agg(F.min("x").alias("_x"), F.min("y").alias("_y"), F.max("x").alias("_X"), F.max("y").alias("_Y"), F.max("z").alias("z_max"))
+    box = points.groupBy("scan_id").agg(F.min("x").alias("_x"), F.min("y").alias("_y"), F.max("x").alias("_x1"), F.max("y").alias("_y1"), F.max("z").alias("z_max"))
     c = F.col("cell")
     lat = box.join(cells, "scan_id").join(scans.select("scan_id", "floor_z", "ceiling_z"), "scan_id")
     lat = lat.withColumns({"x0": F.col("_x") - c, "y0": F.col("_y") - c})
-    lat = lat.withColumns({"ni": F.greatest(F.lit(2).cast("long"), F.ceil((F.col("_X") + c - F.col("x0")) / c)), "nj": F.greatest(F.lit(2).cast("long"), F.ceil((F.col("_Y") + c - F.col("y0")) / c))})
-    lat = cut_lineage(lat.drop("_x", "_y", "_X", "_Y"))
+    lat = lat.withColumns({"ni": F.greatest(F.lit(2).cast("long"), F.ceil((F.col("_x1") + c - F.col("x0")) / c)), "nj": F.greatest(F.lit(2).cast("long"), F.ceil((F.col("_y1") + c - F.col("y0")) / c))})
+    lat = cut_lineage(lat.drop("_x", "_y", "_x1", "_y1"))
     grid = lat.select("scan_id", "x0", "y0", "cell", "nj", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ni") - 1)).alias("i"))
     grid = grid.select("scan_id", "x0", "y0", "cell", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nj") - 1)).alias("j"))
     grid = grid.select("scan_id", "i", "j", (F.col("x0") + (F.col("i") + 0.5) * c).alias("x"), (F.col("y0") + (F.col("j") + 0.5) * c).alias("y"))

@@ -160,24 +160,25 @@ def _(fx):
     return op.detect_openings(fx.points, st.merge_duplicate_walls(fx.planes), fx.scans, 0.2, 20)
 
 
-# wide boxes and thin walls: the test apertures are the openings themselves on wall 5 (y = 0)
+# wide boxes and thin walls: the test apertures are the openings themselves, moved to wall 6
 def apertures_of(fx):
     o = fx.openings.where("opening_id % 5 = 0")
     c = F.col
     return o.select(
-        "scan_id", F.lit(5).cast("long").alias("plane_id"), c("opening_id").alias("label"), (c("cx") - c("width") / 2).alias("au"), (c("cx") + c("width") / 2).alias("bu"), (c("cz") - c("height") / 2).alias("av"), (c("cz") + c("height") / 2).alias("bv"),
+        "scan_id", F.lit(6).cast("long").alias("plane_id"), c("opening_id").alias("label"), (c("cx") - c("width") / 2).alias("au"), (c("cx") + c("width") / 2).alias("bu"), (c("cz") - c("height") / 2).alias("av"), (c("cz") + c("height") / 2).alias("bv"),
         F.lit(0.2).alias("res"), F.floor(c("width") / 0.2).alias("nw"), F.floor(c("height") / 0.2).alias("nh"), F.lit(0.015).alias("reveal_lo"),
     )
 
 
-_UVS = "uvs AS (SELECT p.scan_id, -ny * x AS u, z AS v, ny * y - plane_offset AS s FROM points p JOIN planes w ON w.scan_id = p.scan_id AND w.plane_id = 5)"
+_UVS = "uvs AS (SELECT p.scan_id, -ny * x AS u, z AS v, ny * y - plane_offset AS s FROM points p JOIN planes w ON w.scan_id = p.scan_id AND w.plane_id = 6)"
 
 
 @query("depth_evidence", ["points", "planes", "openings"], f"""WITH {_UVS}, a AS (SELECT scan_id, opening_id AS label, cx - width / 2 AS au, cx + width / 2 AS bu, cz - height / 2 AS av, cz + height / 2 AS bv, CAST(floor(width / 0.2e0) AS BIGINT) AS nw, CAST(floor(height / 0.2e0) AS BIGINT) AS nh FROM openings WHERE opening_id % 5 = 0),
-c AS (SELECT scan_id, label, nw, nh, floor((u - au) / 0.2e0) AS i, floor((v - av) / 0.2e0) AS j, bool_or(s > 0.08e0 AND s < 2.0e0) AS f, bool_or(s < -0.1e0) AS b FROM uvs JOIN a USING (scan_id) WHERE u BETWEEN au AND bu AND v BETWEEN av AND bv AND ((s > 0.08e0 AND s < 2.0e0) OR s < -0.1e0) GROUP BY ALL HAVING i < nw AND j < nh)
+h AS (SELECT scan_id, label, nw, nh, s, floor((u - au) / 0.2e0) AS i, floor((v - av) / 0.2e0) AS j FROM uvs JOIN a USING (scan_id) WHERE u BETWEEN au AND bu AND v BETWEEN av AND bv AND ((s > 0.08e0 AND s < 2.0e0) OR s < -0.1e0)),
+c AS (SELECT scan_id, label, nw, nh, i, j, bool_or(s > 0.08e0 AND s < 2.0e0) AS f, bool_or(s < -0.1e0) AS b FROM h WHERE i < nw AND j < nh GROUP BY 1, 2, 3, 4, 5, 6)
 SELECT scan_id, label, round(sum(f::INT) / (any_value(nw) * any_value(nh)), 6) AS front, round(sum(b::INT) / (any_value(nw) * any_value(nh)), 6) AS behind FROM c GROUP BY 1, 2""")
 def _(fx):
-    uvs = tr.plane_uv(fx.points, fx.planes.where("plane_id = 5"))
+    uvs = tr.plane_uv(fx.points, fx.planes.where("plane_id = 6"))
     return rounded(op.depth_evidence(uvs, apertures_of(fx)), "front", "behind").select("scan_id", "label", "front", "behind")
 
 
@@ -296,8 +297,8 @@ def _(fx):
 SELECT scan_id, cam_id, round(1 - x*x / (1 + z), 6) + 0.0e0 AS r0, round(-x*y / (1 + z), 6) + 0.0e0 AS r1, round(-x, 6) + 0.0e0 AS r2, round(y, 6) + 0.0e0 AS r7, round(z, 6) + 0.0e0 AS r8 FROM a""")
 def _(fx):
     c = fx.cameras.withColumn("_l", vec.norm(vec.cols("x", "y", "z"))).withColumns({f"_{a}": F.col(a) / F.col("_l") for a in "xyz"})
-    r = gr.rotation_columns(vec.cols("_x", "_y", "_z"), [F.lit(0.0), F.lit(0.0), F.lit(1.0)])
-    return c.select("scan_id", "cam_id", *[r6(r[i]).alias(f"r{i}") for i in (0, 1, 2)], r6(-r[5]).alias("r7"), r6(r[8]).alias("r8"))
+    c = gr.add_rotation(c, vec.cols("_x", "_y", "_z"), [F.lit(0.0), F.lit(0.0), F.lit(1.0)], "r")
+    return rounded(c, "r0", "r1", "r2", "r7", "r8").select("scan_id", "cam_id", "r0", "r1", "r2", "r7", "r8")
 
 
 @query("manhattan_axes", ["planes"], "SELECT scan_id, CAST(unnest([0, 1, 2]) AS BIGINT) AS axis, unnest([0e0, 0e0, -1e0]) AS ax, unnest([0e0, 1e0, 0e0]) AS ay, unnest([1e0, 0e0, 0e0]) AS az FROM planes GROUP BY scan_id")
