@@ -25,6 +25,12 @@ def local_session(cores: str = "8", app: str = "scanfleet") -> SparkSession:
     )
 
 
+def prepare(spark: SparkSession) -> None:
+    """Settings results depend on. A union that reports its children's partitioning can be zipped with a join side that
+    AQE has re-split, which fails at run time, so unions stay plain."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: the session's, or a temporary one where none is set."""
     path = spark.conf.get(_DIR_CONF, None)
@@ -41,6 +47,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     sizes to choose a strategy from. Iterative operators call this once per round.
     """
     spark = df.sparkSession
+    prepare(spark)
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
