@@ -268,7 +268,8 @@ def find_yaw(ups: DataFrame, planes: DataFrame) -> DataFrame:
     """Rotation about up that squares the walls with the axes (radians), from the fourfold circular mean of their directions."""
     rows = wall_planes(ups, planes, K.YAW_MIN_REL_WEIGHT)
     u, n = vec.cols("ux", "uy", "uz"), vec.cols(*N)
-    rows = add_rotation(rows, u, [F.lit(0.0), F.lit(0.0), F.lit(1.0)], "_t")
+    level = cut_lineage(add_rotation(ups.select("scan_id", "ux", "uy", "uz"), u, [F.lit(0.0), F.lit(0.0), F.lit(1.0)], "_t"))
+    rows = rows.join(level.drop("ux", "uy", "uz"), "scan_id")
     rows = rows.withColumns({"_mx": vec.dot(vec.cols("_t0", "_t1", "_t2"), n), "_my": vec.dot(vec.cols("_t3", "_t4", "_t5"), n)}).where(F.hypot("_mx", "_my") >= 1e-9).withColumn("_t", 4.0 * F.atan2("_my", "_mx"))
     out = rows.groupBy("scan_id").agg(F.sum(F.col("_w") * F.sin("_t")).alias("_s"), F.sum(F.col("_w") * F.cos("_t")).alias("_c"), F.count(F.lit(1)).alias("walls"))
     out = ups.select("scan_id").join(out, "scan_id", "left").fillna(0.0, ["_s", "_c"]).fillna(0, ["walls"])

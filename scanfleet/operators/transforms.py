@@ -30,17 +30,15 @@ def transform_points(points: DataFrame, transforms: DataFrame) -> DataFrame:
     joined = points.join(transforms.select("scan_id", "m"), "scan_id")
     rows, shift = _rows(F.col("m"))
     moved = _apply(rows, shift, vec.cols("x", "y", "z"))
-    new = dict(zip("xyz", moved))
+    out = joined.withColumns({f"_{a}": c for a, c in zip("xyz", moved)})
     if "nx" in points.columns:
         n = vec.cols("nx", "ny", "nz")
-        det = det3(rows)
-        turned = [
-            vec.dot(n, vec.cross(rows[1], rows[2])) / det,
-            vec.dot(n, vec.cross(rows[2], rows[0])) / det,
-            vec.dot(n, vec.cross(rows[0], rows[1])) / det,
-        ]
-        new.update(zip(("nx", "ny", "nz"), vec.unit(turned, 1e-300)))
-    return joined.withColumns(new).drop("m")
+        # the inverse transpose is the cofactor matrix over the determinant, whose sign alone survives renormalising
+        sides = [vec.cross(rows[1], rows[2]), vec.cross(rows[2], rows[0]), vec.cross(rows[0], rows[1])]
+        out = out.withColumns({f"_n{a}": vec.dot(n, c) for a, c in zip("xyz", sides)} | {"_det": F.signum(det3(rows))})
+        out = out.withColumn("_l", vec.norm(vec.cols("_nx", "_ny", "_nz"))).withColumns({f"n{a}": F.try_divide(F.col(f"_n{a}") * F.col("_det"), F.col("_l")) for a in "xyz"})
+        out = out.fillna(0.0, ["nx", "ny", "nz"]).drop("_nx", "_ny", "_nz", "_det", "_l")
+    return out.withColumns({a: F.col(f"_{a}") for a in "xyz"}).drop("_x", "_y", "_z", "m")
 
 
 def transform_mesh(vertices: DataFrame, faces: DataFrame, transforms: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,13 +60,12 @@ def transform_planes(planes: DataFrame, transforms: DataFrame) -> DataFrame:
     """Carry planes through a similarity: rotate the normal, move and scale the offset, scale the area."""
     joined = planes.join(transforms.select("scan_id", "m"), "scan_id")
     rows, shift = _rows(F.col("m"))
-    s = F.cbrt(F.abs(det3(rows)))
-    safe = F.when(s == 0, F.lit(1.0)).otherwise(s)
     n = vec.cols("nx", "ny", "nz")
-    normal = vec.unit([vec.dot(r, n) / safe for r in rows])
-    out = joined.withColumns({"_s": s, "_nx": normal[0], "_ny": normal[1], "_nz": normal[2]})
-    moved = F.col("_s") * F.col("plane_offset") + vec.dot(vec.cols("_nx", "_ny", "_nz"), shift)
-    new = {"plane_offset": moved, "nx": F.col("_nx"), "ny": F.col("_ny"), "nz": F.col("_nz")}
+    # in steps, so no expression repeats inside the next one's
+    out = joined.withColumns({"_s": F.cbrt(F.abs(det3(rows)))} | {f"_r{a}": vec.dot(r, n) for a, r in zip("xyz", rows)})
+    out = out.withColumn("_l", vec.norm(vec.cols("_rx", "_ry", "_rz")))
+    out = out.withColumns({f"n{a}": F.col(f"_r{a}") / F.col("_l") for a in "xyz"})
+    new = {"plane_offset": F.col("_s") * F.col("plane_offset") + vec.dot(vec.cols("nx", "ny", "nz"), shift)}
     if "area" in planes.columns:
         new["area"] = F.col("area") * F.col("_s") * F.col("_s")
     return out.withColumns(new).select(*planes.columns)
