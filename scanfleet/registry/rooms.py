@@ -386,7 +386,7 @@ def _(fx):
 _CARVE = """vox AS (SELECT scan_id, min(x) - 0.5e0 AS gx, min(y) - 0.5e0 AS gy, min(z) - 0.5e0 AS gz, CAST(ceil((max(x) - min(x) + 1.0e0) / 0.5e0) AS BIGINT) AS dx, CAST(ceil((max(y) - min(y) + 1.0e0) / 0.5e0) AS BIGINT) AS dy, CAST(ceil((max(z) - min(z) + 1.0e0) / 0.5e0) AS BIGINT) AS dz FROM points GROUP BY 1),
 sol AS (SELECT scan_id, CAST(floor((x - gx) / 0.5e0) AS BIGINT) AS i, CAST(floor((y - gy) / 0.5e0) AS BIGINT) AS j, CAST(floor((z - gz) / 0.5e0) AS BIGINT) AS k FROM points JOIN vox USING (scan_id) GROUP BY ALL HAVING count(*) >= 3),
 cm AS (SELECT scan_id, x AS ox, y AS oy, z AS oz, row_number() OVER (PARTITION BY scan_id ORDER BY cam_id) - 1 AS o, count(*) OVER (PARTITION BY scan_id) AS n FROM cameras),
-ry AS (SELECT p.scan_id, point_id, x, y, z, ox, oy, oz, gx, gy, gz, dx, dy, dz, sqrt((x-ox)*(x-ox) + (y-oy)*(y-oy) + (z-oz)*(z-oz)) AS len FROM points p JOIN cm ON cm.scan_id = p.scan_id AND cm.o = (point_id * 40503 + 12345) % n JOIN vox ON vox.scan_id = p.scan_id),
+ry AS (SELECT p.scan_id, point_id, x, y, z, ox, oy, oz, gx, gy, gz, dx, dy, dz, sqrt((x-ox)*(x-ox) + (y-oy)*(y-oy) + (z-oz)*(z-oz)) AS len FROM points p JOIN cm ON cm.scan_id = p.scan_id AND cm.o = ((point_id % 1000003) * 40503 + 12345) % n JOIN vox ON vox.scan_id = p.scan_id),
 sm AS (SELECT *, CAST(s AS DOUBLE) / (m - 1) AS t FROM (SELECT *, unnest(range(m)) AS s FROM (SELECT ry.*, CAST(least(greatest(ceil(max(len) OVER (PARTITION BY scan_id) / 0.5e0), 8), 384) AS BIGINT) AS m FROM ry))),
 ix AS (SELECT scan_id, point_id, s, CAST(floor((ox + t * (x - ox) - gx) / 0.5e0) AS BIGINT) AS i, CAST(floor((oy + t * (y - oy) - gy) / 0.5e0) AS BIGINT) AS j, CAST(floor((oz + t * (z - oz) - gz) / 0.5e0) AS BIGINT) AS k, dx, dy, dz FROM sm WHERE t <= least(greatest(1 - 0.25e0 / greatest(len, 1e-9), 0e0), 1e0)),
 st AS (SELECT scan_id, point_id, min(s) AS stop FROM ix JOIN sol USING (scan_id, i, j, k) GROUP BY 1, 2),
