@@ -144,8 +144,9 @@ def knn_locations(
 
     light = near.where(F.col("load") <= block_limit)
     wanted = light.select("scan_id", "lv", "nci", "ncj", "nck").distinct()
-    lv_used = light.select("lv").distinct()
-    ref_cells = ref.crossJoin(F.broadcast(lv_used)).select("scan_id", "lv", *_shift(fine, depth, prefix="n"), "rid", "x", "y", "z")
+    used = sorted(r["lv"] for r in light.select("lv").distinct().collect())  # at most depth + 1 small numbers
+    at_levels = F.explode(F.array(*[F.lit(v) for v in used]) if used else F.expr("CAST(array() AS array<int>)")).alias("lv")
+    ref_cells = ref.select("scan_id", *fine, "rid", "x", "y", "z", at_levels).select("scan_id", "lv", *_shift(fine, depth, prefix="n"), "rid", "x", "y", "z")
     ref_cells = ref_cells.join(wanted, ["scan_id", "lv", "nci", "ncj", "nck"], "left_semi")
     packed = ref_cells.groupBy("scan_id", "lv", "nci", "ncj", "nck").agg(F.collect_list(F.struct("rid", "x", "y", "z")).alias("_refs"))
     candidates = light.join(packed, ["scan_id", "lv", "nci", "ncj", "nck"]).groupBy(*block, "part").agg(F.flatten(F.collect_list("_refs")).alias("r"))
