@@ -13,22 +13,27 @@ import numpy as np
 import pyarrow as pa
 
 
+#: Texts whose chunks are held at a time.
+STEP = 64
+
+
 class ChunkStore:
     """Ids, as bytes of 32-bit integers, of the chunks seen so far."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int = 400_000):
         self.encode, self.limit, self.known = encode, limit, {}
 
-    def ids(self, texts: list[list[str]]) -> list[bytes]:
-        """The ids of each text, given as its chunks."""
-        if len(self.known) > self.limit:
-            self.known = {}
-        known, out, step = self.known, [], 64
-        for i in range(0, len(texts), step):
-            missing = list(set().union(*texts[i : i + step]).difference(known))
+    def ids(self, texts: list[str | None], chunks: Callable[[str], list[str]]) -> list[bytes]:
+        """The ids of each text. Chunks of a few texts at a time are held."""
+        out: list[bytes] = []
+        for i in range(0, len(texts), STEP):
+            if len(self.known) > self.limit:
+                self.known = {}
+            lists = [chunks(t) if t else [] for t in texts[i : i + STEP]]
+            missing = list(set().union(*lists).difference(self.known))
             if missing:
-                known.update(zip(missing, self.encode(missing)))
-            out += [b"".join(map(known.__getitem__, chunks)) for chunks in texts[i : i + step]]
+                self.known.update(zip(missing, self.encode(missing)))
+            out += [b"".join(map(self.known.__getitem__, x)) for x in lists]
         return out
 
 

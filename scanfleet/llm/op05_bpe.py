@@ -15,7 +15,7 @@ import json
 import os
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -148,7 +148,8 @@ class SegmentTreeBpe:
             put(row[has], prior[has], leaf(row[has], prior[has], left[has]))
             row = row[tree[row, 1] < NONE]
         kept = symbol[:, :size][alive].astype(np.int32)
-        return np.split(kept, np.cumsum(alive.sum(axis=1))[:-1])
+        ends = np.cumsum(alive.sum(axis=1)).tolist()
+        return [kept[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of normalised chunks without white space, each a sequence of words. \\0w before a chunk says that it is one word, \\0a that it is an
@@ -176,9 +177,8 @@ class SegmentTreeBpe:
             out += ["\0a" + part] if part in self.added else self.pieces(part) if part else []
         return out
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        lists = [self.chunks(t) if t else [] for t in texts]
-        return self.store.ids(lists)
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        return self.store.ids(texts, self.chunks)
 
     def decode(self, ids: np.ndarray) -> str:
         """Tokens with a space between, as a vocabulary without a decoder is read back."""
