@@ -8,19 +8,21 @@ Windows at or above the class's threshold are merged into one span, unless the r
 span lies inside a pattern's span.
 
 Null and empty texts have no spans. Repeated rows get equal spans. Texts of any length are read whole; memory is that
-of one Arrow batch. A column that already has the output's name is replaced.
+of one slice of an Arrow batch. A column that already has the output's name is replaced.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .registry import query, table
 
 KINDS = ("assign", "access", "hex", "entropy")
@@ -121,8 +123,9 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", clas
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     @F.arrow_udf(SPAN_TYPE)
-    def scan(texts: pa.Array) -> pa.Array:
-        return pa.array([spans_of(t.as_py() or "", ready, allowed) for t in texts], type=kind)
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in slices(batches):
+            yield pa.array([spans_of(t.as_py() or "", ready, allowed) for t in texts], type=kind)
 
     return docs.withColumn(out, scan(F.col(text)))
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .batches import slices
 from .chunks import ChunkStore
 from .registry import query, table
 
@@ -88,7 +89,7 @@ def pieces(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, end_id
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if file not in _loaded:
             _loaded[file] = DocumentIds(file)
-        for texts in batches:
+        for texts in slices(batches):
             offsets, rows = [0], []
             for ids in _loaded[file].ids(texts.to_pylist()):
                 for k, (start, part) in enumerate(cut(np.frombuffer(ids + end, dtype=np.int32), capacity)):

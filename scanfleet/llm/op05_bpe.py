@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .chunks import ChunkStore, id_lists
 from .registry import query, table
 
@@ -202,7 +203,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str | No
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        for texts in batches:
+        for texts in slices(batches):
             yield id_lists(bpe(file).encode(texts.to_pylist()))
 
     return docs.withColumn(out, ids(F.col(text)))
@@ -214,7 +215,7 @@ def decode(docs: DataFrame, ids: str = "ids", out: str = "decoded", path: str |
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for lists in batches:
+        for lists in slices(batches):
             values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             yield pa.array([bpe(file).decode(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], type=pa.string())
 

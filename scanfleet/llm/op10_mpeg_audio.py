@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .registry import query, table
 
 UNIT = 576
@@ -242,16 +243,13 @@ AUDIO_DDL = (
     "struct<payload:binary,frames:bigint,samples:bigint,sample_rate:int,seconds:double,variable:boolean,told_frames:bigint,toc:array<int>,"
     "offsets:array<bigint>,tags:map<string,string>,crc_good:bigint,crc_bad:bigint,resyncs:bigint,skipped:bigint>"
 )
-#: Rows that are turned at a time, within one Arrow batch.
-ROWS = 256
-
 
 def store(docs: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
     """``docs`` with ``out``: binary, the text's bytes as an MPEG stream."""
 
     @F.arrow_udf("binary")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in slices(batches):
             yield pa.array([write(payload_of(t.as_py())) for t in texts], type=pa.binary())
 
     return docs.withColumn(out, made(F.col(text)))
@@ -262,14 +260,11 @@ def parse(docs: DataFrame, media: str = "media", out: str = "audio") -> DataFram
 
     @F.arrow_udf(AUDIO_DDL)
     def parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for streams in batches:
-            parts = []
-            for i in range(0, len(streams), ROWS):
-                rows = [read(s.as_py()) for s in streams.slice(i, ROWS)]
-                for r in rows:
-                    r["tags"] = list(r["tags"].items())
-                parts.append(pa.array(rows, type=AUDIO))
-            yield pa.concat_arrays(parts) if parts else pa.array([], type=AUDIO)
+        for streams in slices(batches):
+            rows = [read(s.as_py()) for s in streams]
+            for r in rows:
+                r["tags"] = list(r["tags"].items())
+            yield pa.array(rows, type=AUDIO)
 
     return docs.withColumn(out, parsed(F.col(media)))
 
