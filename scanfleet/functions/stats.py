@@ -68,7 +68,7 @@ def _select_ranks(base: DataFrame, keys: list[str], ranks: DataFrame, limit: int
     todo = cut_lineage(ranks.select(*keys, "_rank", F.lit(0).cast("long").alias("_below")))
     by = keys + ["_rank"]
     rows = vals.join(todo, keys)
-    for _ in range(6):
+    while True:
         size = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
         if size <= limit:
             break

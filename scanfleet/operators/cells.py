@@ -106,7 +106,7 @@ def runs(cells: DataFrame, axes: list[str], keys: list[str] | None = None) -> Da
     ).drop("_grp")
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, keys: list[str] | None = None, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Smallest node id of each node's component: ``keys, id, component``.
 
     ``edges`` are (keys, a, b) and ``nodes`` (keys, id), ids LONG. Alternates the large-star and small-star
@@ -131,14 +131,12 @@ def connected_components(edges: DataFrame, nodes: DataFrame, keys: list[str] | N
 
     e = cut_lineage(edges.select(*keys, "a", "b").where(F.col("a") != F.col("b")))
     seen = print_of(e)
-    for _ in range(max_rounds):
+    while True:
         e = cut_lineage(small(large(e)))
         now = print_of(e)
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     root = e.groupBy(*keys, F.col("a").alias("id")).agg(F.min("b").alias("_root"))
     return nodes.select(*keys, "id").distinct().join(root, keys + ["id"], "left").select(*keys, "id", F.coalesce("_root", "id").alias("component"))
 

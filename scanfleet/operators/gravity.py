@@ -50,7 +50,7 @@ def manhattan_axes(planes: DataFrame, points: DataFrame | None = None) -> DataFr
     The heaviest family gives the first, the heaviest family within 20 degrees of perpendicular the second. Scans without
     planes use the spread of their normals, if ``points`` with normals are given.
     """
-    fams = plane_families(planes, 10.0, 24)
+    fams = plane_families(planes, 10.0)
     order = fams.select("scan_id", F.posexplode("fams").alias("o", "f"))
     order = cut_lineage(order)
     key = F.struct((-F.col("f")["w"]).alias("w"), "o", F.col("f").alias("f"))

@@ -1,10 +1,9 @@
-"""Exact k nearest neighbours as equi-joins on an adaptive grid.
+"""Exact k nearest neighbours by equi-joins on the leaves of k-d trees.
 
-Each scan's box is halved level by level. A location is looked up at the deepest level whose own cell still holds k
-references, so its k-th neighbour is no further than that cell's far corner, and every candidate lies in the few cells that
-ball touches. Dense regions therefore use small cells and sparse ones large cells: no radius is guessed and no round of
-doubling is needed. Work is done per block (the locations sharing a cell), whose candidate list is bounded; the rare block
-that borders a far denser region is finished location by location by descending into that region's cells.
+A scan's references are cut at medians, always across the widest spread, until a leaf holds about ``LEAF`` of them. Medians follow the
+points, so one stray return a hundred kilometres away costs one cut and neither empties nor overfills the other leaves. The cuts come from a sample of
+the scan; they decide how even the leaves are, never what is found. Leaves are packed once. Each query location first looks into its own leaf;
+only if the ball of its k-th distance crosses a cut does it visit the leaves behind that cut. A scan of up to one leaf has no tree at all.
 
 Copies collapse before anything else: at most k references per location can ever be among anyone's k nearest.
 """
@@ -15,200 +14,204 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import vec
 from ..session import cut_lineage
 
-#: Candidates one block may gather before its locations are finished one by one.
-BLOCK_LIMIT = 20_000
-#: Query locations of one block that share a task row.
-CHUNK = 256
+#: References of one leaf, and query locations of one leaf that share a task row.
+LEAF, CHUNK = 1024, 256
+#: References of a scan that its cuts are taken from, and the fewest of them that a leaf gets.
+SAMPLE, LEAF_SAMPLE = 262_144, 16
+#: Points of a scan that are led through its tree in one task.
+DEAL = 65_536
+#: Distances that a kernel holds at a time.
+DISTANCES = 1 << 22
 
 _OUT = ("q", "id", "dist", "rx", "ry", "rz", "rank")
 _ROWS = T.StructType([T.StructField(c, T.ArrayType(T.LongType() if c in ("q", "id", "rank") else T.DoubleType())) for c in _OUT])
 
 
-def _depth(refs: DataFrame, k: int) -> int:
-    """Levels to build: enough for the largest scan to come down to about k points per cell on a surface."""
-    biggest = refs.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    return int(min(max(math.ceil(math.log2(max(biggest / k, 2)) / 2) + 3, 3), 20))
-
-
 @F.pandas_udf(_ROWS)
 def _block_knn(
     qi: pd.Series, qx: pd.Series, qy: pd.Series, qz: pd.Series, ri: pd.Series, rx: pd.Series, ry: pd.Series, rz: pd.Series, k: pd.Series
 ) -> pd.DataFrame:
-    """k nearest references of every query location of a block, by distance then id."""
+    """k nearest references of every query location of a leaf, by distance then id."""
     out = []
     for qid, ax, ay, az, rid, bx, by, bz, kk in zip(qi, qx, qy, qz, ri, rx, ry, rz, k):
-        d2 = (ax[:, None] - bx[None, :]) ** 2
-        d2 += (ay[:, None] - by[None, :]) ** 2
-        d2 += (az[:, None] - bz[None, :]) ** 2
-        kk = min(int(kk), d2.shape[1])
-        # everything at or below the k-th distance, so ties are settled by id and not by memory order
-        row, col = np.nonzero(d2 <= np.partition(d2, kk - 1, axis=1)[:, kk - 1 : kk])
-        order = np.lexsort((rid[col], d2[row, col], row))
-        row, col = row[order], col[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
-        row, col, rank = row[rank <= kk], col[rank <= kk], rank[rank <= kk]
-        out.append((qid[row], rid[col], np.sqrt(d2[row, col]), bx[col], by[col], bz[col], rank))
+        step = max(1, DISTANCES // len(bx))
+        parts = [_nearest(qid[i : i + step], ax[i : i + step], ay[i : i + step], az[i : i + step], rid, bx, by, bz, int(kk)) for i in range(0, len(ax), step)]
+        out.append(tuple(np.concatenate(c) for c in zip(*parts)))
     return pd.DataFrame(out, columns=list(_OUT))
 
 
-def knn_join(
-    queries: DataFrame, refs: DataFrame, k: int, depth: int | None = None, block_limit: int | None = None, same: bool = False
-) -> DataFrame:
+def _nearest(qid, ax, ay, az, rid, bx, by, bz, k: int) -> tuple:
+    d2 = (ax[:, None] - bx[None, :]) ** 2
+    d2 += (ay[:, None] - by[None, :]) ** 2
+    d2 += (az[:, None] - bz[None, :]) ** 2
+    k = min(k, d2.shape[1])
+    # everything at or below the k-th distance, so ties are settled by id and not by memory order
+    row, col = np.nonzero(d2 <= np.partition(d2, k - 1, axis=1)[:, k - 1 : k])
+    order = np.lexsort((rid[col], d2[row, col], row))
+    row, col = row[order], col[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+    row, col, rank = row[rank <= k], col[rank <= k], rank[rank <= k]
+    return qid[row], rid[col], np.sqrt(d2[row, col]), bx[col], by[col], bz[col], rank
+
+
+def cuts(points: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray]:
+    """Axis and value of each cut of a balanced tree with at least ``leaves`` leaves, in heap order. A node that can't be cut sends all to the
+    left."""
+    depth = max(0, math.ceil(math.log2(leaves)))
+    axis, value = np.zeros((1 << depth) - 1, dtype=np.int64), np.full((1 << depth) - 1, np.inf)
+    held = {0: points}
+    for node in range(len(axis)):
+        here = held.pop(node)
+        left, right = here, here[:0]
+        if len(here) > 1:
+            # the spread of the middle nine tenths: strays don't choose the axis
+            low, high = np.percentile(here, [5, 95], axis=0)
+            for a in np.argsort(-(high - low), kind="stable"):
+                column = here[:, a]
+                at = np.median(column)
+                if at <= column.min():
+                    above = column[column > at]
+                    at = above.min() if len(above) else np.inf
+                if at < np.inf:
+                    axis[node], value[node] = a, at
+                    left, right = here[column < at], here[column >= at]
+                    break
+        if 2 * node + 1 < len(axis):
+            held[2 * node + 1], held[2 * node + 2] = left, right
+    return axis, value
+
+
+def leaf_of(points: np.ndarray, axis: np.ndarray, value: np.ndarray) -> np.ndarray:
+    node = np.zeros(len(points), dtype=np.int64)
+    for _ in range((len(axis) + 1).bit_length() - 1):
+        node = 2 * node + 1 + (points[np.arange(len(points)), axis[node]] >= value[node])
+    return node - len(axis)
+
+
+def leaves_within(points: np.ndarray, reach: np.ndarray, axis: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf) of every leaf that a point's ball touches."""
+    row, node = np.arange(len(points)), np.zeros(len(points), dtype=np.int64)
+    for _ in range((len(axis) + 1).bit_length() - 1):
+        with np.errstate(invalid="ignore"):
+            gap = points[row, axis[node]] - value[node]
+        left, right = (gap < 0) | (gap <= reach[row]), (gap >= 0) | (-gap <= reach[row]) & (value[node] < np.inf)
+        row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
+    return row, node - len(axis)
+
+
+def _trees(refs: DataFrame, sizes: DataFrame, leaf: int) -> DataFrame:
+    """scan_id, axis and value for each scan of more than one leaf, from a bounded sample of its references."""
+    big = sizes.where(F.col("n") > leaf)
+    share = F.pmod(F.xxhash64("x", "y", "z"), F.lit(1 << 20)) * F.col("n") < F.lit(float(SAMPLE) * (1 << 20))
+    sample = refs.join(big, "scan_id").where(share).select("scan_id", "n", "x", "y", "z")
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        leaves = min(math.ceil(pdf["n"].iloc[0] / leaf), max(1, len(pdf) // LEAF_SAMPLE))
+        axis, value = cuts(pdf[["x", "y", "z"]].to_numpy(), leaves)
+        return pd.DataFrame({"scan_id": [pdf["scan_id"].iloc[0]], "axis": [axis], "value": [value]})
+
+    return cut_lineage(sample.groupBy("scan_id").applyInPandas(build, "scan_id long, axis array<long>, value array<double>"))
+
+
+def _through(rows: DataFrame, trees: DataFrame, sizes: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn(rows, axis, value)`` on rows of scans with a tree, some ten thousand of a scan at a time."""
+    salts = sizes.join(trees.select("scan_id"), "scan_id").select("scan_id", F.ceil(F.col("n") / DEAL).cast("int").alias("salts"))
+    dealt = rows.join(salts, "scan_id").withColumn("salt", F.pmod(F.xxhash64("x", "y", "z"), F.col("salts")).cast("int")).drop("salts")
+    spread = trees.join(salts, "scan_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+    def led(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return fn(left, np.zeros(0, dtype=np.int64), np.zeros(0))
+        return fn(left, np.asarray(right["axis"].iloc[0], dtype=np.int64), np.asarray(right["value"].iloc[0], dtype=float))
+
+    return dealt.groupBy("scan_id", "salt").cogroup(spread.groupBy("scan_id", "salt")).applyInPandas(led, schema)
+
+
+def _solve(asked: DataFrame, packed: DataFrame, k: int) -> DataFrame:
+    """Rows of _OUT for query locations (scan_id, leaf, q, x, y, z) against the references of their leaf."""
+    sizes = asked.groupBy("scan_id", "leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("_parts"))
+    dealt = asked.join(sizes, ["scan_id", "leaf"]).withColumn("part", F.pmod(F.xxhash64("q"), F.col("_parts")))
+    rows = dealt.groupBy("scan_id", "leaf", "part").agg(F.collect_list(F.struct("q", "x", "y", "z")).alias("s")).join(packed, ["scan_id", "leaf"])
+    nearest = _block_knn(*[F.col("s")[n] for n in ("q", "x", "y", "z")], *[F.col("r")[n] for n in ("rid", "x", "y", "z")], F.lit(k))
+    return rows.select("scan_id", nearest.alias("o")).select("scan_id", F.inline(F.arrays_zip(*[F.col("o")[c].alias(c) for c in _OUT])))
+
+
+def knn_join(queries: DataFrame, refs: DataFrame, k: int, leaf: int | None = None, same: bool = False) -> DataFrame:
     """``scan_id, point_id, id, dist, rank`` (rank 1..k): the k nearest ``refs`` of each query in its scan.
 
     Both sides are ``scan_id, point_id, x, y, z``. Ties go to the lower reference id.
     """
-    spots, found = knn_locations(queries, refs, k, depth, block_limit, same)
+    spots, found = knn_locations(queries, refs, k, leaf, same)
     at = queries.select("scan_id", "point_id", "x", "y", "z").join(spots, ["scan_id", "x", "y", "z"])
     return at.join(found, ["scan_id", "q"]).select("scan_id", "point_id", "id", "dist", "rank")
 
 
-def knn_locations(
-    queries: DataFrame, refs: DataFrame, k: int, depth: int | None = None, block_limit: int | None = None, same: bool = False
-) -> tuple[DataFrame, DataFrame]:
+def knn_locations(queries: DataFrame, refs: DataFrame, k: int, leaf: int | None = None, same: bool = False) -> tuple[DataFrame, DataFrame]:
     """The join before copies of a query location are told apart.
 
     Returns the distinct query locations (``scan_id, q, x, y, z``) and their neighbours with coordinates
     (``scan_id, q, id, dist, rx, ry, rz, rank``), so neighbourhood sums need no second join on points. ``same`` says that
     both sides are one table.
     """
-    block_limit = BLOCK_LIMIT if block_limit is None else block_limit
+    leaf = max(LEAF if leaf is None else leaf, 4 * k)
     loc = ["scan_id", "x", "y", "z"]
-    if depth is None:
-        depth = _depth(refs, k)
-    edges = [f(a).alias(f"{n}{a}") for n, f in (("l", F.min), ("h", F.max)) for a in "xyz"]
-    every = refs.select(*loc) if same else refs.select(*loc).union(queries.select(*loc))
-    box = every.groupBy("scan_id").agg(*edges)
-    size = F.greatest(*[F.col(f"h{a}") - F.col(f"l{a}") for a in "xyz"])
-    box = box.select("scan_id", "lx", "ly", "lz", F.when(size > 0, size * (1 + 1e-9)).otherwise(F.lit(1.0)).alias("side"))
-
-    def placed(df: DataFrame) -> DataFrame:
-        top = float(2**depth)
-        idx = {f"f{a}": vec.clip(F.floor((F.col(a) - F.col(f"l{a}")) / F.col("side") * top), 0, int(top) - 1).cast("long") for a in "xyz"}
-        return df.join(box, "scan_id").withColumns(idx)
-
-    fine = ["fx", "fy", "fz"]
     copies = Window.partitionBy(*loc).orderBy("rid")
-    kept = refs.select(*loc, F.col("point_id").alias("rid")).withColumn("_c", F.row_number().over(copies)).where(F.col("_c") <= k).drop("_c")
-    ref = cut_lineage(placed(kept))
-    spots = ref.select(*loc, "lx", "ly", "lz", "side", *fine).distinct() if same else placed(queries.select(*loc).distinct())
-
-    levels = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("lv")
-    fine_counts = ref.groupBy("scan_id", *fine).agg(F.count(F.lit(1)).alias("n"))
-    counts = cut_lineage(
-        fine_counts.select("scan_id", *fine, "n", levels).select("scan_id", "lv", *_shift(fine, depth), "n").groupBy("scan_id", "lv", "ci", "cj", "ck").agg(F.sum("n").alias("n"))
-    )
-    # deepest level whose own cell holds k references, per occupied finest query cell
-    homes = spots.select("scan_id", *fine).distinct().select("scan_id", *fine, levels).select("scan_id", *fine, "lv", *_shift(fine, depth))
-    homes = homes.join(counts.where(F.col("n") >= k), ["scan_id", "lv", "ci", "cj", "ck"]).groupBy("scan_id", *fine).agg(F.max("lv").alias("lv"))
-    spots = spots.join(homes, ["scan_id"] + fine, "left").withColumn("lv", F.coalesce("lv", F.lit(0)))
-    spots = spots.select(*loc, "lx", "ly", "lz", "side", "lv", *_shift(fine, depth))
-    block = ["scan_id", "lv", "ci", "cj", "ck"]
-    if same:
-        # each of the eight cells below holds fewer than k locations, or its locations would have gone deeper
-        spots = spots.withColumn("part", F.lit(0).cast("long"))
-    else:
-        sizes = spots.groupBy(*block).agg(F.count(F.lit(1)).alias("_m"))
-        chunk = F.pmod(F.xxhash64("x", "y", "z"), F.ceil(F.col("_m") / CHUNK).cast("long"))
-        spots = spots.join(sizes, block).withColumn("part", chunk).drop("_m")
+    ranked = refs.select(*loc, F.col("point_id").alias("rid")).withColumn("_c", F.row_number().over(copies))
+    ref = cut_lineage(ranked.where(F.col("_c") <= k))
+    own = ref.where(F.col("_c") == 1).select(*loc) if same else queries.select(*loc).distinct().join(ref.select("scan_id").distinct(), "scan_id", "left_semi")
+    ref = ref.drop("_c")
     # written once, so a location keeps its number wherever it is used
-    spots = cut_lineage(spots.withColumn("q", F.monotonically_increasing_id()))
-
-    # cells that can hold one of the k nearest of any location of the block
-    reach = F.col("side") / F.pow(F.lit(2.0), F.col("lv"))
-    frac = [(F.col(a) - F.col(f"l{a}")) / reach - F.col(c) for a, c in zip("xyz", ("ci", "cj", "ck"))]
-    far = vec.dot(*[[F.greatest(f, 1.0 - f) for f in frac]] * 2)
-    bounds = spots.withColumns({"_r2": far, **{f"_g{a}": f for a, f in zip("xyz", frac)}})
-    span = bounds.groupBy(*block, "part").agg(
-        F.max("_r2").alias("r2"), *[f(f"_g{a}").alias(f"{n}{a}") for n, f in (("a", F.min), ("b", F.max)) for a in "xyz"]
-    )
-    n_off = 2
-    offs = F.array(*[
-        F.struct(*[F.lit(v).alias(f"o{a}") for a, v in zip("xyz", (i, j, m))])
-        for i in range(-n_off, n_off + 1) for j in range(-n_off, n_off + 1) for m in range(-n_off, n_off + 1)
-    ])
-    near = span.select("*", F.inline(offs))
-    gap = [F.greatest(F.col(f"o{a}") - F.col(f"b{a}"), F.col(f"a{a}") - (F.col(f"o{a}") + 1), F.lit(0.0)) for a in "xyz"]
-    near = near.where((vec.dot(gap, gap) <= F.col("r2") + 1e-9) | (F.col("lv") == 0)).select(
-        *block, "part", *[(F.col(c) + F.col(f"o{a}")).alias(f"n{c}") for c, a in zip(("ci", "cj", "ck"), "xyz")]
-    ).where(" AND ".join(f"n{c} >= 0 AND n{c} < shiftleft(1L, lv)" for c in ("ci", "cj", "ck")))
-    loads = near.join(counts.select("scan_id", "lv", *[F.col(c).alias(f"n{c}") for c in ("ci", "cj", "ck")], "n"), ["scan_id", "lv", "nci", "ncj", "nck"])
-    near = cut_lineage(loads.withColumn("load", F.sum("n").over(Window.partitionBy(*block, "part"))))
-
-    light = near.where(F.col("load") <= block_limit)
-    wanted = light.select("scan_id", "lv", "nci", "ncj", "nck").distinct()
-    used = sorted(r["lv"] for r in light.select("lv").distinct().collect())  # at most depth + 1 small numbers
-    at_levels = F.explode(F.array(*[F.lit(v) for v in used]) if used else F.expr("CAST(array() AS array<int>)")).alias("lv")
-    ref_cells = ref.select("scan_id", *fine, "rid", "x", "y", "z", at_levels).select("scan_id", "lv", *_shift(fine, depth, prefix="n"), "rid", "x", "y", "z")
-    ref_cells = ref_cells.join(wanted, ["scan_id", "lv", "nci", "ncj", "nck"], "left_semi")
-    packed = ref_cells.groupBy("scan_id", "lv", "nci", "ncj", "nck").agg(F.collect_list(F.struct("rid", "x", "y", "z")).alias("_refs"))
-    candidates = light.join(packed, ["scan_id", "lv", "nci", "ncj", "nck"]).groupBy(*block, "part").agg(F.flatten(F.collect_list("_refs")).alias("r"))
-    asked = spots.groupBy(*block, "part").agg(F.collect_list(F.struct("q", "x", "y", "z")).alias("s"))
-    nearest = _block_knn(*[F.col("s")[n] for n in ("q", "x", "y", "z")], *[F.col("r")[n] for n in ("rid", "x", "y", "z")], F.lit(k))
-    solved = asked.join(candidates, block + ["part"]).select("scan_id", nearest.alias("o"))
-    found = solved.select("scan_id", F.inline(F.arrays_zip(*[F.col("o")[c].alias(c) for c in _OUT])))
-    heavy = near.where(F.col("load") > block_limit).select(*block, "part").distinct()
-    if not heavy.isEmpty():
-        rest = spots.join(heavy, block + ["part"], "left_semi")
-        found = found.union(_descend(rest, ref, counts, fine, depth, k, block_limit))
-    return spots.select("scan_id", "q", "x", "y", "z"), found
-
-
-def _shift(fine: list[str], depth: int, prefix: str = "") -> list[Column]:
-    return [F.expr(f"shiftright({f}, {depth} - lv)").alias(f"{prefix}{c}") for f, c in zip(fine, ("ci", "cj", "ck"))]
-
-
-def _descend(spots: DataFrame, ref: DataFrame, counts: DataFrame, fine: list[str], depth: int, k: int, limit: int) -> DataFrame:
-    """Finish single locations next to much denser regions: open cells from the whole scan down, keeping per location
-    only those nearer than the k-th best far corner seen so far."""
-    q = ["scan_id", "q"]
-    at = spots.select(*q, "x", "y", "z", "lx", "ly", "lz", "side")
-    front = at.select(*q, F.lit(0).cast("long").alias("ci"), F.lit(0).cast("long").alias("cj"), F.lit(0).cast("long").alias("ck"))
-    kids = F.array(*[F.struct(*[F.lit(v).alias(f"d{c}") for c, v in zip(("ci", "cj", "ck"), b)]) for b in np.ndindex(2, 2, 2)])
-    done = None
-    for lv in range(1, depth + 1):
-        level = counts.where(F.col("lv") == lv).drop("lv")
-        rows = front.select(*q, "ci", "cj", "ck", F.inline(kids)).select(*q, *[(F.col(c) * 2 + F.col(f"d{c}")).alias(c) for c in ("ci", "cj", "ck")])
-        rows = rows.join(level, ["scan_id", "ci", "cj", "ck"]).join(at, q)
-        edge = F.col("side") / float(2**lv)
-        lo = [F.col(f"l{a}") + F.col(c) * edge for a, c in zip("xyz", ("ci", "cj", "ck"))]
-        below = [F.greatest(b - F.col(a), F.col(a) - (b + edge), F.lit(0.0)) for a, b in zip("xyz", lo)]
-        above = [F.greatest(F.abs(F.col(a) - b), F.abs(F.col(a) - (b + edge))) for a, b in zip("xyz", lo)]
-        rows = rows.withColumns({"_min": vec.dot(below, below), "_max": vec.dot(above, above)})
-        run = Window.partitionBy(*q).orderBy("_max").rangeBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumn("_have", F.sum("n").over(run))
-        whole = Window.partitionBy(*q)
-        rows = rows.withColumn("_cut", F.min(F.when(F.col("_have") >= k, F.col("_max"))).over(whole))
-        rows = rows.where(F.col("_cut").isNull() | (F.col("_min") <= F.col("_cut") * (1 + 1e-12)))
-        rows = cut_lineage(rows.withColumn("_load", F.sum("n").over(whole)).select(*q, "ci", "cj", "ck", "_load"))
-        if lv == depth:
-            ready = rows
-        else:
-            ready, front = rows.where(F.col("_load") <= max(limit // 10, 8 * k)), rows.where(F.col("_load") > max(limit // 10, 8 * k)).select(*q, "ci", "cj", "ck")
-        refs = ref.select("scan_id", *[F.shiftright(F.col(f), depth - lv).alias(c) for f, c in zip(fine, ("ci", "cj", "ck"))], "rid", F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"))
-        pairs = ready.join(refs, ["scan_id", "ci", "cj", "ck"]).join(at.select(*q, "x", "y", "z"), q)
-        d = vec.sub(vec.cols("x", "y", "z"), vec.cols("rx", "ry", "rz"))
-        pairs = pairs.select(*q, F.col("rid").alias("id"), vec.norm(d).alias("dist"), "rx", "ry", "rz")
-        best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*q).orderBy("dist", "id")).cast("long")).where(F.col("rank") <= k)
-        done = best if done is None else done.union(best)
-        if lv < depth and front.isEmpty():
-            break
-    return done
-
-
-def self_knn(points: DataFrame, k: int, include_self: bool = False, depth: int | None = None) -> DataFrame:
+    spots = cut_lineage(own.withColumn("q", F.monotonically_increasing_id()))
+    sizes = cut_lineage(ref.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n")))
+    trees = _trees(ref, sizes, leaf)
+    if trees.isEmpty():
+        packed = ref.withColumn("leaf", F.lit(0).cast("long")).groupBy("scan_id", "leaf").agg(F.collect_list(F.struct("rid", "x", "y", "z")).alias("r"))
+        return spots, _solve(spots.withColumn("leaf", F.lit(0).cast("long")), packed, k)
+
+    def placed(rows: DataFrame, number: str) -> DataFrame:
+        def into(pdf: pd.DataFrame, axis: np.ndarray, value: np.ndarray) -> pd.DataFrame:
+            return pdf[["scan_id", "x", "y", "z", number]].assign(leaf=leaf_of(pdf[["x", "y", "z"]].to_numpy(), axis, value) if len(pdf) else [])
+
+        many = rows.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
+        cut = _through(rows, trees, many, into, f"scan_id long, x double, y double, z double, {number} long, leaf long")
+        whole = rows.join(trees.select("scan_id"), "scan_id", "left_anti").select(*loc, number, F.lit(0).cast("long").alias("leaf"))
+        return cut_lineage(cut.union(whole))
+
+    ref, spots_at = placed(ref, "rid"), placed(spots, "q")
+    packed = cut_lineage(ref.groupBy("scan_id", "leaf").agg(F.collect_list(F.struct("rid", "x", "y", "z")).alias("r")))
+    first = cut_lineage(_solve(spots_at, packed, k))
+    reach = first.where(F.col("rank") == k).select("scan_id", "q", F.col("dist").alias("reach"))
+    open_ = spots_at.join(trees.select("scan_id"), "scan_id", "left_semi").join(reach, ["scan_id", "q"], "left").withColumn("reach", F.coalesce(F.col("reach") * (1 + 1e-12), F.lit(float("inf"))))
+
+    def beyond(pdf: pd.DataFrame, axis: np.ndarray, value: np.ndarray) -> pd.DataFrame:
+        if not len(pdf):
+            return pdf[["scan_id", "leaf", "q", "x", "y", "z"]]
+        row, leaves = leaves_within(pdf[["x", "y", "z"]].to_numpy(), pdf["reach"].to_numpy(), axis, value)
+        more = leaves != pdf["leaf"].to_numpy()[row]
+        return pdf[["scan_id", "q", "x", "y", "z"]].iloc[row[more]].assign(leaf=leaves[more])[["scan_id", "leaf", "q", "x", "y", "z"]]
+
+    many = spots_at.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
+    other = cut_lineage(_through(open_, trees, many, beyond, "scan_id long, leaf long, q long, x double, y double, z double"))
+    second = _solve(other, packed, k)
+    unsettled = other.select("scan_id", "q").distinct()
+    order = Window.partitionBy("scan_id", "q").orderBy("dist", "id")
+    both = first.join(unsettled, ["scan_id", "q"], "left_semi").union(second)
+    merged = both.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    return spots, first.join(unsettled, ["scan_id", "q"], "left_anti").union(merged)
+
+
+def self_knn(points: DataFrame, k: int, include_self: bool = False, leaf: int | None = None) -> DataFrame:
     """k nearest other points of every point (or k including itself, which comes first)."""
     pts = points.select("scan_id", "point_id", "x", "y", "z")
     if include_self:
-        return knn_join(pts, pts, k, depth, same=True)
-    near = knn_join(pts, pts, k + 1, depth, same=True).where(F.col("id") != F.col("point_id"))
+        return knn_join(pts, pts, k, leaf, same=True)
+    near = knn_join(pts, pts, k + 1, leaf, same=True).where(F.col("id") != F.col("point_id"))
     w = Window.partitionBy("scan_id", "point_id").orderBy("dist", "id")
     return near.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 

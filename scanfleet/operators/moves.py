@@ -205,9 +205,22 @@ def track_level(scored: DataFrame) -> DataFrame:
     return scored.select(*key).distinct().join(worst, key, "left").select(*key, "track_level_range_m", blame.alias("blamed_beat"))
 
 
+def with_track_problem(scored: DataFrame) -> DataFrame:
+    """Scored beats where the blamed beat of each move on track (``on_track``) also names the uneven floor."""
+    key = ["scan_id", "move_id"]
+    uneven = track_level(scored.where("on_track")).where(F.col("blamed_beat").isNotNull())
+    said = F.format_string("floor under the track varies by %.0f mm and needs cribbing", F.col("track_level_range_m") * 1000)
+    joined = scored.join(uneven, key, "left")
+    problems = F.when(F.col("beat") == F.col("blamed_beat"), F.concat("problems", F.array(said))).otherwise(F.col("problems"))
+    return joined.withColumn("problems", problems).select(*scored.columns)
+
+
 def first_problem(scored: DataFrame) -> DataFrame:
-    """Per move: whether it works and, if not, the first beat that fails, where and why. Moves have few beats."""
+    """Per move: whether it works and, if not, the first beat that fails, where and why. Moves have few beats. A move on track also fails where the
+    floor under it is too uneven."""
     key = ["scan_id", "move_id"]
+    if "on_track" in scored.columns:
+        scored = with_track_problem(scored)
     bad = F.size("problems") > 0
     first = F.min(F.when(bad, F.struct("beat", "t", "problems", "x", "y", "z")))
     ends = {n: f(F.struct("beat", "x", "y", "z")) for n, f in (("_a", F.min), ("_b", F.max))}

@@ -274,7 +274,3 @@ def occupied_at(queries: DataFrame, voxels: DataFrame, grids: DataFrame) -> Data
     hit = voxels.select("scan_id", "i", "j", "k", F.lit(True).alias("_hit"))
     rows = voxel_coords(queries, grids).join(hit, ["scan_id", "i", "j", "k"], "left")
     return rows.select(*queries.columns, (F.col("inside") & F.coalesce(F.col("_hit"), F.lit(False))).alias("occupied"))
-
-
-def arc_window(keys: list[str], order: str):
-    return Window.partitionBy(*keys).orderBy(order)

@@ -115,6 +115,7 @@ def beats_of(fx):
     return beats.select(
         "scan_id", "move_id", "beat", "t", "x", "y", "z", "sx", "sy", "sz", "subject_height_m", "focal_mm", F.lit(K.DEFAULT_SENSOR).alias("sensor"),
         F.when(F.col("move_id") % 3 == 0, "handheld").when(F.col("move_id") % 3 == 1, "baby-legs").alias("gear"),
+        (F.col("move_id") % 2 == 0).alias("on_track"),
     )
 
 
@@ -142,15 +143,22 @@ def _(fx):
     return rounded(out, "distance_m", "clearance_m", "headroom_m").select("scan_id", "move_id", "beat", "distance_m", "gear_fits", "visible", "surveyed", "clearance_m", "headroom_m", "n_problems")
 
 
-@query("first_problem", FLOOR_VIEWS + ["moves"], f"""WITH {_SCORED}, e AS (SELECT scan_id, move_id, count(*) AS beats, min(CASE WHEN n_problems > 0 THEN t END) AS bad_t, min(dist) AS lo, max(dist) AS hi, bool_or(surveyed) AS any_surveyed FROM scored GROUP BY 1, 2)
+_LEVEL = """l AS (SELECT scan_id, move_id, max(floor_rise_m) - min(floor_rise_m) AS rng, quantile_cont(floor_rise_m, 0.5) AS mid FROM scored WHERE floor_rise_m IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2),
+w AS (SELECT s.scan_id, s.move_id, l.rng, s.beat, row_number() OVER (PARTITION BY s.scan_id, s.move_id ORDER BY abs(floor_rise_m - mid) DESC, beat) AS rn
+ FROM scored s JOIN l USING (scan_id, move_id) WHERE floor_rise_m IS NOT NULL)"""
+
+
+@query("first_problem", FLOOR_VIEWS + ["moves"], f"""WITH {_SCORED}, {_LEVEL},
+t AS (SELECT s.*, n_problems > 0 OR w.beat IS NOT NULL AS bad FROM scored s
+ LEFT JOIN w ON w.scan_id = s.scan_id AND w.move_id = s.move_id AND w.beat = s.beat AND w.rn = 1 AND w.rng > 0.02e0 AND s.move_id % 2 = 0),
+e AS (SELECT scan_id, move_id, count(*) AS beats, min(CASE WHEN bad THEN t END) AS bad_t, min(dist) AS lo, max(dist) AS hi, bool_or(surveyed) AS any_surveyed FROM t GROUP BY 1, 2)
 SELECT scan_id, move_id, beats, bad_t IS NULL AS feasible, round(bad_t * sqrt(1.2e0 * 1.2e0 + 0.4e0 * 0.4e0), 6) AS fails_at_m, round(lo, 6) AS min_distance_m, round(hi, 6) AS max_distance_m, any_surveyed FROM e""")
 def _(fx):
     out = rounded(mv.first_problem(scored_of(fx)), "fails_at_m", "min_distance_m", "max_distance_m")
     return out.select("scan_id", "move_id", "beats", "feasible", "fails_at_m", "min_distance_m", "max_distance_m", "any_surveyed")
 
 
-@query("track_level", FLOOR_VIEWS + ["moves"], f"""WITH {_SCORED}, l AS (SELECT scan_id, move_id, max(floor_rise_m) - min(floor_rise_m) AS rng, quantile_cont(floor_rise_m, 0.5) AS mid FROM scored WHERE floor_rise_m IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2),
-w AS (SELECT s.scan_id, s.move_id, l.rng, s.beat, row_number() OVER (PARTITION BY s.scan_id, s.move_id ORDER BY abs(floor_rise_m - mid) DESC, beat) AS rn FROM scored s JOIN l USING (scan_id, move_id) WHERE floor_rise_m IS NOT NULL)
+@query("track_level", FLOOR_VIEWS + ["moves"], f"""WITH {_SCORED}, {_LEVEL}
 SELECT m.scan_id, m.move_id, round(rng, 6) AS track_level_range_m, CASE WHEN rng > 0.02e0 THEN beat END AS blamed_beat FROM moves m LEFT JOIN w ON w.scan_id = m.scan_id AND w.move_id = m.move_id AND w.rn = 1""")
 def _(fx):
     return rounded(mv.track_level(scored_of(fx)), "track_level_range_m")

@@ -89,14 +89,14 @@ def _(fx):
     return cells.groupBy("scan_id").agg(F.count(F.lit(1)).alias("cells"), r6(F.count(F.lit(1)) * 0.0625).alias("area_m2"))
 
 
-@query("footprint_outline", ["points"], """WITH c AS (SELECT DISTINCT scan_id, CAST(floor(x / 0.5e0) AS BIGINT) AS i, CAST(floor(y / 0.5e0) AS BIGINT) AS j FROM points WHERE z < 1.0e0),
+@query("footprint_outline", ["points"], """WITH c AS (SELECT DISTINCT scan_id, CAST(floor(x / 0.15e0) AS BIGINT) AS i, CAST(floor(y / 0.15e0) AS BIGINT) AS j FROM points),
 e AS (SELECT c.scan_id, d FROM c, (VALUES (1, 0, 'e'), (-1, 0, 'w'), (0, 1, 'n'), (0, -1, 's')) AS v(di, dj, d) WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.scan_id = c.scan_id AND o.i = c.i + di AND o.j = c.j + dj))
-SELECT scan_id, count(*) AS edges, round(count(*) * 0.5e0, 6) AS perimeter, round(any_value(n) * 0.25e0, 6) AS area FROM e JOIN (SELECT scan_id, count(*) AS n FROM c GROUP BY 1) USING (scan_id) GROUP BY 1""")
+SELECT scan_id, count(*) AS edges, round(count(*) * 0.15e0, 6) AS perimeter, round(any_value(n) * 0.0225e0, 6) AS area FROM e JOIN (SELECT scan_id, count(*) AS n FROM c GROUP BY 1) USING (scan_id) GROUP BY 1""")
 def _(fx):
     from ..operators.polygons import polygon_area
 
-    cells = fx.points.where("z < 1.0").select("scan_id", F.floor(F.col("x") / 0.5).alias("i"), F.floor(F.col("y") / 0.5).alias("j")).distinct()
-    outline = st.footprint_outline(cells, 0.5)
+    cells = fx.points.select("scan_id", F.floor(F.col("x") / 0.15).alias("i"), F.floor(F.col("y") / 0.15).alias("j")).distinct()
+    outline = st.footprint_outline(cells, 0.15)
     n = outline.groupBy("scan_id").agg(F.count(F.lit(1)).alias("edges"))
     return rounded(n.join(polygon_area(outline), "scan_id"), "perimeter", "area").select("scan_id", "edges", "perimeter", "area")
 
@@ -127,11 +127,11 @@ def _(fx):
     return op.dedupe_openings(fx.openings).select("scan_id", "opening_id")
 
 
-_VOIDS = "v AS (SELECT DISTINCT scan_id, CAST(floor(x / 0.25e0) AS BIGINT) AS i, CAST(floor(z / 0.27e0) AS BIGINT) AS j FROM points WHERE y < 2.0e0)"
+_VOIDS = "v AS (SELECT DISTINCT scan_id, CAST(floor(x / 0.1e0) AS BIGINT) AS i, CAST(floor(z / 0.1e0) AS BIGINT) AS j FROM points)"
 
 
 def voids_of(fx):
-    return fx.points.where("y < 2.0").select("scan_id", F.floor(F.col("x") / 0.25).alias("i"), F.floor(F.col("z") / 0.27).alias("j")).distinct()
+    return fx.points.select("scan_id", F.floor(F.col("x") / 0.1).alias("i"), F.floor(F.col("z") / 0.1).alias("j")).distinct()
 
 
 _MED = "CAST(floor(quantile_cont({c}, 0.5)) AS BIGINT)"
@@ -162,7 +162,7 @@ def _(fx):
 
 # wide boxes and thin walls: the test apertures are the openings themselves, moved to wall 6
 def apertures_of(fx):
-    o = fx.openings.where("opening_id % 5 = 0")
+    o = fx.openings
     c = F.col
     return o.select(
         "scan_id", F.lit(6).cast("long").alias("plane_id"), c("opening_id").alias("label"), (c("cx") - c("width") / 2).alias("au"), (c("cx") + c("width") / 2).alias("bu"), (c("cz") - c("height") / 2).alias("av"), (c("cz") + c("height") / 2).alias("bv"),
@@ -173,7 +173,7 @@ def apertures_of(fx):
 _UVS = "uvs AS (SELECT p.scan_id, -ny * x AS u, z AS v, ny * y - plane_offset AS s FROM points p JOIN planes w ON w.scan_id = p.scan_id AND w.plane_id = 6)"
 
 
-@query("depth_evidence", ["points", "planes", "openings"], f"""WITH {_UVS}, a AS (SELECT scan_id, opening_id AS label, cx - width / 2 AS au, cx + width / 2 AS bu, cz - height / 2 AS av, cz + height / 2 AS bv, CAST(floor(width / 0.2e0) AS BIGINT) AS nw, CAST(floor(height / 0.2e0) AS BIGINT) AS nh FROM openings WHERE opening_id % 5 = 0),
+@query("depth_evidence", ["points", "planes", "openings"], f"""WITH {_UVS}, a AS (SELECT scan_id, opening_id AS label, cx - width / 2 AS au, cx + width / 2 AS bu, cz - height / 2 AS av, cz + height / 2 AS bv, CAST(floor(width / 0.2e0) AS BIGINT) AS nw, CAST(floor(height / 0.2e0) AS BIGINT) AS nh FROM openings),
 h AS (SELECT scan_id, label, nw, nh, s, floor((u - au) / 0.2e0) AS i, floor((v - av) / 0.2e0) AS j FROM uvs JOIN a USING (scan_id) WHERE u BETWEEN au AND bu AND v BETWEEN av AND bv AND ((s > 0.08e0 AND s < 2.0e0) OR s < -0.1e0)),
 c AS (SELECT scan_id, label, nw, nh, i, j, bool_or(s > 0.08e0 AND s < 2.0e0) AS f, bool_or(s < -0.1e0) AS b FROM h WHERE i < nw AND j < nh GROUP BY 1, 2, 3, 4, 5, 6)
 SELECT scan_id, label, round(sum(f::INT) / (any_value(nw) * any_value(nh)), 6) AS front, round(sum(b::INT) / (any_value(nw) * any_value(nh)), 6) AS behind FROM c GROUP BY 1, 2""")
@@ -380,15 +380,20 @@ def _(fx):
 # -- capture and carving ----------------------------------------------------------------------------
 @query("capture_bounds", ["points", "scans", "cameras"])
 def _(fx):
-    return cp.capture_bounds(fx.points, fx.scans, fx.cameras.where("scan_id % 2 = 0"), 0.2)[1]
+    return cp.capture_bounds(fx.points, fx.scans, fx.cameras, 0.2)[1]
+
+
+@query("capture_bounds_inferred", ["points", "scans"])
+def _(fx):
+    return cp.capture_bounds(fx.points, fx.scans, None, 0.2)[1]
 
 
 _CARVE = """vox AS (SELECT scan_id, min(x) - 0.5e0 AS gx, min(y) - 0.5e0 AS gy, min(z) - 0.5e0 AS gz, CAST(ceil((max(x) - min(x) + 1.0e0) / 0.5e0) AS BIGINT) AS dx, CAST(ceil((max(y) - min(y) + 1.0e0) / 0.5e0) AS BIGINT) AS dy, CAST(ceil((max(z) - min(z) + 1.0e0) / 0.5e0) AS BIGINT) AS dz FROM points GROUP BY 1),
 sol AS (SELECT scan_id, CAST(floor((x - gx) / 0.5e0) AS BIGINT) AS i, CAST(floor((y - gy) / 0.5e0) AS BIGINT) AS j, CAST(floor((z - gz) / 0.5e0) AS BIGINT) AS k FROM points JOIN vox USING (scan_id) GROUP BY ALL HAVING count(*) >= 3),
 cm AS (SELECT scan_id, x AS ox, y AS oy, z AS oz, row_number() OVER (PARTITION BY scan_id ORDER BY cam_id) - 1 AS o, count(*) OVER (PARTITION BY scan_id) AS n FROM cameras),
 ry AS (SELECT p.scan_id, point_id, x, y, z, ox, oy, oz, gx, gy, gz, dx, dy, dz, sqrt((x-ox)*(x-ox) + (y-oy)*(y-oy) + (z-oz)*(z-oz)) AS len FROM points p JOIN cm ON cm.scan_id = p.scan_id AND cm.o = ((point_id % 1000003) * 40503 + 12345) % n JOIN vox ON vox.scan_id = p.scan_id),
-sm AS (SELECT *, CAST(s AS DOUBLE) / (m - 1) AS t FROM (SELECT *, unnest(range(m)) AS s FROM (SELECT ry.*, CAST(least(greatest(ceil(max(len) OVER (PARTITION BY scan_id) / 0.5e0), 8), 384) AS BIGINT) AS m FROM ry))),
-ix AS (SELECT scan_id, point_id, s, CAST(floor((ox + t * (x - ox) - gx) / 0.5e0) AS BIGINT) AS i, CAST(floor((oy + t * (y - oy) - gy) / 0.5e0) AS BIGINT) AS j, CAST(floor((oz + t * (z - oz) - gz) / 0.5e0) AS BIGINT) AS k, dx, dy, dz FROM sm WHERE t <= least(greatest(1 - 0.25e0 / greatest(len, 1e-9), 0e0), 1e0)),
+sm AS (SELECT *, CAST(s AS DOUBLE) / (m - 1) AS t FROM (SELECT *, unnest(range(m)) AS s FROM (SELECT ry.*, CAST(greatest(ceil(2 * len / 0.5e0) + 1, 8) AS BIGINT) AS m FROM ry))),
+ix AS (SELECT scan_id, point_id, s, CAST(floor((ox + t * (x - ox) - gx) / 0.5e0) AS BIGINT) AS i, CAST(floor((oy + t * (y - oy) - gy) / 0.5e0) AS BIGINT) AS j, CAST(floor((oz + t * (z - oz) - gz) / 0.5e0) AS BIGINT) AS k, dx, dy, dz FROM sm WHERE s <= floor(least(greatest(1 - 0.25e0 / greatest(len, 1e-9), 0e0), 1e0) * (m - 1) + 1e-9)),
 st AS (SELECT scan_id, point_id, min(s) AS stop FROM ix JOIN sol USING (scan_id, i, j, k) GROUP BY 1, 2),
 free AS (SELECT DISTINCT x.scan_id, i, j, k FROM ix x LEFT JOIN st ON st.scan_id = x.scan_id AND st.point_id = x.point_id WHERE (stop IS NULL OR s < stop) AND i BETWEEN 0 AND dx - 1 AND j BETWEEN 0 AND dy - 1 AND k BETWEEN 0 AND dz - 1)"""
 
@@ -409,13 +414,8 @@ def _(fx):
 @query("first_hit", ["points", "cameras"], f"WITH {_CARVE}, h AS (SELECT i.scan_id, i.point_id, i.s AS step, s.scan_id IS NOT NULL AS hit FROM ix i LEFT JOIN sol s ON s.scan_id = i.scan_id AND s.i = i.i AND s.j = i.j AND s.k = i.k) SELECT h.scan_id, h.point_id, count(*) AS clear_steps FROM h LEFT JOIN st USING (scan_id, point_id) WHERE stop IS NULL OR step < stop GROUP BY 1, 2")
 def _(fx):
     grids, solid = carve_inputs(fx)
-    g = grids.select("scan_id", *[F.col(f"o{a}").alias(f"g{a}") for a in "xyz"])
-    rays = cp.assign_cameras(fx.points.select("scan_id", "point_id", "x", "y", "z"), fx.cameras).join(g, "scan_id").withColumn("len", vec.norm([F.col(a) - F.col(f"o{a}") for a in "xyz"]))
-    top = rays.groupBy("scan_id").agg(F.max("len").alias("_l"))
-    rows = rays.join(top, "scan_id").withColumn("m", F.least(F.greatest(F.ceil(F.col("_l") / 0.5), F.lit(8)), F.lit(384))).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).withColumn("t", F.col("step") / (F.col("m") - 1))
-    rows = rows.where(F.col("t") <= vec.clip(1.0 - 0.25 / F.greatest("len", F.lit(1e-9)), 0.0, 1.0))
-    at = [vec.cell(F.col(f"o{a}") + F.col("t") * (F.col(a) - F.col(f"o{a}")), F.col(f"g{a}"), F.lit(0.5)).alias(k) for k, a in zip("ijk", "xyz")]
-    marked = rows.select("scan_id", "point_id", "step", *at).join(solid.select("scan_id", "i", "j", "k", F.lit(True).alias("_h")), ["scan_id", "i", "j", "k"], "left").withColumn("hit", F.coalesce("_h", F.lit(False)))
+    rows = cp.ray_samples(cp.rays_of(fx.points, fx.cameras, grids))
+    marked = rows.join(solid.select("scan_id", "i", "j", "k", F.lit(True).alias("_h")), ["scan_id", "i", "j", "k"], "left").withColumn("hit", F.coalesce("_h", F.lit(False)))
     return cp.first_hit(marked, ["scan_id", "point_id"]).groupBy("scan_id", "point_id").agg(F.count(F.lit(1)).alias("clear_steps"))
 
 

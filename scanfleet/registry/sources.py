@@ -35,15 +35,20 @@ def _(fx):
 
 
 _SOFT = "CASE " + " ".join(f"WHEN regexp_matches(value, '(?i){p}') THEN {i}" for i, (_, p) in enumerate(K.SOFTWARE_PATTERNS)) + " END"
-_UNIT = "CASE " + " ".join(f"WHEN regexp_matches(value, '(?i){p}') THEN '{u}'" for u, p in K.UNIT_WORDS) + " " + " ".join(
-    f"WHEN regexp_matches(value, '(?i){K.UNIT_VALUE_PREFIX}{K.UNIT_VALUE_GAP}{a}\\b\\s*(?:$|[^\\sA-Za-z])') THEN '{a}'" for a in K.UNIT_ABBREVIATIONS
+_LIST = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+_APART = "NOT regexp_matches(g[i], '[0-9_]$') AND NOT regexp_matches(g[i + 1], '^[0-9_]')"
+_VALUE = f"""(regexp_matches(g[i], '[:=][^\\n]{{0,{K.UNIT_REACH}}}$') OR (i > 1 AND list_contains({_LIST(K.UNIT_LEADS)}, w[i - 1]) AND length(g[i]) <= {K.UNIT_REACH} AND NOT contains(g[i], chr(10))
+ AND NOT regexp_matches(g[i - 1], '[0-9_]$') AND NOT regexp_matches(g[i], '^[0-9_]'))) AND NOT regexp_matches(g[i + 1], '^[0-9_]') AND (i = len(w) OR regexp_matches(g[i + 1], '\\S'))"""
+_UNIT = "CASE " + " ".join(
+    [f"WHEN len([1 FOR i IN range(1, len(w) + 1) IF list_contains({_LIST(names)}, w[i]) AND {_APART}]) > 0 THEN '{u}'" for u, names in K.UNIT_NAMES.items()]
+    + [f"WHEN len([1 FOR i IN range(1, len(w) + 1) IF w[i] = '{u}' AND {_VALUE}]) > 0 THEN '{u}'" for u in K.UNIT_SHORT]
 ) + " END"
 _NAMES = "[" + ", ".join(f"'{n}'" for n, _ in K.SOFTWARE_PATTERNS) + "]"
 
 
 @query("scan_header_hints", [], f"""WITH lines AS (SELECT doc_id, unnest(string_split(text, '.')) AS value, unnest(range(len(string_split(text, '.')))) AS line_no FROM documents UNION ALL
  SELECT page_id, html, 0 FROM pages UNION ALL SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'exported by Poly Cam 3, units: cm' WHEN 1 THEN 'scale in feet' WHEN 2 THEN 'comment measured in a single pass' WHEN 3 THEN 'VCGLIB generated; 1 unit = 1 mm' WHEN 4 THEN 'dimensions in centimetres' ELSE p_name END, p_size FROM part),
-h AS (SELECT doc_id, line_no, {_SOFT} AS s, CASE WHEN regexp_matches(value, '(?i){K.UNIT_CONTEXT}') THEN {_UNIT} END AS u FROM lines)
+h AS (SELECT doc_id, line_no, {_SOFT} AS s, CASE WHEN regexp_matches(value, '(?i){K.UNIT_CONTEXT}') THEN {_UNIT} END AS u FROM (SELECT *, [lower(x) FOR x IN regexp_extract_all(value, '[A-Za-z]+')] AS w, regexp_split_to_array(value, '[A-Za-z]+') AS g FROM lines))
 SELECT doc_id, {_NAMES}[min(s) + 1] AS software, arg_min(u, line_no) FILTER (WHERE u IS NOT NULL) AS unit_hint FROM h WHERE s IS NOT NULL OR u IS NOT NULL GROUP BY 1""")
 def _(fx):
     docs = fx.table("documents").select("doc_id", F.posexplode(F.split("text", r"\.")).alias("line_no", "value"))

@@ -101,12 +101,11 @@ def _(fx):
     return rounded(ms.boundary_edge_fraction(fx.mesh_faces), "boundary_edge_fraction")
 
 
-@query("mesh_components", _MESH, """WITH RECURSIVE strip AS (SELECT * FROM mesh_faces WHERE face_id % 5 <> 0 AND v0 % 20 <> 9), e AS (SELECT DISTINCT scan_id, unnest([v0, v1, v2, v1, v2, v0]) AS a, unnest([v1, v2, v0, v0, v1, v2]) AS b FROM strip),
+@query("mesh_components", _MESH, """WITH RECURSIVE strip AS (SELECT * FROM mesh_faces), e AS (SELECT DISTINCT scan_id, unnest([v0, v1, v2, v1, v2, v0]) AS a, unnest([v1, v2, v0, v0, v1, v2]) AS b FROM strip),
 reach AS (SELECT scan_id, vertex_id AS id, vertex_id AS seen FROM mesh_vertices UNION SELECT r.scan_id, r.id, e.b FROM reach r JOIN e ON e.scan_id = r.scan_id AND e.a = r.seen)
 SELECT scan_id, id AS vertex_id, min(seen) AS component FROM reach GROUP BY 1, 2""")
 def _(fx):
-    strip = fx.mesh_faces.where("face_id % 5 <> 0 AND v0 % 20 <> 9")
-    return ms.mesh_components(fx.mesh_vertices, strip)
+    return ms.mesh_components(fx.mesh_vertices, fx.mesh_faces)
 
 
 _CLUSTER = """o AS (SELECT scan_id, min(x) AS lx, min(y) AS ly, min(z) AS lz FROM mesh_vertices GROUP BY 1),
@@ -221,7 +220,7 @@ _ROUNDS = ", ".join(
 )
 
 
-@query("plane_extent_area", ["points", "planes"], f"""WITH uv AS (SELECT scan_id, plane_id, CASE WHEN plane_id IN (1, 2) THEN nz * x ELSE nx * y - ny * x END AS u, CASE WHEN plane_id IN (1, 2) THEN y ELSE z END AS v FROM points JOIN planes USING (scan_id) WHERE plane_id < 7 AND abs(nx * x + ny * y + nz * z - plane_offset) <= 0.06e0),
+@query("plane_extent_area", ["points", "planes"], f"""WITH uv AS (SELECT scan_id, plane_id, CASE WHEN plane_id IN (1, 2) THEN nz * x ELSE (nx * y - ny * x) / sqrt(nx * nx + ny * ny) END AS u, CASE WHEN plane_id IN (1, 2) THEN y ELSE z END AS v FROM points JOIN planes USING (scan_id) WHERE abs(nx * x + ny * y + nz * z - plane_offset) <= 0.06e0),
 b AS (SELECT scan_id, plane_id, count(*) AS n, min(u) AS umin, max(u) AS umax, min(v) AS vmin, max(v) AS vmax FROM uv GROUP BY 1, 2), s AS (SELECT *, greatest(umax - umin, 1e-9) AS su, greatest(vmax - vmin, 1e-9) AS sv FROM b),
 c AS (SELECT *, least(greatest(sqrt(4 / greatest(n / (su * sv), 1e-9)), 0.04e0), 0.4e0) AS cell FROM s), d AS (SELECT *, floor(su / cell) + 1 AS nu, floor(sv / cell) + 1 AS nv FROM c),
 o AS (SELECT scan_id, plane_id, count(DISTINCT (least(floor((u - umin) / cell), nu - 1), least(floor((v - vmin) / cell), nv - 1))) AS occ FROM uv JOIN d USING (scan_id, plane_id) GROUP BY 1, 2),
@@ -230,8 +229,7 @@ SELECT scan_id, plane_id, n, round(least(c8 * cell * cell, su * sv), 5) AS area,
 def _(fx):
     from ..operators.transforms import plane_inliers
 
-    planes = fx.planes.where("plane_id < 7")
-    out = pl.plane_extent_area(plane_inliers(fx.points, planes, 0.06), planes)
+    out = pl.plane_extent_area(plane_inliers(fx.points, fx.planes, 0.06), fx.planes)
     return out.select("scan_id", "plane_id", "n", F.round("area", 5).alias("area"), r6(F.col("umax") - F.col("umin")).alias("span_u"), r6(F.col("vmax") - F.col("vmin")).alias("span_v"))
 
 
@@ -251,12 +249,12 @@ def _(fx):
     return pl.detect_planes(with_normals(fx), min_inliers=15, max_planes=4).select("scan_id", "plane_id", "nx", "ny", "nz", "plane_offset", "inlier_count", "area")
 
 
-_CELLS = "base AS (SELECT DISTINCT scan_id, CAST(floor(x / 0.25e0) AS BIGINT) AS i, CAST(floor(y / 0.25e0) AS BIGINT) AS j FROM points WHERE z > 1.0e0 AND r % 3 <> 1)"
+_CELLS = "base AS (SELECT DISTINCT scan_id, CAST(floor(x / 0.15e0) AS BIGINT) AS i, CAST(floor(y / 0.15e0) AS BIGINT) AS j FROM points)"
 _N8 = "(SELECT a AS di, b AS dj FROM range(-1, 2) r(a), range(-1, 2) s(b))"
 
 
 def cells_of(fx):
-    return fx.points.where("z > 1.0 AND r % 3 <> 1").select("scan_id", F.floor(F.col("x") / 0.25).alias("i"), F.floor(F.col("y") / 0.25).alias("j")).distinct()
+    return fx.points.select("scan_id", F.floor(F.col("x") / 0.15).alias("i"), F.floor(F.col("y") / 0.15).alias("j")).distinct()
 
 
 @query("dilate_cells", ["points"], f"WITH {_CELLS} SELECT DISTINCT scan_id, i + di AS i, j + dj AS j FROM base, {_N8}")
@@ -290,17 +288,16 @@ def _(fx):
     return cl.fill_holes(cells_of(fx), ["i", "j"])
 
 
-@query("connected_components", ["points"], f"""WITH RECURSIVE {_CELLS}, small AS (SELECT * FROM base WHERE (i * 7 + j * 3) % 5 <> 0), reach AS (SELECT scan_id, i, j, i AS a, j AS b FROM small UNION SELECT r.scan_id, r.i, r.j, s.i, s.j FROM reach r, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(di, dj), small s
+@query("connected_components", ["points"], f"""WITH RECURSIVE {_CELLS}, small AS (SELECT * FROM base), reach AS (SELECT scan_id, i, j, i AS a, j AS b FROM small UNION SELECT r.scan_id, r.i, r.j, s.i, s.j FROM reach r, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(di, dj), small s
  WHERE s.scan_id = r.scan_id AND s.i = r.a + di AND s.j = r.b + dj), lab AS (SELECT scan_id, i, j, min(a * 1000 + b) AS first_cell FROM reach GROUP BY 1, 2, 3) SELECT scan_id, first_cell, count(*) AS cells FROM lab GROUP BY 1, 2""")
 def _(fx):
-    small = cells_of(fx).where("(i * 7 + j * 3) % 5 <> 0")
-    lab = cl.cell_components(small, ["i", "j"])
+    lab = cl.cell_components(cells_of(fx), ["i", "j"])
     return lab.groupBy("scan_id", "label").agg(F.min(F.col("i") * 1000 + F.col("j")).alias("first_cell"), F.count(F.lit(1)).alias("cells")).drop("label")
 
 
-@query("free_minus_solid", ["points"], f"WITH {_CELLS}, s AS (SELECT DISTINCT scan_id, CAST(floor(x / 0.25e0) AS BIGINT) AS i, CAST(floor(y / 0.25e0) AS BIGINT) AS j FROM points WHERE z < 0.5e0) SELECT * FROM base ANTI JOIN s USING (scan_id, i, j)")
+@query("free_minus_solid", ["points", "cameras"], f"WITH {_CELLS}, s AS (SELECT DISTINCT scan_id, CAST(floor(x / 0.15e0) AS BIGINT) AS i, CAST(floor(y / 0.15e0) AS BIGINT) AS j FROM cameras) SELECT * FROM base ANTI JOIN s USING (scan_id, i, j)")
 def _(fx):
-    solid = fx.points.where("z < 0.5").select("scan_id", F.floor(F.col("x") / 0.25).alias("i"), F.floor(F.col("y") / 0.25).alias("j")).distinct()
+    solid = fx.cameras.select("scan_id", F.floor(F.col("x") / 0.15).alias("i"), F.floor(F.col("y") / 0.15).alias("j")).distinct()
     return cl.minus(cells_of(fx), solid, ["i", "j"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -32,14 +33,39 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the session's, or a temporary one where none is set."""
+    """The folder for intermediate tables, which all executors must see. One machine may do with a temporary folder; a cluster may
+    not, as each executor would write to its own disk."""
     path = spark.conf.get(_DIR_CONF, None)
     if not path:
+        if not _one_machine(spark):
+            raise ValueError(f"set {_DIR_CONF} to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-scanfleet-")
         spark.conf.set(_DIR_CONF, path)
     return path.rstrip("/")
 
 
+def _one_machine(spark: SparkSession) -> bool:
+    master = spark.conf.get("spark.master", "")
+    return master == "local" or master.startswith("local[")
+
+
+_stages: dict[str, SparkSession] = {}
+
+
+def clear_stages() -> None:
+    """Delete the intermediate tables written so far. Results that still read them must have been written or collected. Runs at exit too."""
+    for path, spark in list(_stages.items()):
+        del _stages[path]
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 - the session may be gone; what is left then goes with its folder
+            return
+
+
+atexit.register(clear_stages)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -50,4 +76,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     prepare(spark)
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _stages[path] = spark
     return spark.read.schema(df.schema).parquet(path)

@@ -23,7 +23,11 @@ def read_point_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 def parse_point_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Points from text lines (``source, line_no, value``). Column layout follows the width of the data rows: 3 xyz,
-    4 + intensity, 6 + rgb, 7 intensity + rgb, 9 rgb + normal; any other width keeps xyz only."""
+    4 + intensity, 6 + rgb, 7 intensity + rgb, 9 rgb + normal; any other width keeps xyz only.
+
+    The first data row sets a file's width. Rows of another width and rows without three numbers give no point; the report counts them
+    (``dropped``), and ``status`` is "ok", "ragged" or, for a file without a single point, "unreadable".
+    """
     data = lines.where((F.trim("value") != "") & ~F.col("value").rlike(COMMENT))
     parts = F.split(F.trim(F.regexp_replace("value", r"[,\s]+", " ")), " ")
     data = data.withColumn("n", F.transform(parts, lambda p: p.try_cast("double"))).withColumn("width", F.size("n"))
@@ -31,23 +35,27 @@ def parse_point_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = data.where((F.col("width") > 1) & F.col("n")[0].isNotNull())
     width = rows.groupBy("source").agg(F.min(F.struct("line_no", "width"))["width"].alias("columns"))
     colour = {6: 3, 7: 4, 9: 3}
-    rows = rows.join(width, "source").where(F.col("width") == F.col("columns"))
+    sized = rows.join(width, "source")
+    whole = (F.col("width") == F.col("columns")) & F.forall(F.slice("n", 1, 3), lambda v: v.isNotNull()) & (F.col("width") >= 3)
+    tally = sized.groupBy("source").agg(F.count(F.lit(1)).alias("_all"), F.count(F.when(whole, 1)).alias("rows"))
+    rows = sized.where(whole)
     for i, c in enumerate("rgb"):
         at = F.lit(None).cast("double")
         for w, start in colour.items():
             at = F.when(F.col("columns") == w, F.get("n", F.lit(start + i))).otherwise(at)
         rows = rows.withColumn(f"_{c}", at)
-    peak = rows.groupBy("source").agg(F.max(F.greatest(*[F.abs(f"_{c}") for c in "rgb"])).alias("peak"), F.count(F.lit(1)).alias("rows"))
+    peak = rows.groupBy("source").agg(F.max(F.greatest(*[F.abs(f"_{c}") for c in "rgb"])).alias("peak"))
     rows = rows.join(peak, "source")
     gain = F.when(F.col("peak") <= 1.0 + 1e-6, 255.0).otherwise(1.0)
     points = rows.select(
-        "source", "line_no", *[F.col("n")[i].alias(a) for i, a in enumerate("xyz")],
+        "source", "line_no", *[F.get("n", F.lit(i)).alias(a) for i, a in enumerate("xyz")],
         *[vec.clip(F.floor(F.col(f"_{c}") * gain), 0, 255).cast("int").alias(c) for c in "rgb"],
         *[F.when(F.col("columns") == 9, F.get("n", F.lit(6 + i))).alias(f"n{a}") for i, a in enumerate("xyz")],
     )
-    report = width.join(peak, "source").join(head, "source", "left").select(
+    report = width.join(tally, "source").join(peak, "source", "left").join(head, "source", "left").select(
         "source", F.col("columns").cast("long").alias("columns"), "rows", (F.coalesce("peak", F.lit(9.0)) <= 1.0 + 1e-6).alias("scaled_colours"), F.coalesce("headers", F.lit(0)).alias("headers"),
-        (~F.col("columns").isin(3, 4, 6, 7, 9)).alias("extra_columns"),
+        (~F.col("columns").isin(3, 4, 6, 7, 9)).alias("extra_columns"), (F.col("_all") - F.col("rows")).alias("dropped"),
+        F.when(F.col("rows") == 0, "unreadable").when(F.col("rows") < F.col("_all"), "ragged").otherwise("ok").alias("status"),
     )
     return points, report
 
@@ -61,9 +69,40 @@ def software_of(text: Column) -> Column:
 
 
 def unit_of(line: Column) -> Column:
-    """Unit a line declares: whole words first; an abbreviation only in value position and ending the declaration."""
-    rules = [(u, p) for u, p in K.UNIT_WORDS] + [(a, K.UNIT_VALUE_PREFIX + K.UNIT_VALUE_GAP + a + r"\b\s*(?:$|[^\sA-Za-z])") for a in K.UNIT_ABBREVIATIONS]
-    return F.coalesce(*[F.when(line.rlike(f"(?i){p}"), F.lit(u)) for u, p in rules])
+    """Unit a line declares, read off its words and what stands between them.
+
+    A full name counts anywhere. A short one counts where something leads up to it (a colon or an equals sign in the gap before, or
+    one of the leading words just before) and nothing goes on after it: the line ends, or the gap behind has more than spaces.
+    """
+    words = F.transform(F.regexp_extract_all(line, F.lit("([A-Za-z]+)"), F.lit(1)), F.lower)
+    gaps = F.split(line, "[A-Za-z]+")
+    read = F.transform(
+        words,
+        lambda w, i: F.struct(
+            w.alias("word"), F.get(words, i - 1).alias("lead"), F.get(gaps, i - 1).alias("far"), F.get(gaps, i).alias("before"), F.get(gaps, i + 1).alias("after"), (i == F.size(words) - 1).alias("last")
+        ),
+    )
+
+    def apart(before: Column, after: Column) -> Column:
+        """Neither a digit nor an underscore touches the word."""
+        return ~before.rlike("[0-9_]$") & ~after.rlike("^[0-9_]")
+
+    def value(r: Column) -> Column:
+        sign = r["before"].rlike("[:=][^\\n]{0,%d}$" % K.UNIT_REACH)
+        close = (F.length(r["before"]) <= K.UNIT_REACH) & ~r["before"].contains("\n")
+        led = F.coalesce(r["lead"].isin(*K.UNIT_LEADS) & close & apart(r["far"], r["before"]), F.lit(False))
+        ends = ~r["after"].rlike("^[0-9_]") & (r["last"] | r["after"].rlike("\\S"))
+        return (sign | led) & ends
+
+    def full_name(names: list[str]):
+        return lambda r: r["word"].isin(*names) & apart(r["before"], r["after"])
+
+    def short_name(unit: str):
+        return lambda r: (r["word"] == unit) & value(r)
+
+    named = [F.when(F.exists(read, full_name(names)), u) for u, names in K.UNIT_NAMES.items()]
+    short = [F.when(F.exists(read, short_name(u)), u) for u in K.UNIT_SHORT]
+    return F.coalesce(*named, *short)
 
 
 def scan_header_hints(lines: DataFrame, keys: list[str]) -> DataFrame:

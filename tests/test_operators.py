@@ -47,8 +47,8 @@ def test_ranked_value_and_row_index_of_big_groups(spark):
         assert list(rows.idx) == list(range(len(rows))) and (rows.total == len(rows)).all()
 
 
-@pytest.mark.parametrize("block_limit", [20_000, 40])
-def test_knn_matches_brute_force_with_clusters_and_copies(spark, block_limit):
+@pytest.mark.parametrize("leaf", [1024, 24])
+def test_knn_matches_brute_force_with_clusters_and_copies(spark, leaf):
     rng = np.random.default_rng(5)
     sparse = rng.uniform(0, 10, (150, 3))
     dense = 5 + rng.normal(0, 0.01, (400, 3))
@@ -56,7 +56,7 @@ def test_knn_matches_brute_force_with_clusters_and_copies(spark, block_limit):
     p = np.concatenate([sparse, dense, copies])
     pdf = pd.DataFrame(p, columns=list("xyz")).assign(scan_id=1, point_id=np.arange(len(p)))
     df = spark.createDataFrame(pdf).select("scan_id", "point_id", "x", "y", "z")
-    got = knn.knn_join(df, df, 5, block_limit=block_limit, same=True).toPandas()
+    got = knn.knn_join(df, df, 5, leaf=leaf, same=True).toPandas()
     d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
     order = np.lexsort((np.broadcast_to(np.arange(len(p)), d.shape), d), axis=1)[:, :5]
     got = got.sort_values(["point_id", "rank"])
@@ -64,12 +64,40 @@ def test_knn_matches_brute_force_with_clusters_and_copies(spark, block_limit):
     assert (got.id.to_numpy().reshape(-1, 5) == order).all()
 
 
+def test_knn_with_one_stray_point(spark):
+    """A return 100 km away neither pairs the rest with itself nor changes their neighbours."""
+    rng = np.random.default_rng(11)
+    p = np.concatenate([rng.uniform(0, 5, (40_000, 3)) * [1, 1, 0.001], 2 + rng.normal(0, 0.02, (10_000, 3)), [[1e5, 0, 0]]])
+    df = spark.createDataFrame(pd.DataFrame(p, columns=list("xyz")).assign(scan_id=1, point_id=np.arange(len(p)))).select("scan_id", "point_id", "x", "y", "z")
+    got = knn.knn_join(df, df, 4, same=True).toPandas().sort_values(["point_id", "rank"])
+    assert len(got) == 4 * len(p)
+    ids = got.id.to_numpy().reshape(-1, 4)
+    for i in [*rng.integers(0, len(p), 60), len(p) - 1]:
+        d = np.sqrt(((p - p[i]) ** 2).sum(1))
+        assert list(ids[i]) == list(np.lexsort((np.arange(len(p)), d))[:4])
+
+
+def test_knn_cuts_follow_the_points():
+    rng = np.random.default_rng(12)
+    p = np.concatenate([rng.uniform(0, 1, (4000, 3)), [[1e5, 1e5, 1e5]], np.zeros((500, 3))])
+    axis, value = knn.cuts(p, 40)
+    leaf = knn.leaf_of(p, axis, value)
+    assert np.bincount(leaf).max() <= 700 and np.bincount(leaf[:4000]).max() <= 150
+    row, leaves = knn.leaves_within(p[:50], np.full(50, 0.1), axis, value)
+    for i in range(50):
+        inside = np.flatnonzero(((p - p[i]) ** 2).sum(1) <= 0.01)
+        assert set(leaf[inside]) <= set(leaves[row == i])
+
+
 def test_knn_between_two_tables_with_far_queries(spark):
     rng = np.random.default_rng(6)
     refs, qs = rng.uniform(0, 1, (80, 3)), rng.uniform(-3, 4, (700, 3))
     mk = lambda a: spark.createDataFrame(pd.DataFrame(a, columns=list("xyz")).assign(scan_id=1, point_id=np.arange(len(a)))).select("scan_id", "point_id", "x", "y", "z")
     got = knn.knn_join(mk(qs), mk(refs), 1).toPandas().set_index("point_id").sort_index()
-    assert (got.id.to_numpy() == ((qs[:, None] - refs[None]) ** 2).sum(-1).argmin(1)).all()
+    want = ((qs[:, None] - refs[None]) ** 2).sum(-1).argmin(1)
+    assert (got.id.to_numpy() == want).all()
+    small = knn.knn_join(mk(qs), mk(refs), 1, leaf=8).toPandas().set_index("point_id").sort_index()
+    assert (small.id.to_numpy() == want).all()
 
 
 def test_holes_and_components_in_three_dimensions(spark):
@@ -165,3 +193,50 @@ def test_a_missing_metric_never_passes(spark):
     assert len(checks) == 14 and all(c.status != "pass" for c in checks)
     few = qa.qa_checks(m.withColumn("point_count", F.lit(5).cast("long"))).collect()
     assert [(c.name, c.status) for c in few] == [("input", "fail")]
+
+
+def test_read_point_text_reports_what_it_drops(spark):
+    lines = [("a", 0, "1 2 3"), ("a", 1, "4 5"), ("a", 2, "7 8 9"), ("b", 0, "1 2"), ("b", 1, "3 4"), ("c", 0, "# x y z"), ("c", 1, "1,2,3"), ("c", 2, "1 2 oops")]
+    points, report = rd.parse_point_lines(spark.createDataFrame(lines, "source string, line_no long, value string"))
+    assert sorted((r.source, r.x) for r in points.collect()) == [("a", 1.0), ("a", 7.0), ("c", 1.0)]
+    got = {r.source: (r.rows, r.dropped, r.status) for r in report.collect()}
+    assert got == {"a": (2, 1, "ragged"), "b": (0, 2, "unreadable"), "c": (1, 1, "ragged")}
+
+
+def test_units_that_a_line_declares(spark):
+    said = {
+        "units: cm": "cm", "1 unit = 1 mm": "mm", "scale in feet": "ft", "measured in a single pass": None, "dimensions in centimetres": "cm", "unit m": "m", "in m.": "m", "scale1 mm": None,
+        "unit: mmx": None, "unit = m_": None, "units (in)": "in", "unit is in metres": "m", "unit 1234567890123 mm": None, "the unit is in the box": None,
+    }
+    rows = spark.createDataFrame(list(said.items()), "line string, want string").withColumn("got", rd.unit_of(F.col("line"))).collect()
+    assert {r.line: r.got for r in rows} == said
+
+
+@pytest.mark.parametrize("n", [80, 16])
+def test_capture_region_of_a_walk_round_a_circle(spark, n):
+    """The inside of the loop counts however far apart the positions are."""
+    t = np.arange(n) * 2 * np.pi / n
+    cams = spark.createDataFrame(pd.DataFrame({"scan_id": 1, "cam_id": np.arange(n), "x": 4 * np.cos(t), "y": 4 * np.sin(t), "z": 1.5}))
+    pts = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0)], "scan_id long, point_id long, x double, y double, z double")
+    report = cp.capture_bounds(pts, spark.createDataFrame([(1, 0.0)], "scan_id long, floor_z double"), cams, 0.1)[1].collect()
+    assert [(r.source, r.z_lo) for r in report] == [("poses", 1.5)]
+    assert report[0].area_m2 == pytest.approx(math.pi * 4.6**2, abs=4.0)
+
+
+def test_a_long_ray_stops_at_a_thin_wall(spark):
+    """Over a thousand voxels long, and a wall one voxel thick: nothing behind it is freed."""
+    pts = spark.createDataFrame([(1, 0, 150.05, 0.05, 0.05)], "scan_id long, point_id long, x double, y double, z double")
+    cams = spark.createDataFrame([(1, 0, 0.05, 0.05, 0.05)], "scan_id long, cam_id long, x double, y double, z double")
+    grid = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1600, 1, 1, 0.1)], "scan_id long, ox double, oy double, oz double, dim_x long, dim_y long, dim_z long, voxel double")
+    solid = spark.createDataFrame([(1, 700, 0, 0)], "scan_id long, i long, j long, k long")
+    assert sorted(r.i for r in cp.carve_free_space(pts, cams, solid, grid).collect()) == list(range(700))
+
+
+def test_an_uneven_track_fails_the_move(spark):
+    from scanfleet.operators import moves as mv
+
+    cols = "scan_id long, move_id long, beat long, t double, x double, y double, z double, floor_rise_m double, on_track boolean, distance_m double, shot string, surveyed boolean, problems array<string>"
+    rows = [(1, m, b, b / 3, float(b), 0.0, 1.0, 0.08 if b == 2 else 0.0, m == 0, 1.0, "wide", True, []) for m in (0, 1) for b in range(4)]
+    got = {r.move_id: r for r in mv.first_problem(spark.createDataFrame(rows, cols)).collect()}
+    assert not got[0].feasible and "cribbing" in got[0].problems and got[0].fails_at_m == pytest.approx(2.0)
+    assert got[1].feasible
