@@ -295,18 +295,30 @@ def qa_verdict(checks: DataFrame, scans: DataFrame) -> DataFrame:
     return scans.select("scan_id").join(worst, "scan_id", "left").select("scan_id", name.alias("verdict"))
 
 
-def verify_measurement(requests: DataFrame, metrics: DataFrame, in_region: DataFrame) -> DataFrame:
+def verify_measurement(requests: DataFrame, metrics: DataFrame, in_region: DataFrame, measured: DataFrame | None = None) -> DataFrame:
     """A quoted distance with its error: endpoint spacing, drift over its share of the room, and scale, in quadrature.
 
     ``requests``: scan_id, request_id, ax..bz. ``metrics``: the wide table (needs spacing, drift, scale_confidence, extents).
     ``in_region``: scan_id, request_id, inside (both ends). An unmeasured term leaves the error unknown and the rest a floor.
+    ``measured`` (scan_id, spacing_m, drift_m) stands in where the report lacks a spacing or drift. A scale confidence of zero supports
+    nothing and counts as unmeasured. Each term says where it comes from, and ``unmeasured_terms`` names those that are missing.
     """
     d = vec.norm([F.col(f"b{a}") - F.col(f"a{a}") for a in "xyz"])
     rows = requests.withColumn("_d", d).join(metrics, "scan_id", "left").join(in_region, ["scan_id", "request_id"], "left")
+    none = F.lit(None).cast("double")
+    here = measured.select("scan_id", F.col("spacing_m").alias("_spacing"), F.col("drift_m").alias("_drift")) if measured is not None else None
+    rows = rows.join(here, "scan_id", "left") if here is not None else rows.withColumns({"_spacing": none, "_drift": none})
+    sources = {"endpoint": ("median_spacing_m", "_spacing"), "drift": ("drift_estimate_m", "_drift")}
+    basis = {
+        f"{term}_basis": F.when(F.col(told).isNotNull(), "measured by the report").when(F.col(own).isNotNull(), "measured from the points").otherwise("unknown")
+        for term, (told, own) in sources.items()
+    }
+    basis["scale_basis"] = F.when(F.col("scale_confidence") > 0, "measured by the report").otherwise("unknown")
+    rows = rows.withColumns(basis).withColumns({told: F.coalesce(told, own) for told, own in sources.values()})
     diag = vec.norm(vec.cols("extent_x_m", "extent_y_m", "extent_z_m"))
     span = F.when(diag <= 0, 1.0).otherwise(F.least(F.lit(1.0), F.col("_d") / diag))
     rows = rows.withColumns({
-        "endpoint_m": math.sqrt(2.0) * 0.5 * F.col("median_spacing_m"), "drift_m": F.col("drift_estimate_m") * span, "scale_m": 0.01 * (1.0 - F.col("scale_confidence")) * F.col("_d"),
+        "endpoint_m": math.sqrt(2.0) * 0.5 * F.col("median_spacing_m"), "drift_m": F.col("drift_estimate_m") * span, "scale_m": F.when(F.col("scale_confidence") > 0, 0.01 * (1.0 - F.col("scale_confidence")) * F.col("_d")),
     })
     terms = ["endpoint_m", "drift_m", "scale_m"]
     known = sum(F.when(F.col(t).isNotNull(), 1).otherwise(0) for t in terms)
@@ -316,5 +328,6 @@ def verify_measurement(requests: DataFrame, metrics: DataFrame, in_region: DataF
     floor = F.when(F.col("_k") > 0, mm(F.col("_u")))
     return rows.select(
         "scan_id", "request_id", F.round("_d", 3).alias("distance_m"), F.when(F.col("_k") == 3, floor).alias("uncertainty_m"), floor.alias("uncertainty_floor_m"),
-        *[mm(F.col(t)).alias(t) for t in terms], F.coalesce("inside", F.lit(False)).alias("within_capture"),
+        *[mm(F.col(t)).alias(t) for t in terms], *basis, F.array_compact(F.array(*[F.when(F.col(t).isNull(), t) for t in terms])).alias("unmeasured_terms"),
+        F.coalesce("inside", F.lit(False)).alias("within_capture"),
     )

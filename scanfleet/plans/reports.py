@@ -66,7 +66,7 @@ def scout_report(
     maps = cut_lineage(fl.floor_maps(points, scans, footprint, capture, cell))
     space = fl.workable_floor(maps, cell)
     shots = fl.lens_plan(maps).groupBy("scan_id").agg(F.max("run_m").alias("run_m"), F.sort_array(F.collect_list(F.struct("min_distance_m", "shot", F.round("focal_mm", 1).alias("focal_mm"), "prime_mm"))).alias("shots"))
-    grip = fl.equipment_fit(maps, cell).groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct("gear", "verdict", F.round("area_m2", 1).alias("area_m2"), F.round("area_surveyed_m2", 1).alias("area_surveyed_m2")))).alias("fits"))
+    grip = fl.equipment_fit(maps, cell).groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct("gear", "verdict", *[F.round(c, d).alias(c) for c, d in (("radius_m", 2), ("area_m2", 1), ("area_surveyed_m2", 1), ("best_clearance_m", 2))]))).alias("fits"))
     sound = fl.rt60(scans, footprint, openings, points)
     verdict = qa.qa_verdict(checks, scans)
     fails = checks.where(F.col("status") == "fail").groupBy("scan_id").agg(F.sort_array(F.collect_list("name")).alias("failing"))
@@ -87,11 +87,13 @@ def scout_report(
         F.when(F.col("openings_capped"), F.lit("openings exceeded the wall cap and were limited")),
     ))
     r = lambda c, d: F.round(c, d)
+    # catalogue items whose sizes are typical of their class rather than published
+    unverified = F.array(*[F.lit(g[0]) for g in K.GEAR if g[2] in ("dolly", "support") and not g[-1]]).cast("array<string>")
     return out.select(
         "scan_id", "name", "verdict", r("workable_m2", 1).alias("workable_m2"), r("workable_fraction", 2).alias("workable_fraction"), r("run_m", 2).alias("longest_run_m"), "sound_verdict",
         F.to_json(F.struct("verdict", "failing", r("scale_confidence", 3).alias("scale_confidence"), r("surveyed_fraction", 3).alias("surveyed_fraction"))).alias("trust"),
         F.to_json(F.struct(r("floor_m2", 1).alias("floor_m2"), r(F.col("ceiling_z") - F.col("floor_z"), 2).alias("ceiling_m"), r("workable_m2", 1).alias("workable_m2"))).alias("space"),
-        F.to_json(F.struct("shots")).alias("camera"), F.to_json(F.struct("fits")).alias("grip"),
+        F.to_json(F.struct("shots")).alias("camera"), F.to_json(F.struct("fits", unverified.alias("unverified_dimensions"))).alias("grip"),
         F.to_json(F.struct(r("volume_m3", 1).alias("volume_m3"), *[r(f"rt60_{k}_s", 2).alias(k) for k in ("softest", "typical", "hardest")], F.col("sound_verdict").alias("verdict"))).alias("sound"),
         F.array_join(caveats, "; ").alias("caveats"), F.size(caveats).cast("long").alias("n_caveats"),
     )

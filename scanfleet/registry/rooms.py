@@ -83,10 +83,35 @@ def _(fx):
     return st.merge_duplicate_walls(fx.planes).select("scan_id", "plane_id")
 
 
-@query("floor_footprint", ["points", "scans"])
+def closed_sql(src: str, out: str) -> str:
+    """Cells of ``src`` after one dilation and one erosion over all neighbours, as ``out``."""
+    square = "range(-1, 2) r(a), range(-1, 2) s(b)"
+    return f"""{out}g AS (SELECT DISTINCT scan_id, i + a AS i, j + b AS j FROM {src}, {square}),
+{out} AS (SELECT scan_id, i, j FROM (SELECT scan_id, i + a AS i, j + b AS j, count(*) AS n FROM {out}g, {square} GROUP BY 1, 2, 3) WHERE n = 9)"""
+
+
+def outside_sql(src: str) -> str:
+    """``free`` cells of each scan's box round ``src``, and those that the box's corner reaches over faces, as ``outside``."""
+    return f"""box AS (SELECT scan_id, min(i) - 1 AS i0, max(i) + 1 AS i1, min(j) - 1 AS j0, max(j) + 1 AS j1 FROM {src} GROUP BY 1),
+bg AS (SELECT scan_id, i, unnest(range(j0, j1 + 1)) AS j FROM (SELECT *, unnest(range(i0, i1 + 1)) AS i FROM box)), free AS (SELECT * FROM bg ANTI JOIN {src} USING (scan_id, i, j)),
+outside AS (SELECT scan_id, i0 AS i, j0 AS j FROM box UNION SELECT f.scan_id, f.i, f.j FROM outside o, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(di, dj), free f
+ WHERE f.scan_id = o.scan_id AND f.i = o.i + di AND f.j = o.j + dj)"""
+
+
+def parts_sql(src: str, out: str, corners: bool = False) -> str:
+    """Each cell of ``src`` with the first cell of its component, as ``out``."""
+    steps = "(SELECT a AS di, b AS dj FROM range(-1, 2) r(a), range(-1, 2) s(b) WHERE a <> 0 OR b <> 0)" if corners else "(VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(di, dj)"
+    return f"""{out}r AS (SELECT scan_id, i, j, i AS a, j AS b FROM {src} UNION SELECT r.scan_id, r.i, r.j, c.i, c.j FROM {out}r r, {steps}, {src} c
+ WHERE c.scan_id = r.scan_id AND c.i = r.a + di AND c.j = r.b + dj), {out} AS (SELECT scan_id, i, j, min((a, b)) AS part FROM {out}r GROUP BY 1, 2, 3)"""
+
+
+@query("floor_footprint", ["points", "scans"], f"""WITH RECURSIVE base AS (SELECT DISTINCT p.scan_id, CAST(floor(x / 0.5e0) AS BIGINT) AS i, CAST(floor(y / 0.5e0) AS BIGINT) AS j FROM points p JOIN scans s ON s.scan_id = p.scan_id
+ WHERE z >= floor_z - 0.1e0 AND (ceiling_z IS NULL OR z <= ceiling_z - 0.05e0)), {closed_sql("base", "shut")}, {outside_sql("shut")},
+filled AS (SELECT * FROM shut UNION ALL SELECT * FROM free ANTI JOIN outside USING (scan_id, i, j)), {parts_sql("filled", "lab")}
+SELECT scan_id, max(n) AS cells, round(max(n) * 0.25e0, 6) AS area_m2 FROM (SELECT scan_id, part, count(*) AS n FROM lab GROUP BY 1, 2) GROUP BY 1""")
 def _(fx):
-    cells = st.floor_footprint(fx.points, fx.scans, 0.25)
-    return cells.groupBy("scan_id").agg(F.count(F.lit(1)).alias("cells"), r6(F.count(F.lit(1)) * 0.0625).alias("area_m2"))
+    cells = st.floor_footprint(fx.points, fx.scans, 0.5)
+    return cells.groupBy("scan_id").agg(F.count(F.lit(1)).alias("cells"), r6(F.count(F.lit(1)) * 0.25).alias("area_m2"))
 
 
 @query("footprint_outline", ["points"], """WITH c AS (SELECT DISTINCT scan_id, CAST(floor(x / 0.15e0) AS BIGINT) AS i, CAST(floor(y / 0.15e0) AS BIGINT) AS j FROM points),
@@ -383,9 +408,17 @@ def _(fx):
     return cp.capture_bounds(fx.points, fx.scans, fx.cameras, 0.2)[1]
 
 
-@query("capture_bounds_inferred", ["points", "scans"])
+_NEAR_FLOOR = f"""near AS (SELECT p.scan_id, CAST(floor(x / 0.2e0) AS BIGINT) AS i, CAST(floor(y / 0.2e0) AS BIGINT) AS j FROM points p JOIN scans s ON s.scan_id = p.scan_id WHERE abs(z - floor_z) <= {K.CAPTURE_FLOOR_BAND_M!r}e0),
+base AS (SELECT DISTINCT scan_id, i, j FROM near SEMI JOIN (SELECT scan_id FROM near GROUP BY 1 HAVING count(*) >= 3) USING (scan_id))"""
+
+
+@query("capture_bounds_inferred", ["points", "scans"], f"""WITH RECURSIVE {_NEAR_FLOOR}, {closed_sql("base", "shut")}, {parts_sql("shut", "lab", corners=True)},
+kept AS (SELECT scan_id, i, j FROM lab SEMI JOIN (SELECT scan_id, part FROM lab GROUP BY 1, 2 HAVING count(*) * 0.2e0 * 0.2e0 >= {K.MIN_PART_AREA_M2!r}e0) USING (scan_id, part)), {outside_sql("kept")},
+void AS (SELECT * FROM free ANTI JOIN outside USING (scan_id, i, j)), {parts_sql("void", "hole")},
+whole AS (SELECT scan_id, i, j FROM kept UNION ALL SELECT scan_id, i, j FROM hole SEMI JOIN (SELECT scan_id, part FROM hole GROUP BY 1, 2 HAVING count(*) * 0.2e0 * 0.2e0 < {K.MIN_VOID_AREA_M2!r}e0) USING (scan_id, part))
+SELECT s.scan_id, floor_z AS z_lo, floor_z AS z_hi, round(coalesce(n * (0.2e0 * 0.2e0), 0e0), 6) AS area_m2, 'inferred' AS source FROM scans s LEFT JOIN (SELECT scan_id, count(*) AS n FROM whole GROUP BY 1) w ON w.scan_id = s.scan_id""")
 def _(fx):
-    return cp.capture_bounds(fx.points, fx.scans, None, 0.2)[1]
+    return rounded(cp.capture_bounds(fx.points, fx.scans, None, 0.2)[1], "area_m2")
 
 
 _CARVE = """vox AS (SELECT scan_id, min(x) - 0.5e0 AS gx, min(y) - 0.5e0 AS gy, min(z) - 0.5e0 AS gz, CAST(ceil((max(x) - min(x) + 1.0e0) / 0.5e0) AS BIGINT) AS dx, CAST(ceil((max(y) - min(y) + 1.0e0) / 0.5e0) AS BIGINT) AS dy, CAST(ceil((max(z) - min(z) + 1.0e0) / 0.5e0) AS BIGINT) AS dz FROM points GROUP BY 1),
@@ -553,11 +586,11 @@ def _(fx):
 
 
 _VER = """req AS (SELECT scan_id, cam_id AS request_id, x, y, z, x + 0.8e0 AS bx, y + 0.3e0 AS b2, z + 0.1e0 * (cam_id % 9) AS bz FROM cameras), m AS (SELECT scan_id, CASE WHEN scan_id % 9 = 0 THEN NULL ELSE (scan_id % 6) / 100.0e0 END AS sp, CASE WHEN scan_id % 5 = 0 THEN NULL ELSE (scan_id % 70) / 1000.0e0 END AS dr, (scan_id % 10) / 10.0e0 AS cf FROM scans),
-d AS (SELECT *, sqrt((bx-x)*(bx-x) + (b2-y)*(b2-y) + (bz-z)*(bz-z)) AS d FROM req JOIN m USING (scan_id)), t AS (SELECT *, sqrt(2e0) * 0.5e0 * sp AS t1, dr * least(1e0, d / sqrt(5e0*5e0 + 4.2e0*4.2e0 + 2.7e0*2.7e0)) AS t2, 0.01e0 * (1 - cf) * d AS t3 FROM d)"""
+d AS (SELECT *, sqrt((bx-x)*(bx-x) + (b2-y)*(b2-y) + (bz-z)*(bz-z)) AS d FROM req JOIN m USING (scan_id)), t AS (SELECT *, sqrt(2e0) * 0.5e0 * sp AS t1, dr * least(1e0, d / sqrt(5e0*5e0 + 4.2e0*4.2e0 + 2.7e0*2.7e0)) AS t2, CASE WHEN cf > 0 THEN 0.01e0 * (1 - cf) * d END AS t3 FROM d)"""
 
 
-@query("verify_measurement", ["cameras", "scans"], f"""WITH {_VER} SELECT scan_id, request_id, round(d, 3) AS distance_m, CASE WHEN t1 IS NOT NULL AND t2 IS NOT NULL THEN greatest(0.001e0, round(sqrt(t1*t1 + t2*t2 + t3*t3), 3)) END AS uncertainty_m,
-greatest(0.001e0, round(sqrt(coalesce(t1*t1, 0e0) + coalesce(t2*t2, 0e0) + t3*t3), 3)) AS uncertainty_floor_m, cam_in AS within_capture FROM (SELECT t.*, request_id % 2 = 0 AS cam_in FROM t)""")
+@query("verify_measurement", ["cameras", "scans"], f"""WITH {_VER} SELECT scan_id, request_id, round(d, 3) AS distance_m, CASE WHEN t1 IS NOT NULL AND t2 IS NOT NULL AND t3 IS NOT NULL THEN greatest(0.001e0, round(sqrt(t1*t1 + t2*t2 + t3*t3), 3)) END AS uncertainty_m,
+CASE WHEN coalesce(t1, t2, t3) IS NOT NULL THEN greatest(0.001e0, round(sqrt(coalesce(t1*t1, 0e0) + coalesce(t2*t2, 0e0) + coalesce(t3*t3, 0e0)), 3)) END AS uncertainty_floor_m, cam_in AS within_capture FROM (SELECT t.*, request_id % 2 = 0 AS cam_in FROM t)""")
 def _(fx):
     c = F.col
     req = fx.cameras.select("scan_id", c("cam_id").alias("request_id"), c("x").alias("ax"), c("y").alias("ay"), c("z").alias("az"), (c("x") + 0.8).alias("bx"), (c("y") + 0.3).alias("by"), (c("z") + 0.1 * (c("cam_id") % 9)).alias("bz"))
