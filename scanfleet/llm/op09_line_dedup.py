@@ -6,7 +6,7 @@ has ``fuzzy_words`` words or more and an earlier one is at an edit distance of o
 Whether that earlier line stays itself doesn't matter.
 
 Equal lines are one, with their first place. Of the others, only those that share a half with another line can lie within the bound, since one
-edit leaves one half as it is; that is an exact filter on four keys a line. What is left emits its whole neighbourhood as hashed keys: the
+edit leaves one half as it is; that is an exact filter on two or four keys a line. What is left emits its whole neighbourhood as hashed keys: the
 line without each of its words, and the line itself with a gap at each place. A key is the hash of what stands before and after, so lines
 that share one are all within one edit of each other. Each is joined to the earliest of its key, never to all, and the distance is
 verified on the words.
@@ -31,13 +31,25 @@ _PLACE = "struct<none:boolean,doc_id:bigint,text_key:bigint,line_no:int>"
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
+    """Lower case, single spaces. The regular expression is left to lines that have a run of white space."""
+    plain = F.translate(line, "\t\r\x0b\x0c", "    ")
+    return F.lower(F.trim(F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain)))
+
+
+def _step(n: Column) -> Column:
+    """The largest whole power of 1.25, rounded down, that n reaches: neighbouring lengths mostly have the same."""
+    return F.floor(F.pow(F.lit(1.25), F.floor(F.log(1.25, n) + 1e-9))).cast("int")
 
 
 def _halves(line: Column, n: Column) -> Column:
-    """Hashes of the first and last m words, for each m that half of the shorter of two lines can have."""
-    keys = [F.xxhash64(F.lit(side), m, F.call_function("substring_index", line, F.lit(" "), m * F.lit(sign))) for m in (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")) for side, sign in ((0, 1), (1, -1))]
-    return F.array_distinct(F.array(*keys))
+    """Hashes of the first and last m words. Two lines within one edit share the first or the last half of the shorter one, so also
+    any smaller m; each line has the m of its own length and of one word less, which are mostly the same."""
+
+    def ends(m: Column) -> list[Column]:
+        return [F.xxhash64(F.lit(side), m, F.call_function("substring_index", line, F.lit(" "), m * F.lit(side))) for side in (1, -1)]
+
+    own, less = _step(F.floor(n / 2)), _step(F.floor((n - 1) / 2))
+    return F.when(own == less, F.array(*ends(own))).otherwise(F.array(*ends(own), *ends(less)))
 
 
 def lines_of(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
@@ -90,8 +102,11 @@ def dropped_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORD
     near_any = half.join(shared, "half", "left_semi").select("k1").distinct()
     some = cut_lineage(distinct.join(near_any, "k1", "left_semi").select("k1", "place"))
     texts = cut_lineage(_with_lines(docs, text, some, broadcast_rows).join(some, "k1"))
-    keys = texts.select("k1", "place", F.explode(F.array_distinct(_neighbourhood(F.col("words")))).alias("key"))
-    earliest = keys.groupBy("key").agg(F.min(F.struct("place", "k1")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("first.k1").alias("first"))
+    every = texts.select("k1", F.explode(F.array_distinct(_neighbourhood(F.col("words")))).alias("key"))
+    met = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # only keys that more than one line has carry the lines' places
+    keys = cut_lineage(every.join(met, "key", "left_semi").join(some, "k1"))
+    earliest = keys.groupBy("key").agg(F.min(F.struct("place", "k1")).alias("first")).select("key", F.col("first.k1").alias("first"))
     pairs = keys.join(earliest, "key").where("k1 <> first").select("k1", "first").distinct()
     left, right = texts.select("k1", F.col("words").alias("a")), texts.select(F.col("k1").alias("first"), F.col("words").alias("b"))
     near = pairs.join(left, "k1").join(right, "first").where(within_one(F.col("a"), F.col("b"))).select("k1").distinct()
