@@ -261,17 +261,34 @@ def parse(docs: DataFrame, media: str = "media", out: str = "audio") -> DataFram
     @F.arrow_udf(AUDIO_DDL)
     def parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for streams in slices(batches):
-            rows = [read(s.as_py()) for s in streams]
-            for r in rows:
-                r["tags"] = list(r["tags"].items())
-            yield pa.array(rows, type=AUDIO)
+            yield _audio([s.as_py() for s in streams])
 
     return docs.withColumn(out, parsed(F.col(media)))
 
 
+def _audio(streams: list[bytes | None]) -> pa.Array:
+    rows = [read(s) for s in streams]
+    for r in rows:
+        r["tags"] = list(r["tags"].items())
+    return pa.array(rows, type=AUDIO)
+
+
+def store_and_parse(docs: DataFrame, text: str = "text", media: str = "media", audio: str = "audio") -> DataFrame:
+    """``store`` and then ``parse`` in one Python worker a task, so that streams don't go back and forth between the two."""
+
+    @F.arrow_udf(f"struct<media:binary,audio:{AUDIO_DDL}>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in slices(batches):
+            stored = [write(payload_of(t.as_py())) for t in texts]
+            yield pa.StructArray.from_arrays([pa.array(stored, type=pa.binary()), _audio(stored)], names=["media", "audio"])
+
+    done = docs.withColumn("_both", both(F.col(text)))
+    return done.withColumns({media: F.col("_both.media"), audio: F.col("_both.audio")}).drop("_both")
+
+
 @query("op10_mpeg_audio")
 def op10_mpeg_audio(spark, sf_dir):
-    done = parse(store(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    done = store_and_parse(table(spark, sf_dir, "documents").select("doc_id", "text"))
     audio = F.col("audio")
     return done.select(
         "doc_id",

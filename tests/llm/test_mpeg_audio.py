@@ -81,5 +81,9 @@ def test_query(spark, tmp_path):
         assert r.payload_sha256 == hashlib.sha256(raw).hexdigest() and r.tail_crc32 == zlib.crc32(raw[-32:])
         media = M.write(raw)
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+    docs = spark.createDataFrame([*enumerate(TEXTS)], "doc_id long, text string")
+    cols = ["doc_id", "media", "audio"]
+    by_id = lambda df: {r.doc_id: r for r in df.select(*cols).collect()}
+    assert by_id(M.parse(M.store(docs))) == by_id(M.store_and_parse(docs))
     assert M.parse(M.store(spark.createDataFrame([], "text string"))).count() == 0
     assert M.parse(spark.createDataFrame([(None, 1)], "media binary, audio int")).first().audio.frames == 0
