@@ -248,7 +248,8 @@ def refine_on_floor(ups: DataFrame, planes: DataFrame) -> DataFrame:
     tilt = F.degrees(F.asin(F.least(F.lit(1.0), F.abs("_c"))))
     walls = rows.where(F.abs("_c") <= math.sin(math.radians(K.WALL_TOL_DEG))).groupBy("scan_id").agg(F.sqrt(F.sum(F.col("_w") * tilt * tilt) / F.sum("_w")).alias("_scatter"), F.count(F.lit(1)).alias("_k"))
     out = ups.join(best, "scan_id", "left").join(walls, "scan_id", "left")
-    swing = F.degrees(F.acos(F.least(F.lit(1.0), F.abs(F.col("b")["_c"]))))
+    # least() passes over nulls, so a scan without such a plane must not look level
+    swing = F.when(F.col("b").isNotNull(), F.degrees(F.acos(F.least(F.lit(1.0), F.abs(F.col("b")["_c"])))))
     room = F.when(F.col("_k") >= 2, vec.clip(F.col("_scatter"), K.REFINE_MAX_DEG, K.REFINE_MAX_TOLERANCE_DEG)).otherwise(K.REFINE_MAX_DEG)
     out = out.withColumns({"swing_deg": swing, "_tol": F.coalesce(room, F.lit(K.REFINE_MAX_DEG))})
     take = F.coalesce(F.col("swing_deg") <= F.col("_tol"), F.lit(False))
