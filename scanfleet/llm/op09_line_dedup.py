@@ -31,9 +31,11 @@ _PLACE = "struct<none:boolean,doc_id:bigint,text_key:bigint,line_no:int>"
 
 
 def normal(line: Column) -> Column:
-    """Lower case, single spaces. The regular expression is left to lines that have a run of white space."""
-    plain = F.translate(line, "\t\r\x0b\x0c", "    ")
-    return F.lower(F.trim(F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain)))
+    """Lower case, single spaces. The regular expression is left to lines with other white space or a run of it."""
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\r\x0b\x0c":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.lower(F.trim(F.when(odd, F.regexp_replace(line, r"\s+", " ")).otherwise(line)))
 
 
 def _step(n: Column) -> Column:
@@ -102,7 +104,7 @@ def dropped_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORD
     near_any = half.join(shared, "half", "left_semi").select("k1").distinct()
     some = cut_lineage(distinct.join(near_any, "k1", "left_semi").select("k1", "place"))
     texts = cut_lineage(_with_lines(docs, text, some, broadcast_rows).join(some, "k1"))
-    every = texts.select("k1", F.explode(F.array_distinct(_neighbourhood(F.col("words")))).alias("key"))
+    every = cut_lineage(texts.select("k1", F.explode(F.array_distinct(_neighbourhood(F.col("words")))).alias("key")))
     met = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     # only keys that more than one line has carry the lines' places
     keys = cut_lineage(every.join(met, "key", "left_semi").join(some, "k1"))
