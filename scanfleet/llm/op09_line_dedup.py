@@ -56,8 +56,10 @@ def _halves(line: Column, n: Column) -> Column:
 
 def lines_of(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
     """A row per line that is compared: its place, two hashes, and its halves' keys where it can have near ones."""
-    exploded = docs.where(F.col(text).isNotNull()).select("doc_id", F.xxhash64(text).alias("text_key"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "raw"))
-    lines = exploded.withColumn("line", normal(F.col("raw"))).withColumn("words", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    # normalised before they are exploded: as a generator's output a line is computed once, however often it is used below
+    found = F.transform(F.split(F.col(text), "\n"), normal)
+    exploded = docs.where(F.col(text).isNotNull()).select("doc_id", F.xxhash64(text).alias("text_key"), F.posexplode(found).alias("line_no", "line"))
+    lines = exploded.withColumn("words", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), "text_key", "line_no").cast(_PLACE)
     halves = F.when(F.col("words") >= fuzzy_words, _halves(F.col("line"), F.col("words")))
     return lines.where(F.col("words") >= min_words).select(place.alias("place"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("again"), "line").alias("k2"), halves.alias("halves"))
