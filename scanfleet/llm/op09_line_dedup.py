@@ -5,6 +5,10 @@ order of doc_id, text_key (a hash of the text) and line number; shorter ones alw
 has ``fuzzy_words`` words or more and an earlier one is at an edit distance of one word (one inserted, left out or replaced).
 Whether that earlier line stays itself doesn't matter.
 
+With ``every``, each line that isn't blank is compared, whatever its number of words. A line of fewer than ``fuzzy_words`` words, such as one in a
+script without spaces, also goes if an earlier one of so few words is at an edit distance of one character and neither is shorter than
+``FUZZY_CHARS``: as with words, one edit is a tenth of the line at most. Blank lines always stay.
+
 Equal lines are one, with their first place. Of the others, only those that share a half with another line can lie within the bound, since one
 edit leaves one half as it is; that is an exact filter on two or four keys a line. What is left emits its whole neighbourhood as hashed keys: the
 line without each of its words, and the line itself with a gap at each place. A key is the hash of what stands before and after, so lines
@@ -24,6 +28,8 @@ from ..session import cut_lineage
 from .registry import query, table
 
 MIN_WORDS, FUZZY_WORDS = 5, 10
+#: Characters from which on a line of few words can have near ones: under ten, a tenth of the line is less than one edit.
+FUZZY_CHARS = 10
 #: Document keys that may be broadcast: 16 bytes each. Above, documents are shuffled instead.
 BROADCAST_ROWS = 500_000
 
@@ -43,18 +49,20 @@ def _step(n: Column) -> Column:
     return F.floor(F.pow(F.lit(1.25), F.floor(F.log(1.25, n) + 1e-9))).cast("int")
 
 
-def _halves(line: Column, n: Column) -> Column:
-    """Hashes of the first and last m words. Two lines within one edit share the first or the last half of the shorter one, so also
+def _halves(line: Column, n: Column, chars: bool = False) -> Column:
+    """Hashes of the first and last m words, or characters. Two lines within one edit share the first or the last half of the shorter one, so also
     any smaller m; each line has the m of its own length and of one word less, which are mostly the same."""
 
     def ends(m: Column) -> list[Column]:
+        if chars:
+            return [F.xxhash64(F.lit("chars"), F.lit(side), m, F.substring(line, F.lit(1) if side > 0 else -m, m)) for side in (1, -1)]
         return [F.xxhash64(F.lit(side), m, F.call_function("substring_index", line, F.lit(" "), m * F.lit(side))) for side in (1, -1)]
 
     own, less = _step(F.floor(n / 2)), _step(F.floor((n - 1) / 2))
     return F.when(own == less, F.array(*ends(own))).otherwise(F.array(*ends(own), *ends(less)))
 
 
-def lines_of(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
+def lines_of(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS, every: bool = False) -> DataFrame:
     """A row per line that is compared: its place, two hashes, and its halves' keys where it can have near ones."""
     # normalised before they are exploded: as a generator's output a line is computed once, however often it is used below
     found = F.transform(F.split(F.col(text), "\n"), normal)
@@ -62,13 +70,30 @@ def lines_of(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, fu
     lines = exploded.withColumn("words", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), "text_key", "line_no").cast(_PLACE)
     halves = F.when(F.col("words") >= fuzzy_words, _halves(F.col("line"), F.col("words")))
-    return lines.where(F.col("words") >= min_words).select(place.alias("place"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("again"), "line").alias("k2"), halves.alias("halves"))
+    if every:
+        halves = F.when(F.col("words") >= fuzzy_words, halves).when(F.length("line") >= FUZZY_CHARS, _halves(F.col("line"), F.length("line"), chars=True))
+    return lines.where(F.col("line") != "" if every else F.col("words") >= min_words).select(place.alias("place"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("again"), "line").alias("k2"), halves.alias("halves"))
+
 
+def _run(hashes: Column) -> Column:
+    """0 and the chained hash up to each element. An appended array is copied, so blocks of about the root of the length are run on their own."""
+    chain = lambda a, start: F.aggregate(a, F.array(start), lambda acc, h: F.array_append(acc, F.xxhash64(F.element_at(acc, -1), h)))
+    size = F.ceil(F.sqrt(F.size(hashes))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / size).cast("int")), lambda b: F.slice(hashes, b * size + 1, size))
+    zero = F.lit(0).cast("long")
+    starts = F.aggregate(blocks, F.array(zero), lambda acc, b: F.array_append(acc, F.aggregate(b, F.element_at(acc, -1), lambda h, x: F.xxhash64(h, x))))
+    within = F.transform(F.array(starts), lambda s: F.flatten(F.transform(blocks, lambda b, i: F.slice(chain(b, F.get(s, i)), F.lit(2), F.size(b)))))[0]
+    return F.concat(F.array(zero), within)
 
-def _neighbourhood(words: Column) -> Column:
+
+def _neighbourhood(words: Column, every: bool = False) -> Column:
     """Keys of a line's variants: hash(before, after) without each word, and with a gap at each place."""
     hashes = F.transform(words, lambda w: F.xxhash64(w))
-    run = lambda a: F.aggregate(a, F.array(F.lit(0).cast("long")), lambda acc, h: F.array_append(acc, F.xxhash64(F.element_at(acc, -1), h)))
+    if every:
+        # bound to variables of lambdas, so that no array is made anew for each element
+        run = lambda a: F.transform(F.array(a), _run)[0]
+    else:
+        run = lambda a: F.aggregate(a, F.array(F.lit(0).cast("long")), lambda acc, h: F.array_append(acc, F.xxhash64(F.element_at(acc, -1), h)))
     both = F.struct(run(hashes).alias("before"), F.reverse(run(F.reverse(hashes))).alias("after"), F.size(words).alias("n"))
     return F.transform(
         F.array(both),
@@ -86,27 +111,34 @@ def within_one(a: Column, b: Column) -> Column:
     return (first == 0) | (rest(a, first + 1) == rest(b, first + 1)) | (rest(a, first) == rest(b, first + 1)) | (rest(a, first + 1) == rest(b, first))
 
 
-def _with_lines(docs: DataFrame, text: str, wanted: DataFrame, limit: int) -> DataFrame:
-    """k1 and words of each line at ``wanted``'s places."""
+def _units(line: Column, fuzzy_words: int, every: bool) -> Column:
+    """Words of a line; with ``every``, the characters of one of few words, each after a line break, so that no word is the same."""
+    words = F.split(line, " ")
+    return F.when(F.size(words) < fuzzy_words, F.transform(F.split(line, ""), lambda c: F.concat(F.lit("\n"), c))).otherwise(words) if every else words
+
+
+def _with_lines(docs: DataFrame, text: str, wanted: DataFrame, limit: int, fuzzy_words: int, every: bool) -> DataFrame:
+    """k1 and words, or characters, of each line at ``wanted``'s places."""
     places = wanted.groupBy("place.doc_id", "place.text_key").agg(F.collect_list(F.struct("k1", "place.line_no")).alias("at"))
     if wanted.count() <= limit:
         places = F.broadcast(places)
     base = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_key"), F.col(text).alias("_text"))
     hit = base.join(places, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")))
     at = hit.select(F.split("_text", "\n").alias("lines"), F.explode("at").alias("a"))
-    return at.select("a.k1", F.split(normal(F.get("lines", F.col("a.line_no"))), " ").alias("words")).dropDuplicates(["k1"])
+    line = at.select("a.k1", normal(F.get("lines", F.col("a.line_no"))).alias("line"))
+    return line.select("k1", _units(F.col("line"), fuzzy_words, every).alias("words")).dropDuplicates(["k1"])
 
 
-def dropped_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def dropped_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS, broadcast_rows: int = BROADCAST_ROWS, every: bool = False) -> DataFrame:
     """doc_id, text_key, same and near: the numbers of the lines that go, for each document that loses any."""
-    lines = cut_lineage(lines_of(docs, text, min_words, fuzzy_words))
+    lines = cut_lineage(lines_of(docs, text, min_words, fuzzy_words, every))
     distinct = cut_lineage(lines.groupBy("k1", "k2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("times"), F.any_value("halves").alias("halves")))
     half = distinct.where("halves IS NOT NULL").select("k1", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("half")
     near_any = half.join(shared, "half", "left_semi").select("k1").distinct()
     some = cut_lineage(distinct.join(near_any, "k1", "left_semi").select("k1", "place"))
-    texts = cut_lineage(_with_lines(docs, text, some, broadcast_rows).join(some, "k1"))
-    every = cut_lineage(texts.select("k1", F.explode(F.array_distinct(_neighbourhood(F.col("words")))).alias("key")))
+    texts = cut_lineage(_with_lines(docs, text, some, broadcast_rows, fuzzy_words, every).join(some, "k1"))
+    every = cut_lineage(texts.select("k1", F.explode(F.array_distinct(_neighbourhood(F.col("words"), every))).alias("key")))
     met = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     # only keys that more than one line has carry the lines' places
     keys = cut_lineage(every.join(met, "key", "left_semi").join(some, "k1"))
@@ -151,10 +183,19 @@ SELECT x.doc_id, coalesce(len(string_split(x.text, chr(10))), 0) AS n_lines, coa
 FROM documents x LEFT JOIN n ON n.doc_id = x.doc_id"""
 
 
-@query("op9_line_dedup", SQL)
-def op9_line_dedup(spark, sf_dir):
+#: As above for ``every``: blank lines alone are left out, and lines of under ten words have variants by characters.
+EVERY_SQL = (
+    SQL.replace("WHERE length(line) - length(replace(line, ' ', '')) >= 4", "WHERE line <> ''")
+    .replace("FROM u, (VALUES (0), (1)) v(g) WHERE len(w) >= 10) t),", """FROM u, (VALUES (0), (1)) v(g) WHERE len(w) >= 10) t
+  UNION ALL
+  SELECT line, place, i, left(line, i - 1) || chr(2) || substr(line, i + g) AS key
+  FROM (SELECT line, place, g, unnest(range(1, length(line) + 2 - g)) AS i FROM u, (VALUES (0), (1)) v(g) WHERE len(w) < 10 AND length(line) >= 10) t),""")
+)
+
+
+def _result(spark, sf_dir, **options):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)))
-    done = dedup_lines(docs)
+    done = dedup_lines(docs, **options)
     return done.select(
         "doc_id",
         F.greatest("n_lines", F.lit(0)).cast("long").alias("n_lines"),
@@ -163,3 +204,13 @@ def op9_line_dedup(spark, sf_dir):
         F.array_join(F.sort_array(F.concat("dropped.same", "dropped.near")), ",").alias("dropped"),
         F.sha2(F.col("text"), 256).alias("text_sha256"),
     )
+
+
+@query("op9_line_dedup", SQL)
+def op9_line_dedup(spark, sf_dir):
+    return _result(spark, sf_dir)
+
+
+@query("op9_line_dedup_every", EVERY_SQL)
+def op9_line_dedup_every(spark, sf_dir):
+    return _result(spark, sf_dir, every=True)
