@@ -223,6 +223,19 @@ def test_capture_region_of_a_walk_round_a_circle(spark, n):
     assert report[0].area_m2 == pytest.approx(math.pi * 4.6**2, abs=4.0)
 
 
+@pytest.mark.parametrize("jitter", [0.004])
+def test_capture_region_of_ten_poses_at_each_stop(spark, jitter):
+    """Stops 1.57 m apart on a circle are one walk; so far away another walk of two stops is not part of it."""
+    t, rng = np.repeat(np.arange(16), 10) * 2 * np.pi / 16, np.random.default_rng(3)
+    x, y = 4 * np.cos(t) + rng.uniform(-jitter, jitter, 160), 4 * np.sin(t) + rng.uniform(-jitter, jitter, 160)
+    x, y = np.append(x, [40.0] * 10 + [41.5] * 10), np.append(y, [0.0] * 20)
+    cams = spark.createDataFrame(pd.DataFrame({"scan_id": 1, "cam_id": np.arange(180), "x": x, "y": y, "z": 1.5}))
+    pts = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0)], "scan_id long, point_id long, x double, y double, z double")
+    report = cp.capture_bounds(pts, spark.createDataFrame([(1, 0.0)], "scan_id long, floor_z double"), cams, 0.1)[1].collect()
+    assert [r.source for r in report] == ["poses+largest-part"]
+    assert report[0].area_m2 == pytest.approx(math.pi * 4.6**2, abs=4.0)
+
+
 def test_a_long_ray_stops_at_a_thin_wall(spark):
     """Over a thousand voxels long, and a wall one voxel thick: nothing behind it is freed."""
     pts = spark.createDataFrame([(1, 0, 150.05, 0.05, 0.05)], "scan_id long, point_id long, x double, y double, z double")
