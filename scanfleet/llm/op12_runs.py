@@ -17,8 +17,9 @@ is one task's work, in memory of some tens of bytes a word and level. Columns of
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -209,24 +210,30 @@ def collapse(words: list[bytes], runs: list[tuple[int, int, int]]) -> str:
     return b" ".join([words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]).decode()
 
 
-_RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
-_OUT = pa.struct([("runs", pa.list_(_RUN)), ("collapsed", pa.string())])
+_RUNS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
 
 
-def find_runs(docs: DataFrame, text: str | Column = "text", runs: str = "runs", collapsed: str = "collapsed", min_length: int = MIN_LENGTH, min_exponent: int = MIN_EXPONENT) -> DataFrame:
-    """``docs`` with ``runs``, array<struct<start, length, period>> by start and then period, and ``collapsed``, the text without what runs repeat."""
+def find_runs(
+    docs: DataFrame, text: str = "text", runs: str = "runs", collapsed: str = "collapsed", min_length: int = MIN_LENGTH, min_exponent: int = MIN_EXPONENT,
+    key: str | None = None, reword: Callable[[list[bytes], int | None], list[bytes]] | None = None,
+) -> DataFrame:
+    """``docs`` with ``runs``, array<struct<start, length, period>> by start and then period, and ``collapsed``, the text without what runs repeat.
+    ``reword`` changes a text's words by its ``key`` before anything else."""
 
     @F.arrow_udf("struct<runs:array<struct<start:bigint,length:bigint,period:bigint>>,collapsed:string>")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in slices(batches, ROWS, BYTES):
-            words = [words_of(t) for t in texts.to_pylist()]
+        for rows in slices(batches, ROWS, BYTES):
+            words = [words_of(t) for t in rows.field("text").to_pylist()]
+            if reword:
+                words = [reword(w, k) for w, k in zip(words, rows.field("key").to_pylist())]
             of_texts = runs_of_texts(words, min_length, min_exponent)
             told = [[{"start": s, "length": n, "period": q} for s, n, q in x] for x in of_texts]
-            yield pa.StructArray.from_arrays([pa.array(told, type=_OUT[0].type), pa.array([collapse(w, x) for w, x in zip(words, of_texts)], type=pa.string())], names=["runs", "collapsed"])
+            yield pa.StructArray.from_arrays([pa.array(told, type=_RUNS), pa.array([collapse(w, x) for w, x in zip(words, of_texts)], type=pa.string())], names=["runs", "collapsed"])
 
-    made = found(F.col(text) if isinstance(text, str) else text)
-    # the struct is made in a column of its own first, or each field would ask for it again
-    name = next(n for n in ("_runs", "_runs_", "_runs__", "_runs___") if n not in docs.columns)
+    made = found(F.struct(F.col(text).alias("text"), (F.col(key) if key else F.lit(None)).cast("long").alias("key")))
+    name = "_runs"
+    while name in docs.columns:
+        name += "_"
     return docs.withColumn(name, made).withColumns({runs: F.col(name)["runs"], collapsed: F.col(name)["collapsed"]}).drop(name)
 
 
@@ -241,26 +248,21 @@ def best_run(runs: Column) -> Column:
     return F.aggregate(runs, F.get(runs, F.lit(0)), better)
 
 
-def with_repeats(text: Column, doc_id: Column) -> Column:
-    """The text, of which every tenth document's words repeat from some word on, as crc32 of the decimal doc_id says. Null ids stay as they are."""
-    h = F.crc32(doc_id.cast("string").cast("binary"))
-    g = F.floor(h / 10).cast("long")
-    words = F.regexp_extract_all(text, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
-
-    def repeated(parts: Column) -> Column:
-        n = F.size(parts).cast("long")
-        a = g % n
-        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
-        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(parts, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
-
-    # the words are bound once by a lambda, so that they aren't split anew for every one of them
-    return F.when((h % 10 == 0) & text.rlike("[^\\x20\\x09-\\x0D]"), F.get(F.transform(F.array(words), repeated), F.lit(0))).otherwise(text)
+def with_repeats(words: list[bytes], doc_id: int | None) -> list[bytes]:
+    """The words, which from some word on repeat in every tenth document, as crc32 of the decimal doc_id says. A null id changes nothing."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
 
 
 @query("op12_word_runs")
 def op12_word_runs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = find_runs(docs, with_repeats(F.col("text"), F.col("doc_id"))).select("doc_id", "runs", "collapsed", best_run(F.col("runs")).alias("best"))
+    done = find_runs(docs, key="doc_id", reword=with_repeats).select("doc_id", "runs", "collapsed", best_run(F.col("runs")).alias("best"))
     lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
     return done.select(
         "doc_id",
