@@ -1,22 +1,19 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations alone.
 
-A line is what stands between line breaks, lower-cased and with single spaces. Lines of ``min_words`` words or more are compared, in the
-order of doc_id, text_key (a hash of the text) and line number; shorter ones always stay. A line goes if an earlier line is the same, or if it
-has ``fuzzy_words`` words or more and an earlier one is at an edit distance of one word (one inserted, left out or replaced).
-Whether that earlier line stays itself doesn't matter.
-
-With ``every``, each line that isn't blank is compared, whatever its number of words. A line of fewer than ``fuzzy_words`` words, such as one in a
-script without spaces, also goes if an earlier one of so few words is at an edit distance of one character and neither is shorter than
-``FUZZY_CHARS``: as with words, one edit is a tenth of the line at most. Blank lines always stay.
+A line is what stands between line breaks, lower-cased and with single spaces. Every line that isn't blank is compared, in the order of doc_id, text_key (a
+hash of the text) and line number; blank lines always stay. A line goes if an earlier line is the same, or if an earlier one is at an edit distance of one and
+neither is shorter than ten units: one edit is a tenth of the line at most. The unit is the word in lines of ``fuzzy_words`` words or more, and the character in lines of
+fewer, such as those of a script without spaces. Whether that earlier line stays itself doesn't matter.
 
 Equal lines are one, with their first place. Of the others, only those that share a half with another line can lie within the bound, since one
 edit leaves one half as it is; that is an exact filter on two or four keys a line. What is left emits its whole neighbourhood as hashed keys: the
 line without each of its words, and the line itself with a gap at each place. A key is the hash of what stands before and after, so lines
 that share one are all within one edit of each other. Each is joined to the earliest of its key, never to all, and the distance is
-verified on the words.
+verified on the words. Lines are told apart by 128 bits of hash, candidates by a number of their own.
 
 Null texts stay null; empty texts stay as they are; a text that loses all lines is empty. Rows that agree in doc_id and text are one document
-given twice: they keep the same lines. Null doc_ids come last. An empty table gives an empty table.
+given twice: they keep the same lines. Null doc_ids come last. An empty table gives an empty table. A column that already has the output's name is replaced; all
+others stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .names import free
 from .registry import query, table
 
-MIN_WORDS, FUZZY_WORDS = 5, 10
+FUZZY_WORDS = 10
 #: Characters from which on a line of few words can have near ones: under ten, a tenth of the line is less than one edit.
 FUZZY_CHARS = 10
 #: Document keys that may be broadcast: 16 bytes each. Above, documents are shuffled instead.
@@ -62,17 +60,16 @@ def _halves(line: Column, n: Column, chars: bool = False) -> Column:
     return F.when(own == less, F.array(*ends(own))).otherwise(F.array(*ends(own), *ends(less)))
 
 
-def lines_of(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS, every: bool = False) -> DataFrame:
-    """A row per line that is compared: its place, two hashes, and its halves' keys where it can have near ones."""
+def lines_of(docs: DataFrame, text: str = "text", fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
+    """A row per line that isn't blank: its place, two hashes, and its halves' keys where it can have near ones."""
     # normalised before they are exploded: as a generator's output a line is computed once, however often it is used below
     found = F.transform(F.split(F.col(text), "\n"), normal)
     exploded = docs.where(F.col(text).isNotNull()).select("doc_id", F.xxhash64(text).alias("text_key"), F.posexplode(found).alias("line_no", "line"))
     lines = exploded.withColumn("words", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), "text_key", "line_no").cast(_PLACE)
-    halves = F.when(F.col("words") >= fuzzy_words, _halves(F.col("line"), F.col("words")))
-    if every:
-        halves = F.when(F.col("words") >= fuzzy_words, halves).when(F.length("line") >= FUZZY_CHARS, _halves(F.col("line"), F.length("line"), chars=True))
-    return lines.where(F.col("line") != "" if every else F.col("words") >= min_words).select(place.alias("place"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("again"), "line").alias("k2"), halves.alias("halves"))
+    by_words, by_chars = _halves(F.col("line"), F.col("words")), _halves(F.col("line"), F.length("line"), chars=True)
+    halves = F.when(F.col("words") >= fuzzy_words, by_words).when(F.length("line") >= FUZZY_CHARS, by_chars)
+    return lines.where("line <> ''").select(place.alias("place"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("again"), "line").alias("k2"), halves.alias("halves"))
 
 
 def _run(hashes: Column) -> Column:
@@ -86,14 +83,11 @@ def _run(hashes: Column) -> Column:
     return F.concat(F.array(zero), within)
 
 
-def _neighbourhood(words: Column, every: bool = False) -> Column:
+def _neighbourhood(words: Column) -> Column:
     """Keys of a line's variants: hash(before, after) without each word, and with a gap at each place."""
     hashes = F.transform(words, lambda w: F.xxhash64(w))
-    if every:
-        # bound to variables of lambdas, so that no array is made anew for each element
-        run = lambda a: F.transform(F.array(a), _run)[0]
-    else:
-        run = lambda a: F.aggregate(a, F.array(F.lit(0).cast("long")), lambda acc, h: F.array_append(acc, F.xxhash64(F.element_at(acc, -1), h)))
+    # bound to variables of lambdas, so that no array is made anew for each element
+    run = lambda a: F.transform(F.array(a), _run)[0]
     both = F.struct(run(hashes).alias("before"), F.reverse(run(F.reverse(hashes))).alias("after"), F.size(words).alias("n"))
     return F.transform(
         F.array(both),
@@ -111,42 +105,45 @@ def within_one(a: Column, b: Column) -> Column:
     return (first == 0) | (rest(a, first + 1) == rest(b, first + 1)) | (rest(a, first) == rest(b, first + 1)) | (rest(a, first + 1) == rest(b, first))
 
 
-def _units(line: Column, fuzzy_words: int, every: bool) -> Column:
-    """Words of a line; with ``every``, the characters of one of few words, each after a line break, so that no word is the same."""
+def _units(line: Column, fuzzy_words: int) -> Column:
+    """Words of a line, or the characters of one of few words, each after a line break, so that no word is the same."""
     words = F.split(line, " ")
-    return F.when(F.size(words) < fuzzy_words, F.transform(F.split(line, ""), lambda c: F.concat(F.lit("\n"), c))).otherwise(words) if every else words
+    return F.when(F.size(words) < fuzzy_words, F.transform(F.split(line, ""), lambda c: F.concat(F.lit("\n"), c))).otherwise(words)
 
 
-def _with_lines(docs: DataFrame, text: str, wanted: DataFrame, limit: int, fuzzy_words: int, every: bool) -> DataFrame:
-    """k1 and words, or characters, of each line at ``wanted``'s places."""
-    places = wanted.groupBy("place.doc_id", "place.text_key").agg(F.collect_list(F.struct("k1", "place.line_no")).alias("at"))
+def _with_lines(docs: DataFrame, text: str, wanted: DataFrame, limit: int, fuzzy_words: int) -> DataFrame:
+    """id and words, or characters, of each line at ``wanted``'s places."""
+    places = wanted.groupBy("place.doc_id", "place.text_key").agg(F.collect_list(F.struct("id", "place.line_no")).alias("at"))
     if wanted.count() <= limit:
         places = F.broadcast(places)
     base = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_key"), F.col(text).alias("_text"))
     hit = base.join(places, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")))
     at = hit.select(F.split("_text", "\n").alias("lines"), F.explode("at").alias("a"))
-    line = at.select("a.k1", normal(F.get("lines", F.col("a.line_no"))).alias("line"))
-    return line.select("k1", _units(F.col("line"), fuzzy_words, every).alias("words")).dropDuplicates(["k1"])
+    line = at.select("a.id", normal(F.get("lines", F.col("a.line_no"))).alias("line"))
+    return line.select("id", _units(F.col("line"), fuzzy_words).alias("words")).dropDuplicates(["id"])
 
 
-def dropped_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS, broadcast_rows: int = BROADCAST_ROWS, every: bool = False) -> DataFrame:
+def dropped_lines(docs: DataFrame, text: str = "text", fuzzy_words: int = FUZZY_WORDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, text_key, same and near: the numbers of the lines that go, for each document that loses any."""
-    lines = cut_lineage(lines_of(docs, text, min_words, fuzzy_words, every))
+    lines = cut_lineage(lines_of(docs, text, fuzzy_words))
     distinct = cut_lineage(lines.groupBy("k1", "k2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("times"), F.any_value("halves").alias("halves")))
     half = distinct.where("halves IS NOT NULL").select("k1", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("half")
     near_any = half.join(shared, "half", "left_semi").select("k1").distinct()
-    some = cut_lineage(distinct.join(near_any, "k1", "left_semi").select("k1", "place"))
-    texts = cut_lineage(_with_lines(docs, text, some, broadcast_rows, fuzzy_words, every).join(some, "k1"))
-    every = cut_lineage(texts.select("k1", F.explode(F.array_distinct(_neighbourhood(F.col("words"), every))).alias("key")))
-    met = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # a number that is written once stands for the line from here on
+    some = cut_lineage(distinct.join(near_any, "k1", "left_semi").select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "place"))
+    places = some.select("id", "place")
+    texts = cut_lineage(_with_lines(docs, text, places, broadcast_rows, fuzzy_words))
+    variants = cut_lineage(texts.select("id", F.explode(F.array_distinct(_neighbourhood(F.col("words")))).alias("key")))
+    met = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     # only keys that more than one line has carry the lines' places
-    keys = cut_lineage(every.join(met, "key", "left_semi").join(some, "k1"))
-    earliest = keys.groupBy("key").agg(F.min(F.struct("place", "k1")).alias("first")).select("key", F.col("first.k1").alias("first"))
-    pairs = keys.join(earliest, "key").where("k1 <> first").select("k1", "first").distinct()
-    left, right = texts.select("k1", F.col("words").alias("a")), texts.select(F.col("k1").alias("first"), F.col("words").alias("b"))
-    near = pairs.join(left, "k1").join(right, "first").where(within_one(F.col("a"), F.col("b"))).select("k1").distinct()
-    fate = distinct.join(near.withColumn("near", F.lit(True)), "k1", "left").where("times > 1 OR near").select("k1", "k2", F.col("place").alias("kept"), F.coalesce("near", F.lit(False)).alias("near"))
+    keys = cut_lineage(variants.join(met, "key", "left_semi").join(places, "id"))
+    earliest = keys.groupBy("key").agg(F.min(F.struct("place", "id")).alias("first")).select("key", F.col("first.id").alias("first"))
+    pairs = keys.join(earliest, "key").where("id <> first").select("id", "first").distinct()
+    left, right = texts.select("id", F.col("words").alias("a")), texts.select(F.col("id").alias("first"), F.col("words").alias("b"))
+    near = pairs.join(left, "id").join(right, "first").where(within_one(F.col("a"), F.col("b"))).select("id").distinct()
+    marked = near.join(some, "id").select("k1", "k2", F.lit(True).alias("near"))
+    fate = distinct.join(marked, ["k1", "k2"], "left").where("times > 1 OR near").select("k1", "k2", F.col("place").alias("kept"), F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.join(fate, ["k1", "k2"]).where("near OR place <> kept").select("place.*", "near").distinct()
     number = lambda flag: F.sort_array(F.collect_list(F.when(F.col("near") == flag, F.col("line_no"))))
     return gone.groupBy("doc_id", "text_key").agg(number(False).alias("same"), number(True).alias("near"))
@@ -154,25 +151,31 @@ def dropped_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORD
 
 def dedup_lines(docs: DataFrame, text: str = "text", out: str = "dropped", **options) -> DataFrame:
     """``docs`` with ``text`` without the lines that go, and ``out``: struct of their numbers, same and near."""
-    gone = dropped_lines(docs, text, **options).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.struct("same", "near").alias("_gone"))
-    keyed = docs.withColumn("_text_key", F.xxhash64(text))
-    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_id"]) & (keyed["_text_key"] == gone["_key"]), "left")
-    lost = F.concat("_gone.same", "_gone.near")
-    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(lost, i)), "\n")
+    id_, of_id, lost = free(docs, "_key"), free(docs, "_of"), free(docs, "_gone")
+    gone = dropped_lines(docs.select("doc_id", text), text, **options).select(F.col("doc_id").alias(of_id), F.col("text_key"), F.struct("same", "near").alias(lost))
+    gone = gone.withColumnRenamed("text_key", (of_key := free(docs, "_of_key")))
+    keyed = docs.withColumn(id_, F.xxhash64(text))
+    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(id_) == F.col(of_key)), "left")
+    numbers = F.concat(F.col(lost)["same"], F.col(lost)["near"])
+    # the lines are bound once; what stays is found by hashing, whatever the number of lines
+    left = F.transform(F.array(F.split(F.col(text), "\n")), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), numbers), lambda i: F.get(x, i)), "\n"))[0]
     none = F.array().cast("array<int>")
-    dropped = F.struct(F.coalesce("_gone.same", none).alias("same"), F.coalesce("_gone.near", none).alias("near"))
-    kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left)
-    return joined.withColumns({text: kept, out: dropped}).select(*[c for c in docs.columns if c != out], out)
+    dropped = F.struct(F.coalesce(F.col(lost)["same"], none).alias("same"), F.coalesce(F.col(lost)["near"], none).alias("near"))
+    kept = F.when(F.col(lost).isNull(), F.col(text)).otherwise(left)
+    return joined.withColumns({text: kept, out: dropped}).select(*[c for c in docs.columns if c.lower() != out.lower()], out)
 
 
 SQL = r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 o AS (SELECT doc_id, i - 1 AS line_no, lower(trim(regexp_replace(ls[i], '\s+', ' ', 'g'))) AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d) t),
-l AS (SELECT *, string_split(line, ' ') AS w FROM o WHERE length(line) - length(replace(line, ' ', '')) >= 4),
+l AS (SELECT *, string_split(line, ' ') AS w FROM o WHERE line <> ''),
 u AS (SELECT line, any_value(w) AS w, min((doc_id, line_no)) AS place FROM l GROUP BY line),
 k AS (
   SELECT line, place, i, array_to_string(w[:i - 1], ' ') || chr(1) || array_to_string(w[i + g:], ' ') AS key
-  FROM (SELECT line, place, w, g, unnest(range(1, len(w) + 2 - g)) AS i FROM u, (VALUES (0), (1)) v(g) WHERE len(w) >= 10) t),
+  FROM (SELECT line, place, w, g, unnest(range(1, len(w) + 2 - g)) AS i FROM u, (VALUES (0), (1)) v(g) WHERE len(w) >= 10) t
+  UNION ALL
+  SELECT line, place, i, left(line, i - 1) || chr(2) || substr(line, i + g) AS key
+  FROM (SELECT line, place, g, unnest(range(1, length(line) + 2 - g)) AS i FROM u, (VALUES (0), (1)) v(g) WHERE len(w) < 10 AND length(line) >= 10) t),
 near AS (SELECT DISTINCT k.line FROM k JOIN (SELECT key, min(place) AS place FROM k GROUP BY key) e ON k.key = e.key WHERE k.place > e.place),
 f AS (SELECT l.doc_id, l.line_no, near.line IS NOT NULL AS near FROM l JOIN u ON l.line = u.line LEFT JOIN near ON near.line = l.line
       WHERE near.line IS NOT NULL OR (l.doc_id, l.line_no) > u.place),
@@ -183,20 +186,10 @@ SELECT x.doc_id, coalesce(len(string_split(x.text, chr(10))), 0) AS n_lines, coa
 FROM documents x LEFT JOIN n ON n.doc_id = x.doc_id"""
 
 
-#: As above for ``every``: blank lines alone are left out, and lines of under ten words have variants by characters.
-EVERY_SQL = (
-    SQL.replace("WHERE length(line) - length(replace(line, ' ', '')) >= 4", "WHERE line <> ''")
-    .replace("FROM u, (VALUES (0), (1)) v(g) WHERE len(w) >= 10) t),", """FROM u, (VALUES (0), (1)) v(g) WHERE len(w) >= 10) t
-  UNION ALL
-  SELECT line, place, i, left(line, i - 1) || chr(2) || substr(line, i + g) AS key
-  FROM (SELECT line, place, g, unnest(range(1, length(line) + 2 - g)) AS i FROM u, (VALUES (0), (1)) v(g) WHERE len(w) < 10 AND length(line) >= 10) t),""")
-)
-
-
-def _result(spark, sf_dir, **options):
+@query("op9_line_dedup", SQL)
+def op9_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)))
-    done = dedup_lines(docs, **options)
-    return done.select(
+    return dedup_lines(docs).select(
         "doc_id",
         F.greatest("n_lines", F.lit(0)).cast("long").alias("n_lines"),
         F.size("dropped.same").cast("long").alias("n_same"),
@@ -204,13 +197,3 @@ def _result(spark, sf_dir, **options):
         F.array_join(F.sort_array(F.concat("dropped.same", "dropped.near")), ",").alias("dropped"),
         F.sha2(F.col("text"), 256).alias("text_sha256"),
     )
-
-
-@query("op9_line_dedup", SQL)
-def op9_line_dedup(spark, sf_dir):
-    return _result(spark, sf_dir)
-
-
-@query("op9_line_dedup_every", EVERY_SQL)
-def op9_line_dedup_every(spark, sf_dir):
-    return _result(spark, sf_dir, every=True)

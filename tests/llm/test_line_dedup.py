@@ -20,20 +20,20 @@ def distance(a, b):
 
 
 def brute(docs):
-    """text by doc_id, without the lines that an earlier line comes close to."""
+    """text by doc_id, without the lines that an earlier line comes close to; a line of few words is compared by characters."""
     seen, out = [], {}
+    units = lambda w: w if len(w) >= D.FUZZY_WORDS else list(" ".join(w))
     for i in sorted(docs):
-        if docs[i] is None:
-            out[i] = None
-            continue
         kept = []
-        for line in docs[i].split("\n"):
+        for line in docs[i].split("\n") if docs[i] is not None else []:
             w = words(line)
-            if len(w) < D.MIN_WORDS or not any(s == w or min(len(w), len(s)) >= D.FUZZY_WORDS and abs(len(s) - len(w)) < 2 and distance(w, s) <= 1 for s in seen):
+            kind, u = len(w) >= D.FUZZY_WORDS, units(w)
+            close = lambda s: s == w or min(len(u), len(units(s))) >= 10 and kind == (len(s) >= D.FUZZY_WORDS) and abs(len(u) - len(units(s))) < 2 and distance(u, units(s)) <= 1  # noqa: E731, B023
+            if w == [""] or not any(close(s) for s in seen):
                 kept.append(line)
-            if len(w) >= D.MIN_WORDS:
+            if w != [""]:
                 seen.append(w)
-        out[i] = "\n".join(kept)
+        out[i] = None if docs[i] is None else "\n".join(kept)
     return out
 
 
@@ -61,10 +61,13 @@ def corpus():
 def test_equals_brute_force(spark):
     docs = corpus()
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs.items()], "doc_id long, text string, dropped string, near int")
+    df = df.withColumns({c: F.lit(7) for c in ("_key", "_gone", "_OF", "_of_key", "text_key", "place", "k1", "id", "line")})
     want = brute(docs)
     for limit in (10_000, 0):
-        got = {r.doc_id: r.text for r in D.dedup_lines(df, broadcast_rows=limit).collect()}
-        assert got == want
+        done = D.dedup_lines(df, broadcast_rows=limit)
+        assert sorted(done.columns) == sorted(df.columns)
+        got = {r.doc_id: r.text for r in done.collect()}
+        assert got == want and done.where("_key + _gone + k1 = 21").count() == len(docs)
     assert want[639] == ""
 
 
@@ -83,24 +86,6 @@ def test_native(spark):
     assert spark.range(1).select(D.within_one(a, b) & D.within_one(b, a) & ~D.within_one(a, F.split(F.lit("a"), " "))).first()[0]
 
 
-def brute_every(docs):
-    """As brute, for every line that isn't blank; a line of few words is compared by characters."""
-    seen, out = [], {}
-    units = lambda w: w if len(w) >= D.FUZZY_WORDS else list(" ".join(w))
-    for i in sorted(docs):
-        kept = []
-        for line in docs[i].split("\n") if docs[i] is not None else []:
-            w = words(line)
-            kind, u = len(w) >= D.FUZZY_WORDS, units(w)
-            close = lambda s: s == w or min(len(u), len(units(s))) >= 10 and kind == (len(s) >= D.FUZZY_WORDS) and abs(len(u) - len(units(s))) < 2 and distance(u, units(s)) <= 1  # noqa: E731, B023
-            if w == [""] or not any(close(s) for s in seen):
-                kept.append(line)
-            if w != [""]:
-                seen.append(w)
-        out[i] = None if docs[i] is None else "\n".join(kept)
-    return out
-
-
 def few_words():
     docs = dict(list(corpus().items())[:60])
     lines = ["les.", "Les.", " les.", "", "  ", "yes", "yet", "a b", "1234567890", "123456789", "12345678901", "0123456789", "a b c d e f g h i j", "abcdefghij", "abcdefghi", "page number 1", "page number 2", "Page  number 13"]
@@ -110,10 +95,10 @@ def few_words():
 
 def test_every_line_equals_brute_force(spark):
     docs = few_words()
-    want = brute_every(docs)
+    want = brute(docs)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     for limit in (10_000, 0):
-        assert {r.doc_id: r.text for r in D.dedup_lines(df, every=True, broadcast_rows=limit).collect()} == want
+        assert {r.doc_id: r.text for r in D.dedup_lines(df, broadcast_rows=limit).collect()} == want
     assert want[1001] == want[2000].strip() == want[1019].strip() == want[1021].strip() == want[1016].strip() == ""
     assert want[1006] == "yet\n" and want[2001] == "\n\n"
 
@@ -122,5 +107,5 @@ def test_long_line_without_spaces(spark):
     rnd = random.Random(8)
     line = "".join(rnd.choice("日月火水木金土") for _ in range(60_000))
     df = spark.createDataFrame([(1, line), (2, line[:31_000] + "x" + line[31_000:]), (3, line[1:]), (4, "y" + line[2:-1])], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in D.dedup_lines(df, every=True).collect()}
+    got = {r.doc_id: r.text for r in D.dedup_lines(df).collect()}
     assert got[1] == line and got[2] == got[3] == "" and got[4]
