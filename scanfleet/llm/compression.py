@@ -42,15 +42,15 @@ class Dictionaries:
 
 
 def sample(rows: DataFrame, label: str, counts: dict, per_class: int, key: Column) -> DataFrame:
-    """About ``per_class`` rows of each class and never more, as ``key``'s hash picks them: first every row below a share of the hash's
-    range that leaves four times as many, then the lowest. No class's rows meet in one task before they are so few."""
+    """About ``per_class`` rows of each class and never more, with distinct ``key``, as its hash picks them: first every row below a share of the hash's
+    range that leaves four times as many, then the lowest of each key. No class's rows meet in one task before they are so few, and copies
+    of one text are one before that. ``hash`` tells their order."""
+    hashed = rows.withColumn("hash", F.xxhash64(F.lit("sample"), key))
     if not counts:
-        return rows.limit(0)
-    hashed = rows.withColumn("_h", F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(HASHES)))
+        return hashed.limit(0)
     limit = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, int(min(1.0, 4 * per_class / n) * HASHES))])
-    few = hashed.where(F.col("_h") < limit[F.col(label)])
-    order = Window.partitionBy(label).orderBy("_h", key)
-    return few.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_class).drop("_h", "_k")
+    few = hashed.where(F.pmod(F.col("hash"), F.lit(HASHES)) < limit[F.col(label)]).dropDuplicates([label, "hash"])
+    return few.withColumn("_k", F.row_number().over(Window.partitionBy(label).orderBy("hash"))).where(F.col("_k") <= per_class).drop("_k")
 
 
 def excerpt(text: Column, chars: int) -> Column:
@@ -59,5 +59,14 @@ def excerpt(text: Column, chars: int) -> Column:
 
 
 def dictionary(texts: list[str], size: int) -> bytes:
-    """Distinct texts, up to ``size`` bytes."""
-    return b"\n".join(t.encode() for t in dict.fromkeys(texts))[:size]
+    """Something of each distinct text, ``size`` bytes at most: where they don't fit, the middles of the longer ones, all cut to one length."""
+    parts = [t.encode() for t in dict.fromkeys(texts)]
+    room, left = size - len(parts), sorted(map(len, parts))
+    cut = 0
+    for i, n in enumerate(left):  # short ones leave more to the others
+        cut = max(0, room) // (len(left) - i)
+        if n > cut:
+            break
+        room, cut = room - n, n
+    middle = lambda p: p if len(p) <= cut else p[(len(p) - cut) // 2 :][:cut].decode(errors="ignore").encode()
+    return b"\n".join(map(middle, parts))[:size]

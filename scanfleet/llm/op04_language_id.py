@@ -4,8 +4,8 @@ Each language has a zstandard raw-content dictionary made of excerpts of its tex
 and the language whose dictionary makes it smallest is predicted. The relative margin to the second decides how sure that is. Where it is
 narrow, the text is compressed once more at the strongest level; where it stays narrow, the text is rejected.
 
-Dictionaries come from a bounded sample: at most ``per_language`` texts of each language, excerpts of ``excerpt_chars``, ``size`` bytes in
-all. Everything is lower-cased. Null texts and texts without a letter are ``und`` with score 0 and rejected, as is everything where no
+Dictionaries come from a bounded sample: at most ``per_language`` distinct texts of each of the ``max_languages`` values of lang that have the most rows (ties by
+name; others are not learned), excerpts of ``excerpt_chars``, shortened to one length where a language's don't fit ``size`` bytes. Everything is lower-cased. Null texts and texts without a letter are ``und`` with score 0 and rejected, as is everything where no
 language was learned; with one language learned, every other text is predicted as it with score 1. Ties go to the language that comes
 first by name. Repeated rows get equal predictions; texts of any length are read whole. A column that already has the output's
 name is replaced.
@@ -55,16 +55,16 @@ class LanguageModel:
         return ranked[0][1], (ranked[1][0] - ranked[0][0]) / ranked[1][0]
 
 
-def train(labelled: DataFrame, per_language: int = 400, excerpt_chars: int = 1500, size: int = 200_000, narrow: float = NARROW) -> LanguageModel:
+def train(labelled: DataFrame, per_language: int = 400, excerpt_chars: int = 1500, size: int = 200_000, narrow: float = NARROW, max_languages: int = 200) -> LanguageModel:
     """A model from rows of text and lang; rows where either is null or the text is empty teach nothing."""
     rows = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    few = sample(rows, "lang", counts, per_language, F.col("text")).select("lang", F.lower(excerpt(F.col("text"), excerpt_chars)).alias("text"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    few = sample(rows, "lang", counts, per_language, F.col("text")).select("lang", "hash", F.lower(excerpt(F.col("text"), excerpt_chars)).alias("text"))
     texts: dict[str, list[str]] = {}
-    for r in few.collect():
+    for r in sorted(few.collect(), key=lambda r: r["hash"]):
         texts.setdefault(r["lang"], []).append(r["text"])
     languages = sorted(texts)
-    return LanguageModel(languages, Dictionaries([dictionary(sorted(texts[x]), size) for x in languages], LEVEL, CHUNK), narrow)
+    return LanguageModel(languages, Dictionaries([dictionary(texts[x], size) for x in languages], LEVEL, CHUNK), narrow)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out: str = "language") -> DataFrame:

@@ -5,7 +5,7 @@ difference of the two sizes over their sum is the feature; a logistic curve, fit
 dictionary and weighted to the classes' true shares, makes it a probability.
 
 Both come from a bounded sample: at most ``per_class`` texts of each class, two thirds for the dictionaries (excerpts of ``excerpt_chars``,
-``size`` bytes a class) and the rest, whole, for the curve. A text labelled more than once counts as good if half of its labels or more do. Null and
+shortened to one length where they don't fit ``size`` bytes a class or the other class has less) and the rest, whole, for the curve. A text labelled more than once counts as good if half of its labels or more do. Null and
 empty texts have a difference of 0. Where a class has no text, every score is the share of good labels (0.5 without labels). Repeated
 rows get equal scores; texts of any length are read whole. A column that already has the output's name is replaced.
 """
@@ -65,7 +65,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]
     return float(b[0] / scale), float(b[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2400, excerpt_chars: int = 400, size: int = 300_000) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2400, excerpt_chars: int = 800, size: int = 300_000) -> QualityModel:
     """A model from doc_id and text, and doc_id and quality."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
     counts = {r["good"]: r["count"] for r in known.groupBy("good").count().collect()}
@@ -76,12 +76,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2400, excerpt_cha
         few = F.broadcast(sample(known, "good", counts, per_class, F.col("doc_id")).select("doc_id", "good"))
         rows = docs.where(F.length("text") > 0).join(few, "doc_id").select("doc_id", "good", "text")
         role = F.pmod(F.xxhash64(F.lit("role"), F.col("text")), F.lit(3))
-        told = rows.select("good", F.when(role < 2, excerpt(F.col("text"), excerpt_chars)).alias("part"), F.when(role == 2, F.col("text")).alias("text"))
+        told = rows.select("good", F.xxhash64("text").alias("hash"), F.when(role < 2, excerpt(F.col("text"), excerpt_chars)).alias("part"), F.when(role == 2, F.col("text")).alias("text"))
         # a repeated id brings its rows along; per class and part, only so many come to the driver
-        kept = [told.where((F.col("good") == g) & F.col(c).isNotNull()).select(c).limit(per_class) for g in (0, 1) for c in ("part", "text")]
-        (bad, bad_test), (good, good_test) = [[sorted(r[0] for r in kept[2 * g + i].collect()) for i in (0, 1)] for g in (0, 1)]
+        kept = [told.where((F.col("good") == g) & F.col(c).isNotNull()).orderBy("hash", c).select(c).limit(per_class) for g in (0, 1) for c in ("part", "text")]
+        (bad, bad_test), (good, good_test) = [[[r[0] for r in kept[2 * g + i].collect()] for i in (0, 1)] for g in (0, 1)]
         if bad and good and bad_test and good_test:
-            model = QualityModel(Dictionaries([dictionary(bad, size), dictionary(good, size)], LEVEL, CHUNK), 1.0, 0.0)
+            room = min(len(dictionary(bad, size)), len(dictionary(good, size)))  # the same for both, or the larger one finds more in any text
+            model = QualityModel(Dictionaries([dictionary(bad, room), dictionary(good, room)], LEVEL, CHUNK), 1.0, 0.0)
             x = np.array([model.difference(t) for t in bad_test + good_test])
             y = np.array([0] * len(bad_test) + [1] * len(good_test))
             model.slope, model.offset = fit_curve(x, y, share)

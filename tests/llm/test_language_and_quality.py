@@ -1,7 +1,10 @@
+import math
 import os
 import random
 
+import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from scanfleet.llm import op04_language_id as L
@@ -74,3 +77,62 @@ def test_quality_edges(spark):
 def test_quality_held_out(spark):
     done = Q.op7_quality(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").collect()
     assert len(done) > 800 and sum(r.predicted == r.quality for r in done) / len(done) > 0.95
+
+
+def plain_size(data, content, level, chunk):
+    """Compressed bytes by the library's one-shot call, with nothing digested before or kept after."""
+    total = 0
+    for i in range(0, max(1, len(data)), chunk):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=level)
+        c = zstandard.ZstdCompressor(dict_data=d, level=level, write_content_size=False, write_checksum=False, write_dict_id=False)
+        total += len(c.compress(data[i : i + chunk]))
+    return total
+
+
+def test_language_equals_plain_compression(spark):
+    model = L.train(toy(spark))
+    rnd = random.Random(5)
+    texts = [prose(rnd, rnd.choice(["xx", "yy"]), n) for n in (1, 3, 20, 2000)] + [prose(rnd, "xx", 4) + " " + prose(rnd, "yy", 4), "q", "ALPHA Uno", "é" * 5000]
+    rows = L.identify(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for text, row in zip(texts, rows):
+        data, narrow = text.lower().encode(), None
+        for level in (L.LEVEL, L.STRONGEST):
+            sizes = sorted((plain_size(data, c, level, L.CHUNK), name) for c, name in zip(model.dictionaries.contents, model.languages))
+            margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+            narrow = margin <= model.narrow
+            if not narrow:
+                break
+        assert (row.language.lang, row.language.rejected) == (sizes[0][1], narrow) and row.language.score == pytest.approx(1 - math.exp(-margin / L.SURE))
+
+
+def test_quality_equals_plain_compression(spark):
+    rnd = random.Random(6)
+    bad, good = (("BUY!! NOW!! " * 40 + prose(rnd, "yy", 50)).encode(), prose(rnd, "xx", 200).encode())
+    model = Q.QualityModel(Q.Dictionaries([bad, good], Q.LEVEL, Q.CHUNK), 9.0, -0.5)
+    texts = [None, "", "x", prose(rnd, "xx", 900), "BUY!! " * 700, prose(rnd, "yy", 30)]
+    got = [r.quality for r in Q.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    for text, score in zip(texts, got):
+        b, g = (plain_size(text.encode(), c, Q.LEVEL, Q.CHUNK) for c in (bad, good)) if text else (0, 0)
+        assert score == pytest.approx(1 / (1 + math.exp(-(9.0 * ((b - g) / (b + g) if text else 0) - 0.5))))
+
+
+def test_dictionary_has_something_of_every_text():
+    texts = ["a" * 10, "b" * 1000, "c" * 500, "a" * 10, "d" * 3]
+    whole = L.dictionary(texts, 5000)
+    assert whole.split(b"\n") == [b"a" * 10, b"b" * 1000, b"c" * 500, b"d" * 3]
+    cut = L.dictionary(texts, 400).split(b"\n")
+    assert [len(p) for p in cut] == [10, 191, 191, 3] and len(L.dictionary(texts, 400)) <= 400
+    assert L.dictionary([], 10) == b"" and len(L.dictionary(["é" * 50] * 2, 33)) <= 33
+
+
+def test_samples_are_bounded_and_distinct(spark):
+    rows = [(i, "same text" if i % 3 == 0 else f"text {i}", f"l{i % 2}" if i < 900 else f"rare{i}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few = L.sample(df.select("lang", "text"), "lang", {"l0": 450, "l1": 450}, 50, F.col("text")).collect()
+    for lang in ("l0", "l1"):
+        texts = [r.text for r in few if r.lang == lang]
+        assert len(texts) == len(set(texts)) == 50
+    assert L.train(df, max_languages=3).languages == ["l0", "l1", "rare900"]
+    order = np.array([r.hash for r in few])
+    assert len(set(order.tolist())) > 90
