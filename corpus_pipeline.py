@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Each stage takes the documents that its predecessor kept and returns the columns of documents; the last returns packed pieces. ``n_chars``
-follows the text where a stage changes it.
+follows the text where a stage changes it. Null texts have no language and go with the first stage, unless nothing could be learned; rows that repeat are documents of
+their own until near duplicates go; ties go to the smaller doc_id. Other columns of documents stay, whatever their names. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanfleet.llm import op01_secrets, op02_ngram_join, op03_packing, op04_language_id, op09_line_dedup
+from scanfleet.llm.names import free
 from scanfleet.session import cut_lineage
 
 
@@ -19,16 +21,21 @@ def _changed(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised. A null lang gets the language found."""
+    """Documents whose language is recognised. A null lang gets the language found. Where no row has a lang to learn from, nothing can be
+    recognised and all documents stay."""
     model = op04_language_id.train(docs.where(op04_language_id.fold(F.col("doc_id"), 3) != 1))
-    found = op04_language_id.identify(docs, model, out="_language").where(~F.col("_language.rejected"))
-    return found.withColumn("lang", F.coalesce("lang", "_language.lang")).select(*docs.columns)
+    if not model.languages:
+        return docs
+    name = free(docs, "_language")
+    found = op04_language_id.identify(docs, model, out=name).where(~F.col(name)["rejected"])
+    return found.withColumn("lang", F.coalesce(F.col("lang"), F.col(name)["lang"])).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that an earlier document or line has. A document that loses every line with a word in it goes."""
-    done = op09_line_dedup.dedup_lines(docs, out="_dropped")
-    lost = F.size("_dropped.same") + F.size("_dropped.near")
+    """Texts without lines that an earlier document or line has or comes close to. A document that loses every line with a word in it goes."""
+    name = free(docs, "_dropped")
+    done = op09_line_dedup.dedup_lines(docs, out=name)
+    lost = F.size(F.col(name)["same"]) + F.size(F.col(name)["near"])
     return _changed(done.where((lost == 0) | F.col("text").rlike(r"\S")), docs.columns)
 
 
@@ -39,7 +46,8 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every secret replaced by its kind."""
-    return _changed(op01_secrets.redact(op01_secrets.find_secrets(docs, out="_secrets"), secrets="_secrets"), docs.columns)
+    name = free(docs, "_secrets")
+    return _changed(op01_secrets.redact(op01_secrets.find_secrets(docs, out=name), secrets=name), docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
