@@ -180,31 +180,78 @@ def _(fx):
     return rounded(op.straight_rect(voids_of(fx), ["scan_id"]), "straight")
 
 
-@query("detect_openings", ["points", "planes", "scans"])
+@query("detect_openings", ["room_openings"], """SELECT o.scan_id, plane_id, kind, round(width, 6) AS width, round(height, 6) AS height, round(sill, 6) AS sill_height, round(CASE plane_id WHEN 3 THEN 0.1e0 + o.scan_id % 5 * 0.01e0 ELSE along END, 6) AS cx,
+round(CASE plane_id WHEN 3 THEN along WHEN 5 THEN o.scan_id % 5 * 0.01e0 ELSE 4.2e0 - o.scan_id % 5 * 0.01e0 END, 6) AS cy, round(sill + height / 2, 6) AS cz FROM room_openings o""")
 def _(fx):
-    return op.detect_openings(fx.points, st.merge_duplicate_walls(fx.planes), fx.scans, 0.2, 20)
+    """Found from points alone; the oracle knows where the openings were left out."""
+    found = op.detect_openings(fx.room_points, fx.planes.where("kind = 'wall'"), fx.scans)
+    return rounded(found, "width", "height", "sill_height", "cx", "cy", "cz").select("scan_id", "plane_id", "kind", "width", "height", "sill_height", "cx", "cy", "cz")
+
+
+# the true openings as apertures in their wall's frame, a little too large, on cells of 0.1 m
+_APERTURES = """a0 AS (SELECT o.scan_id, plane_id, opening_id AS label, CASE plane_id WHEN 5 THEN -along ELSE along END AS at_u, width / 2 + 0.013e0 AS half, sill - 0.013e0 AS av, sill + height + 0.013e0 AS bv,
+ CASE plane_id WHEN 5 THEN -5.0e0 ELSE 0.0e0 END AS u0, CASE plane_id WHEN 3 THEN 4.2e0 WHEN 5 THEN 0.0e0 ELSE 5.0e0 END AS u1, floor_z, ceiling_z, coalesce(ceiling_z, 2.7e0) AS v1 FROM room_openings o JOIN scans s ON s.scan_id = o.scan_id),
+a AS (SELECT *, at_u - half AS au, at_u + half AS bu, CAST(floor(2 * half / 0.1e0) AS BIGINT) AS nw, CAST(floor((bv - av) / 0.1e0) AS BIGINT) AS nh FROM a0)"""
+_WALL_UVS = "uvs AS (SELECT p.scan_id, plane_id, -ny * x + nx * y AS u, z AS v, nx * x + ny * y - plane_offset AS s FROM {} p JOIN planes w ON w.scan_id = p.scan_id WHERE w.plane_id BETWEEN 3 AND 6)"
 
 
-# wide boxes and thin walls: the test apertures are the openings themselves, moved to wall 6
 def apertures_of(fx):
-    o = fx.openings
-    c = F.col
-    return o.select(
-        "scan_id", F.lit(6).cast("long").alias("plane_id"), c("opening_id").alias("label"), (c("cx") - c("width") / 2).alias("au"), (c("cx") + c("width") / 2).alias("bu"), (c("cz") - c("height") / 2).alias("av"), (c("cz") + c("height") / 2).alias("bv"),
-        F.lit(0.2).alias("res"), F.floor(c("width") / 0.2).alias("nw"), F.floor(c("height") / 0.2).alias("nh"), F.lit(0.015).alias("reveal_lo"),
+    c, o = F.col, fx.room_openings.join(fx.scans.select("scan_id", "floor_z", "ceiling_z"), "scan_id")
+    p = c("plane_id")
+    o = o.select(
+        "scan_id", p.cast("long").alias("plane_id"), c("opening_id").alias("label"), F.when(p == 5, -c("along")).otherwise(c("along")).alias("at_u"), (c("width") / 2 + 0.013).alias("half"), (c("sill") - 0.013).alias("av"),
+        (c("sill") + c("height") + 0.013).alias("bv"), F.when(p == 5, -5.0).otherwise(0.0).alias("u0"), F.when(p == 3, 4.2).when(p == 5, 0.0).otherwise(5.0).alias("u1"), "floor_z", "ceiling_z", F.coalesce("ceiling_z", F.lit(2.7)).alias("v1"),
     )
+    o = o.withColumns({"au": c("at_u") - c("half"), "bu": c("at_u") + c("half"), "nw": F.floor(2 * c("half") / 0.1), "nh": F.floor((c("bv") - c("av")) / 0.1)})
+    return o.withColumns({"res": F.lit(0.1), "pad": F.lit(2).cast("long"), "reveal_lo": F.lit(0.015), "sigma": F.lit(0.002)})
+
+
+@query("depth_evidence", ["points", "planes", "scans", "room_openings"], f"""WITH {_WALL_UVS.format("points")}, {_APERTURES},
+h AS (SELECT scan_id, plane_id, label, nw, nh, s, floor((u - au) / 0.1e0) AS i, floor((v - av) / 0.1e0) AS j FROM uvs JOIN a USING (scan_id, plane_id) WHERE u BETWEEN au AND bu AND v BETWEEN av AND bv AND ((s > 0.08e0 AND s < 2.0e0) OR s < -0.1e0)),
+c AS (SELECT scan_id, plane_id, label, nw, nh, i, j, bool_or(s > 0.08e0 AND s < 2.0e0) AS f, bool_or(s < -0.1e0) AS b FROM h WHERE i < nw AND j < nh GROUP BY 1, 2, 3, 4, 5, 6, 7)
+SELECT scan_id, plane_id, label, round(sum(f::INT) / (any_value(nw) * any_value(nh)), 6) AS front, round(sum(b::INT) / (any_value(nw) * any_value(nh)), 6) AS behind FROM c GROUP BY 1, 2, 3""")
+def _(fx):
+    uvs = tr.plane_uv(fx.points, fx.planes.where("kind = 'wall'"))
+    return rounded(op.depth_evidence(uvs, apertures_of(fx)), "front", "behind").select("scan_id", "plane_id", "label", "front", "behind")
+
+
+_ROW_OK = "(abs(av + 0.1e0 * (j + 0.5e0) - floor_z) >= 0.1e0 AND coalesce(abs(av + 0.1e0 * (j + 0.5e0) - ceiling_z) >= 0.1e0, true))"
+
+
+@query("reveal_coverage", ["room_points", "planes", "scans", "room_openings"], f"""WITH {_WALL_UVS.format("room_points")}, {_APERTURES},
+e AS (SELECT *, au - 0.2e0 >= u0 + 0.12e0 AS l_ok, bu + 0.2e0 <= u1 - 0.12e0 AS r_ok, av - floor_z >= 3 * 0.1e0 AS s_ok, coalesce(ceiling_z - bv >= 3 * 0.1e0, true) AS h_ok FROM a),
+n AS (SELECT scan_id, plane_id, label, count(*) AS n_rows FROM (SELECT *, unnest(range(nh)) AS j FROM a) t WHERE {_ROW_OK} GROUP BY 1, 2, 3),
+t AS (SELECT scan_id, plane_id, label, coalesce(n_rows, 0) * (l_ok::INT + r_ok::INT) + nw * (s_ok::INT + h_ok::INT) AS eligible FROM e LEFT JOIN n USING (scan_id, plane_id, label)),
+p AS (SELECT *, CAST(floor((u - au) / 0.1e0) AS BIGINT) AS i, CAST(floor((v - av) / 0.1e0) AS BIGINT) AS j FROM uvs JOIN e USING (scan_id, plane_id) WHERE u >= au - 0.2e0 AND u <= bu + 0.2e0 AND v >= av - 0.2e0 AND v <= bv + 0.2e0 AND s > 0.015e0 AND s < 0.08e0),
+k AS (SELECT DISTINCT scan_id, plane_id, label, 'l' AS side, j AS pos FROM p WHERE j BETWEEN 0 AND nh - 1 AND {_ROW_OK} AND l_ok AND i BETWEEN -2 AND 0
+ UNION ALL SELECT DISTINCT scan_id, plane_id, label, 'r', j FROM p WHERE j BETWEEN 0 AND nh - 1 AND {_ROW_OK} AND r_ok AND i BETWEEN nw - 1 AND nw + 1
+ UNION ALL SELECT DISTINCT scan_id, plane_id, label, 's', i FROM p WHERE i BETWEEN 0 AND nw - 1 AND s_ok AND j BETWEEN -2 AND 0
+ UNION ALL SELECT DISTINCT scan_id, plane_id, label, 'h', i FROM p WHERE i BETWEEN 0 AND nw - 1 AND h_ok AND j BETWEEN nh - 1 AND nh + 1)
+SELECT scan_id, plane_id, label, round(count(*) / any_value(eligible), 6) AS reveal FROM k JOIN t USING (scan_id, plane_id, label) GROUP BY 1, 2, 3""")
+def _(fx):
+    uvs = tr.plane_uv(fx.room_points, fx.planes.where("kind = 'wall'"))
+    return rounded(op.reveal_coverage(uvs, apertures_of(fx)), "reveal").select("scan_id", "plane_id", "label", "reveal")
 
 
-_UVS = "uvs AS (SELECT p.scan_id, -ny * x AS u, z AS v, ny * y - plane_offset AS s FROM points p JOIN planes w ON w.scan_id = p.scan_id AND w.plane_id = 6)"
+_MID_V, _MID_U = "v BETWEEN av + 0.15e0 * (bv - av) AND bv - 0.15e0 * (bv - av)", "u BETWEEN au + 0.15e0 * (bu - au) AND bu - 0.15e0 * (bu - au)"
+_EDGE_TESTS = {
+    ("w", "au"): f"abs(s) <= 0.06e0 AND {_MID_V} AND u < au + 0.2e0", ("w", "bu"): f"abs(s) <= 0.06e0 AND {_MID_V} AND u > bu - 0.2e0", ("w", "av"): f"abs(s) <= 0.06e0 AND {_MID_U} AND v < av + 0.2e0", ("w", "bv"): f"abs(s) <= 0.06e0 AND {_MID_U} AND v > bv - 0.2e0",
+    **{("r", e): f"s > 0.015e0 AND s < 0.08e0 AND v BETWEEN av AND bv AND abs(u - {e}) <= least(0.2e0, 0.4e0 * (bu - au))" for e in ("au", "bu")},
+    **{("r", e): f"s > 0.015e0 AND s < 0.08e0 AND u BETWEEN au AND bu AND abs(v - {e}) <= least(0.2e0, 0.4e0 * (bv - av))" for e in ("av", "bv")},
+}
+_EDGE_OF = {e: f"coalesce(max(CASE WHEN how = 'r' AND edge = '{e}' AND n >= 30 AND 1.4826e0 * mad <= 0.015e0 THEN p50 END), max(CASE WHEN how = 'w' AND edge = '{e}' AND n >= 20 THEN {p} END))" for e, p in (("au", "p99"), ("bu", "p1"), ("av", "p99"), ("bv", "p1"))}
 
 
-@query("depth_evidence", ["points", "planes", "openings"], f"""WITH {_UVS}, a AS (SELECT scan_id, opening_id AS label, cx - width / 2 AS au, cx + width / 2 AS bu, cz - height / 2 AS av, cz + height / 2 AS bv, CAST(floor(width / 0.2e0) AS BIGINT) AS nw, CAST(floor(height / 0.2e0) AS BIGINT) AS nh FROM openings),
-h AS (SELECT scan_id, label, nw, nh, s, floor((u - au) / 0.2e0) AS i, floor((v - av) / 0.2e0) AS j FROM uvs JOIN a USING (scan_id) WHERE u BETWEEN au AND bu AND v BETWEEN av AND bv AND ((s > 0.08e0 AND s < 2.0e0) OR s < -0.1e0)),
-c AS (SELECT scan_id, label, nw, nh, i, j, bool_or(s > 0.08e0 AND s < 2.0e0) AS f, bool_or(s < -0.1e0) AS b FROM h WHERE i < nw AND j < nh GROUP BY 1, 2, 3, 4, 5, 6)
-SELECT scan_id, label, round(sum(f::INT) / (any_value(nw) * any_value(nh)), 6) AS front, round(sum(b::INT) / (any_value(nw) * any_value(nh)), 6) AS behind FROM c GROUP BY 1, 2""")
+@query("refine_edges", ["room_points", "planes", "scans", "room_openings"], f"""WITH {_WALL_UVS.format("room_points")}, {_APERTURES},
+p AS (SELECT * FROM uvs JOIN a USING (scan_id, plane_id) WHERE u BETWEEN au - 0.6e0 AND bu + 0.6e0 AND v BETWEEN av - 0.6e0 AND bv + 0.6e0),
+l AS ({" UNION ALL ".join(f"SELECT scan_id, plane_id, label, '{h}' AS how, '{e}' AS edge, {e[1]} AS val FROM p WHERE {t}" for (h, e), t in _EDGE_TESTS.items())}),
+q AS (SELECT scan_id, plane_id, label, how, edge, count(*) AS n, quantile_cont(val, 0.01) AS p1, quantile_cont(val, 0.5) AS p50, quantile_cont(val, 0.99) AS p99, mad(val) AS mad FROM l GROUP BY 1, 2, 3, 4, 5),
+r AS (SELECT scan_id, plane_id, label, {", ".join(f"{x} AS r_{e}" for e, x in _EDGE_OF.items())} FROM q GROUP BY 1, 2, 3)
+SELECT scan_id, plane_id, label, round(coalesce(r_au, au), 6) AS eu0, round(coalesce(r_bu, bu), 6) AS eu1, round(coalesce(r_av, CASE WHEN av - floor_z < 3 * 0.1e0 THEN floor_z ELSE av END), 6) AS ev0,
+ round(coalesce(r_bv, CASE WHEN ceiling_z - bv < 3 * 0.1e0 THEN ceiling_z ELSE least(bv, v1) END), 6) AS ev1 FROM a LEFT JOIN r USING (scan_id, plane_id, label)""")
 def _(fx):
-    uvs = tr.plane_uv(fx.points, fx.planes.where("plane_id = 6"))
-    return rounded(op.depth_evidence(uvs, apertures_of(fx)), "front", "behind").select("scan_id", "label", "front", "behind")
+    uvs = tr.plane_uv(fx.room_points, fx.planes.where("kind = 'wall'"))
+    return rounded(op.refine_edges(uvs, apertures_of(fx)), "eu0", "eu1", "ev0", "ev1").select("scan_id", "plane_id", "label", "eu0", "eu1", "ev0", "ev1")
 
 
 @query("opening_probe_mask", ["points", "openings"], """SELECT DISTINCT p.scan_id, p.point_id FROM points p JOIN openings o ON o.scan_id = p.scan_id WHERE abs(-(x - cx)) <= width / 2 + 0.1e0 AND abs(z - cz) <= height / 2 + 0.1e0 AND abs(y - cy) <= 0.35e0""")

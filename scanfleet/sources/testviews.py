@@ -83,6 +83,29 @@ WHERE p_partkey % 20 < 19 AND p_partkey % 200 < 180""",
 SELECT scan_id, cam_id AS move_id, x AS x0, y AS y0, z AS z0, x + 1.2e0 AS x1, y + 0.4e0 AS y1, z AS z1,
        2.5e0 AS sx, 2.1e0 AS sy, 0.0e0 AS sz, 1.75e0 AS subject_height_m, 32.0e0 AS focal_mm
 FROM cameras""",
+    # a window in two walls of each scan and a door in a third: where they lie along the wall, and how large they are
+    "room_openings": """
+SELECT scan_id, CAST(CASE w WHEN 0 THEN 3 WHEN 1 THEN 6 ELSE 5 END AS BIGINT) AS plane_id, p AS opening_id, 1.5e0 + (p * 3 % 10) * 0.1e0 AS along, 0.8e0 + (p * 7 % 5) * 0.1e0 AS width,
+       CASE WHEN w = 1 THEN 0.0e0 ELSE 0.8e0 + (p % 3) * 0.1e0 END AS sill, CASE WHEN w = 1 THEN 2.0e0 ELSE 1.0e0 + (p % 4) * 0.1e0 END AS height,
+       CASE WHEN w = 1 THEN 'door' ELSE 'window' END AS kind
+FROM (SELECT p_partkey % (SELECT count(*) FROM supplier) AS scan_id, p_partkey % 3 AS w, min(p_partkey) AS p FROM part GROUP BY 1, 2) t""",
+    # points on the four walls but for their openings, and on the jambs, sills and heads of these
+    "room_points": """
+SELECT scan_id, point_id, CASE plane_id WHEN 3 THEN 0.1e0 + e + s WHEN 4 THEN 5.0e0 - e - s ELSE pos END AS x, CASE plane_id WHEN 5 THEN e + s WHEN 6 THEN 4.2e0 - e - s ELSE pos END AS y, z
+FROM (
+  SELECT w.scan_id, w.plane_id, point_id, e, pos, z, (point_id % 5 - 2) * 0.001e0 AS s
+  FROM (SELECT scan_id, 3 + k % 4 AS plane_id, point_id * 32 + k AS point_id, e, CASE WHEN k % 4 < 2 THEN e + fa * (4.2e0 - 2 * e) ELSE 0.1e0 + e + fa * (4.9e0 - 2 * e) END AS pos, fb * 2.7e0 AS z FROM room_draws WHERE k < 12) w
+  LEFT JOIN room_openings o ON o.scan_id = w.scan_id AND o.plane_id = w.plane_id
+  WHERE o.plane_id IS NULL OR abs(pos - along) >= width / 2 OR z <= sill OR z >= sill + height
+  UNION ALL
+  SELECT d.scan_id, o.plane_id, point_id * 32 + k, e, along + CASE WHEN fa < 0.25e0 THEN -width / 2 WHEN fa < 0.5e0 THEN width / 2 ELSE (fa * 4 - floor(fa * 4) - 0.5e0) * width END,
+         sill + CASE WHEN fa < 0.5e0 THEN (fa * 4 - floor(fa * 4)) * height WHEN fa < 0.75e0 AND sill > 0 THEN 0e0 ELSE height END, 0.02e0 + fb * 0.055e0
+  FROM room_draws d JOIN room_openings o ON o.scan_id = d.scan_id AND o.plane_id = CASE d.k % 3 WHEN 0 THEN 3 WHEN 1 THEN 5 ELSE 6 END WHERE k >= 12) r""",
+    "room_draws": """
+SELECT l_suppkey AS scan_id, ((l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey) * 64 + CAST(l_quantity AS BIGINT) AS point_id, CAST(k AS BIGINT) AS k, (l_suppkey % 5) * 0.01e0 AS e,
+       ((l_orderkey * 7919 + l_partkey * 613 + l_linenumber * 131 + k * 3571) % 9973) / 9973.0e0 AS fa,
+       ((l_orderkey * 104729 + l_partkey * 7331 + l_linenumber * 911 + k * 6553) % 9967) / 9967.0e0 AS fb
+FROM lineitem CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17)) AS v(k)) n""",
     # a similarity per scan: turn by (3,4,5)/5 about Z, scale, shift
     "transforms": """
 SELECT s_suppkey AS scan_id, 0.5e0 + s_suppkey % 4 AS s, 0.6e0 AS c, 0.8e0 AS sn,
@@ -96,7 +119,7 @@ SELECT CAST(label AS BIGINT) AS scan_id, vec_id AS point_id,
 FROM embeddings""",
 }
 
-_NEEDS = {"moves": ["cameras"]}
+_NEEDS = {"moves": ["cameras"], "room_points": ["room_draws", "room_openings"]}
 
 
 def view_sql(name: str, engine: str) -> str:

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 
 
-def box_room(scan_id=1, size=(5.0, 4.0, 2.7), spacing=0.05, noise=0.002, scale=1.0, tilt=0.0, yaw=0.0, door=True, window=True, furniture=True, seed=7):
+def box_room(scan_id=1, size=(5.0, 4.0, 2.7), spacing=0.05, noise=0.002, scale=1.0, tilt=0.0, yaw=0.0, door=True, window=True, furniture=True, seed=7, side=False):
     rng = np.random.default_rng(seed)
     w, d, h = size
     parts = []
@@ -25,7 +25,14 @@ def box_room(scan_id=1, size=(5.0, 4.0, 2.7), spacing=0.05, noise=0.002, scale=1
     face((w, 0, 0), -ex, ez, w, h, (lambda u, v: ~((np.abs(w - u - 2.0) < 0.45) & (v < 2.05))) if door else None)  # y = 0, normal +y
     face((0, d, 0), ex, ez, w, h, (lambda u, v: ~((np.abs(u - 2.5) < 0.6) & (v > 0.9) & (v < 2.0))) if window else None)  # y = d, normal -y
     face((0, 0, 0), ey, ez, d, h)  # x = 0, normal +x
-    face((w, d, 0), -ey, ez, d, h)  # x = w, normal -x
+    face((w, d, 0), -ey, ez, d, h, (lambda u, v: ~((np.abs(d - u - 2.2) < 0.4) & (v > 0.7) & (v < 1.9))) if side else None)  # x = w, normal -x
+    if side:  # its reveals, and what lies behind it
+        y, s = np.meshgrid(np.arange(1.8, 2.6, 0.02), np.arange(0.02, 0.075, 0.01), indexing="ij")
+        for z0 in (0.7, 1.9):
+            parts.append((np.stack([w - s.ravel(), y.ravel(), np.full(y.size, z0)], 1), np.repeat([[0.0, 0.0, 1.0]], y.size, 0)))
+        z, s = np.meshgrid(np.arange(0.7, 1.9, 0.02), np.arange(0.02, 0.075, 0.01), indexing="ij")
+        for y0 in (1.8, 2.6):
+            parts.append((np.stack([w - s.ravel(), np.full(z.size, y0), z.ravel()], 1), np.repeat([[0.0, 1.0, 0.0]], z.size, 0)))
     if window:  # reveals 7 cm deep into the room side, so the aperture shows depth
         for z0 in (0.9, 2.0):
             u, s = np.meshgrid(np.arange(1.9, 3.1, 0.02), np.arange(0.02, 0.075, 0.01), indexing="ij")
