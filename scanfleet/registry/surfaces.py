@@ -246,7 +246,7 @@ def _(fx):
 
 @query("detect_planes", ["points"])
 def _(fx):
-    return pl.detect_planes(with_normals(fx), min_inliers=15, max_planes=4).select("scan_id", "plane_id", "nx", "ny", "nz", "plane_offset", "inlier_count", "area")
+    return pl.detect_planes(with_normals(fx), min_inliers=15).select("scan_id", "plane_id", "nx", "ny", "nz", "plane_offset", "inlier_count", "area")
 
 
 _CELLS = "base AS (SELECT DISTINCT scan_id, CAST(floor(x / 0.15e0) AS BIGINT) AS i, CAST(floor(y / 0.15e0) AS BIGINT) AS j FROM points)"
