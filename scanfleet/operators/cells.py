@@ -2,7 +2,7 @@
 
 A cell set is a table of distinct rows ``keys + axes``. Dilation and erosion are one explode and one aggregate.
 Components join runs of touching cells first and then contract the run graph, so rounds grow with the logarithm of
-the component size and every round is cut to a written table.
+the component size and every round is cut to a written table. Holes are components of gaps, which stay intervals until they are known to be enclosed.
 """
 
 from __future__ import annotations
@@ -49,14 +49,6 @@ def boundary_shell(cells: DataFrame, axes: list[str], connectivity: str = "faces
     return cells.join(erode_cells(cells, axes, connectivity, keys), keys + axes, "left_anti")
 
 
-def _steps(cells, axes, connectivity, keys, n, fn):
-    for k in range(n):
-        cells = fn(cells, axes, connectivity, keys)
-        if k % 3 == 2:
-            cells = cut_lineage(cells)
-    return cells
-
-
 def close_by(cells: DataFrame, axes: list[str], radius: str, keys: list[str]) -> DataFrame:
     """Full-neighbourhood closing whose number of rounds is the column ``radius``, constant within a group."""
     by = keys + [radius]
@@ -64,15 +56,28 @@ def close_by(cells: DataFrame, axes: list[str], radius: str, keys: list[str]) ->
 
 
 def close_cells(cells: DataFrame, axes: list[str], iterations: int, connectivity: str = "all", keys: list[str] | None = None) -> DataFrame:
-    """``iterations`` dilations then as many erosions; a table of cells has no border to shrink from."""
+    """``iterations`` dilations then as many erosions; a table of cells has no border to shrink from. Neither takes rounds: boxes (``all``) and
+    distances over faces are both had one axis at a time, the latter from the skin of the set and from the rim around it alone."""
     keys = keys or KEYS
     if iterations <= 0:
         return cells
     if connectivity == "all":
         grown = _box(cells, axes, keys, iterations, grow=True)
         return _box(grown, axes, keys, iterations, grow=False)
-    grown = _steps(cells, axes, connectivity, keys, iterations, dilate_cells)
-    return _steps(grown, axes, connectivity, keys, iterations, erode_cells)
+    if connectivity != "faces":
+        raise ValueError("closing takes faces or all")
+    grown = cut_lineage(cells.select(*keys, *axes).union(_within(boundary_shell(cells, axes, "faces", keys), axes, keys, iterations)).distinct())
+    rim = dilate_cells(boundary_shell(grown, axes, "faces", keys), axes, "faces", keys).join(grown, keys + axes, "left_anti")
+    return grown.join(_within(rim, axes, keys, iterations), keys + axes, "left_anti")
+
+
+def _within(cells: DataFrame, axes: list[str], keys: list[str], r: int) -> DataFrame:
+    """Cells at most ``r`` steps over faces from one of ``cells``: their distance, taken one axis at a time."""
+    far = cells.select(*keys, *axes, F.lit(0).alias("_d"))
+    for a in axes:
+        wide = far.withColumn("_t", F.explode(F.sequence(F.col("_d") - r, F.lit(r) - F.col("_d"))))
+        far = wide.groupBy(*keys, *[c for c in axes if c != a], (F.col(a) + F.col("_t")).alias(a)).agg(F.min(F.col("_d") + F.abs("_t")).alias("_d"))
+    return far.select(*keys, *axes)
 
 
 def _box(cells: DataFrame, axes: list[str], keys: list[str], r, grow: bool) -> DataFrame:
@@ -168,30 +173,56 @@ def largest_component(cells: DataFrame, axes: list[str], connectivity: str = "fa
     return labelled.join(best, keys + ["label"], "left_semi").select(*keys, *axes)
 
 
-def holes(cells: DataFrame, axes: list[str], keys: list[str] | None = None) -> DataFrame:
-    """Background cells that cannot reach the outside through faces, with their component label.
+#: Length of the stretches of the last axis by which overlapping intervals find each other.
+SPAN = 128
 
-    Background is taken as the gaps between runs along the last axis, so an empty exterior is never enumerated:
-    a gap is outside when its line has no cell beyond it, or when it touches, face to face, a stretch of a
-    neighbouring line that is outside. Only bounded gaps become rows.
-    """
+
+def gap_runs(cells: DataFrame, axes: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Bounded gaps between the cells of each line along the last axis: ``keys, rest, _lo, _hi``."""
     keys = keys or KEYS
     *rest, last = axes
     w = Window.partitionBy(*keys, *rest).orderBy(last)
-    gaps = (
-        cells.select(*keys, *axes).withColumn("_next", F.lead(last).over(w)).where(F.col("_next") > F.col(last) + 1)
-        .select(*keys, *rest, (F.col(last) + 1).alias("_lo"), (F.col("_next") - 1).alias("_hi"))
-    )
-    inner = gaps.select(*keys, *rest, F.explode(F.sequence("_lo", "_hi")).alias(last))
-    labelled = cut_lineage(cell_components(inner, axes, "faces", keys))
-    # a bounded-gap cell leaks when a face neighbour is neither a member nor another bounded-gap cell
-    offs = [o for o in offsets(len(axes), "faces") if any(o)]
-    near = labelled.select(
-        *keys, "label", F.inline(F.array(*[F.struct(*[(F.col(x) + d).cast("long").alias(x) for x, d in zip(axes, o)]) for o in offs]))
-    )
-    known = cells.select(*keys, *axes).union(labelled.select(*keys, *axes))
-    leaking = near.join(known, keys + axes, "left_anti").select(*keys, "label").distinct()
-    return labelled.join(leaking, keys + ["label"], "left_anti").select(*keys, *axes, "label")
+    after = cells.select(*keys, *axes).withColumn("_next", F.lead(last).over(w)).where(F.col("_next") > F.col(last) + 1)
+    return after.select(*keys, *rest, (F.col(last) + 1).alias("_lo"), (F.col("_next") - 1).alias("_hi"))
+
+
+def _overlaps(runs_: DataFrame, rest: list[str], keys: list[str]) -> DataFrame:
+    """Pairs (a, b) of runs of neighbouring lines that touch face to face. Runs are dealt to the stretches they lie in; a pair is told in
+    the stretch where the later of the two begins."""
+    cut = runs_.withColumn("_at", F.explode(F.sequence(F.floor(F.col("_lo") / SPAN), F.floor(F.col("_hi") / SPAN))))
+    steps = F.array(*[F.struct(*[F.lit(int(c == x)).cast("long").alias(f"_{c}") for c in rest]) for x in rest])
+    moved = cut.select(*keys, *rest, "_at", F.col("id").alias("a"), F.col("_lo").alias("_alo"), F.col("_hi").alias("_ahi"), F.inline(steps))
+    moved = moved.select(*keys, *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in rest], "_at", "a", "_alo", "_ahi")
+    met = moved.join(cut.withColumnRenamed("id", "b"), keys + rest + ["_at"])
+    low = F.greatest("_lo", "_alo")
+    return met.where((low <= F.least("_hi", "_ahi")) & (F.floor(low / SPAN) == F.col("_at"))).select(*keys, "a", "b")
+
+
+def hole_runs(cells: DataFrame, axes: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Background that cannot reach the outside through faces, as intervals of the last axis: ``keys, rest, _lo, _hi, label``.
+
+    Background is taken as the gaps between runs along the last axis, so an empty exterior is never enumerated, nor is the inside of a gap. Between
+    the first and the last cell of a line everything is a cell or a bounded gap; so a gap leaks into a neighbouring line where that line
+    has no cells or the gap reaches past their ends, and nowhere else.
+    """
+    keys = keys or KEYS
+    *rest, last = axes
+    gaps = cut_lineage(gap_runs(cells, axes, keys).withColumn("id", F.monotonically_increasing_id()))
+    ends = cells.groupBy(*keys, *rest).agg(F.min(last).alias("_first"), F.max(last).alias("_last"))
+    sides = F.array(*[F.struct(*[F.lit(d * int(c == x)).cast("long").alias(f"_{c}") for c in rest]) for x in rest for d in (-1, 1)])
+    beside = gaps.select(*keys, *rest, "id", "_lo", "_hi", F.inline(sides)).select(*keys, *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in rest], "id", "_lo", "_hi")
+    open_ = beside.join(ends, keys + rest, "left").where(F.col("_first").isNull() | (F.col("_lo") < F.col("_first")) | (F.col("_hi") > F.col("_last"))).select(*keys, "id").distinct()
+    labels = cut_lineage(connected_components(_overlaps(gaps, rest, keys), gaps.select(*keys, "id"), keys))
+    leaking = labels.join(open_, keys + ["id"]).select(*keys, "component").distinct()
+    shut = labels.join(leaking, keys + ["component"], "left_anti")
+    return gaps.join(shut, keys + ["id"]).select(*keys, *rest, "_lo", "_hi", F.col("component").alias("label"))
+
+
+def holes(cells: DataFrame, axes: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Background cells that cannot reach the outside through faces, with their component label."""
+    keys = keys or KEYS
+    *rest, last = axes
+    return hole_runs(cells, axes, keys).select(*keys, *rest, F.explode(F.sequence("_lo", "_hi")).alias(last), "label").select(*keys, *axes, "label")
 
 
 def fill_holes(cells: DataFrame, axes: list[str], keys: list[str] | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions import optics, vec
 from ..functions.stats import GROUP_LIMIT, largest_group, row_index
 from ..session import cut_lineage
 from .floor import map_cell
+from .rays import first_solid
 
 PATH = ["scan_id", "path_id"]
 
@@ -94,20 +95,16 @@ def resample_paths(paths: DataFrame, n: int) -> DataFrame:
 
 
 def line_of_sight(rays: DataFrame, solid: DataFrame, grids: DataFrame, keys: list[str], slack: float = K.SIGHT_SLACK_M) -> DataFrame:
-    """Whether each segment (ax..az to bx..bz) misses every solid voxel, ignoring a little at both ends.
-
-    Samples are half a voxel apart and collapse to distinct voxels before they meet the solid ones, so each ray
-    crosses the network once per voxel it passes.
-    """
-    rows = rays.join(grids, "scan_id")
-    d = [F.col(f"b{a}") - F.col(f"a{a}") for a in "xyz"]
-    rows = rows.withColumn("_len", vec.norm(d)).where(F.col("_len") >= 1e-6)
-    rows = rows.withColumn("_n", F.greatest(F.lit(2).cast("long"), F.ceil(F.col("_len") / (F.col("cell") * 0.5))))
-    rows = rows.withColumn("_s", _steps(F.col("_n"))).withColumn("_t", F.col("_s") / (F.col("_n") - 1))
-    rows = rows.where((F.col("_t") * F.col("_len") > slack) & ((1.0 - F.col("_t")) * F.col("_len") > slack))
-    at = {k: vec.cell(F.col(f"a{a}") + F.col("_t") * (F.col(f"b{a}") - F.col(f"a{a}")), F.col(f"o{a}"), F.col("cell")) for k, a in zip("ijk", "xyz")}
-    hit = rows.select("scan_id", *keys, *[c.alias(k) for k, c in at.items()]).distinct().join(solid.select("scan_id", "i", "j", "k"), ["scan_id", "i", "j", "k"], "left_semi")
-    blocked = hit.select("scan_id", *keys).distinct().withColumn("_hit", F.lit(True))
+    """Whether each segment (ax..az to bx..bz) misses every solid voxel, ignoring a little at both ends. Samples are half a voxel apart."""
+    g = grids.select("scan_id", *[F.col(f"o{a}").alias(f"g{a}") for a in "xyz"], F.col("cell").alias("voxel"))
+    rows = rays.select("scan_id", *keys, *[f"{p}{a}" for p in "ab" for a in "xyz"]).join(g, "scan_id")
+    rows = rows.withColumn("_len", vec.norm([F.col(f"b{a}") - F.col(f"a{a}") for a in "xyz"])).where(F.col("_len") >= 1e-6)
+    rows = rows.withColumn("n", F.greatest(F.lit(2).cast("long"), F.ceil(F.col("_len") / (F.col("voxel") * 0.5))))
+    # which samples lie beyond the slack is told from their own distance; one more at either end is looked at for rounding
+    skip = F.floor(F.lit(slack) / F.col("_len") * (F.col("n") - 1)) - 1
+    rows = rows.withColumns({"lo": F.greatest(F.lit(0).cast("long"), skip), "hi": F.least(F.col("n") - 1, F.col("n") - 1 - skip)})
+    apart = lambda s: (s / (F.col("n") - 1) * F.col("_len") > slack) & ((1.0 - s / (F.col("n") - 1)) * F.col("_len") > slack)
+    blocked = first_solid(rows, solid, keys, apart).select("scan_id", *keys, F.lit(True).alias("_hit"))
     return rays.join(blocked, ["scan_id"] + keys, "left").withColumn("visible", F.col("_hit").isNull()).drop("_hit")
 
 

@@ -494,9 +494,8 @@ def _(fx):
 @query("first_hit", ["points", "cameras"], f"WITH {_CARVE}, h AS (SELECT i.scan_id, i.point_id, i.s AS step, s.scan_id IS NOT NULL AS hit FROM ix i LEFT JOIN sol s ON s.scan_id = i.scan_id AND s.i = i.i AND s.j = i.j AND s.k = i.k) SELECT h.scan_id, h.point_id, count(*) AS clear_steps FROM h LEFT JOIN st USING (scan_id, point_id) WHERE stop IS NULL OR step < stop GROUP BY 1, 2")
 def _(fx):
     grids, solid = carve_inputs(fx)
-    rows = cp.ray_samples(cp.rays_of(fx.points, fx.cameras, grids))
-    marked = rows.join(solid.select("scan_id", "i", "j", "k", F.lit(True).alias("_h")), ["scan_id", "i", "j", "k"], "left").withColumn("hit", F.coalesce("_h", F.lit(False)))
-    return cp.first_hit(marked, ["scan_id", "point_id"]).groupBy("scan_id", "point_id").agg(F.count(F.lit(1)).alias("clear_steps"))
+    hit = cp.first_hit(cp.rays_of(fx.points, fx.cameras, grids), solid, ["point_id"])
+    return hit.where("clear_steps > 0").select("scan_id", "point_id", "clear_steps")
 
 
 @query("sample_mask", ["points", "cameras"], f"""WITH {_CARVE}, c AS (SELECT scan_id, cam_id, least(greatest((x - gx) / 0.5e0 - 0.5e0, 0e0), dx - 1) AS a, least(greatest((y - gy) / 0.5e0 - 0.5e0, 0e0), dy - 1) AS b, least(greatest((z - gz) / 0.5e0 - 0.5e0, 0e0), dz - 1) AS d FROM cameras JOIN vox USING (scan_id)),
