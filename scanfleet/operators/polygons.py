@@ -36,6 +36,33 @@ def point_in_polygon(points: DataFrame, edges: DataFrame, keys: list[str], strip
     )
 
 
+def cells_inside(edges: DataFrame, lattices: DataFrame) -> DataFrame:
+    """``scan_id, i, j`` of the lattice cells whose centre lies inside their scan's polygon, by even-odd crossings.
+
+    ``lattices``: scan_id, x0, y0, cell, ni, nj. The polygon is drawn row by row: where its edges cross a row's centre line, sorted, every second stretch
+    is inside. Only cells inside become rows, whatever the size of the lattice.
+    """
+    lat = lattices.select("scan_id", F.col("x0").alias("_x0"), F.col("y0").alias("_y0"), "cell", "ni", "nj")
+    e = edges.where(F.col("y0") != F.col("y1")).join(lat, "scan_id")
+    row = lambda y: (y - F.col("_y0")) / F.col("cell") - 0.5
+    lo = F.greatest(F.floor(row(F.least("y0", "y1"))), F.lit(0).cast("long"))
+    hi = F.least(F.ceil(row(F.greatest("y0", "y1"))), F.col("nj") - 1)
+    e = e.withColumn("j", F.explode(F.when(lo <= hi, F.sequence(lo, hi)))).withColumn("_py", F.col("_y0") + (F.col("j") + 0.5) * F.col("cell"))
+    e = e.where((F.col("y0") > F.col("_py")) != (F.col("y1") > F.col("_py")))
+    cross_x = (F.col("x1") - F.col("x0")) * (F.col("_py") - F.col("y0")) / (F.col("y1") - F.col("y0")) + F.col("x0")
+    rows = e.groupBy("scan_id", "j", "_x0", "cell", "ni").agg(F.sort_array(F.collect_list(cross_x)).alias("_xs"))
+    # of an odd number, what lies before the first is inside
+    whole = F.when(F.size("_xs") % 2 == 1, F.concat(F.array(F.lit(float("-inf"))), F.col("_xs"))).otherwise(F.col("_xs"))
+    rows = rows.withColumn("_xs", whole).withColumn("_t", F.explode(F.sequence(F.lit(0), F.size("_xs") - 2, F.lit(2))))
+    rows = rows.withColumns({"_a": F.get("_xs", F.col("_t")), "_b": F.get("_xs", F.col("_t") + 1)})
+    col = lambda x: (x - F.col("_x0")) / F.col("cell") - 0.5
+    first = F.when(F.col("_a") == float("-inf"), 0).otherwise(F.greatest(F.floor(col(F.col("_a"))), F.lit(0))).cast("long")
+    last = F.least(F.ceil(col(F.col("_b"))), F.col("ni") - 1).cast("long")
+    rows = rows.withColumn("i", F.explode(F.when(first <= last, F.sequence(first, last))))
+    px = F.col("_x0") + (F.col("i") + 0.5) * F.col("cell")
+    return rows.where((px >= F.col("_a")) & (px < F.col("_b"))).select("scan_id", "i", "j")
+
+
 def polygon_area(edges: DataFrame) -> DataFrame:
     """Signed and absolute shoelace area and ring length per scan (fewer than three edges: zero)."""
     x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))

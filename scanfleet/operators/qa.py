@@ -14,21 +14,32 @@ from ..session import cut_lineage
 from . import cells as cl
 from .openings import opening_on_wall
 from .planes import fit_plane
-from .polygons import point_in_polygon
+from .polygons import cells_inside
 from .transforms import add_plane_frame, signed_distance, wall_frame, with_planes
 
 WALL = ["scan_id", "plane_id"]
+#: Side of the squares by which probes and wall points find openings.
+GRID_M = 1.0
 P, N = ("x", "y", "z"), ("nx", "ny", "nz")
 
 
 def opening_probe_mask(probes: DataFrame, openings: DataFrame, keys: list[str], margin: Column) -> DataFrame:
-    """Keys of wall probes that fall in an opening grown by ``margin`` and 0.35 m deep."""
+    """Keys of wall probes that fall in an opening grown by ``margin`` and 0.35 m deep. Openings are spread over the squares of a grid that
+    their box touches, so a probe meets those near it."""
     o = openings.select("scan_id", *[F.col(f"c{a}").alias(f"o{a}") for a in "xyz"], *[F.col(f"n{a}").alias(f"m{a}") for a in "xyz"], "width", "height")
     o = o.withColumn("_h", F.hypot("mx", "my")).where(F.col("_h") >= 1e-9)
+    asked = probes.select("scan_id", *keys, *P, margin.alias("_m"))
+    # the box of an opening over the floor, at the scan's widest margin: half its width along the wall and its depth across
+    o = o.join(asked.groupBy("scan_id").agg(F.max("_m").alias("_mm")), "scan_id")
+    half, deep = F.col("width") / 2.0 + F.col("_mm"), (0.35 + F.abs("mz") * (F.col("height") / 2.0 + F.col("_mm"))) / F.col("_h")
+    for a, along, across in (("x", "my", "mx"), ("y", "mx", "my")):
+        reach = (F.abs(along) * half + F.abs(across) * deep) / F.col("_h") + 1e-6
+        o = o.withColumn(f"_g{a}", F.explode(F.sequence(F.floor((F.col(f"o{a}") - reach) / GRID_M), F.floor((F.col(f"o{a}") + reach) / GRID_M))))
     d = [F.col(a) - F.col(f"o{a}") for a in "xyz"]
     along = (-F.col("my") * d[0] + F.col("mx") * d[1]) / F.col("_h")
-    hit = (F.abs(along) <= F.col("width") / 2.0 + margin) & (F.abs(d[2]) <= F.col("height") / 2.0 + margin) & (F.abs(vec.dot(d, vec.cols("mx", "my", "mz"))) <= 0.35)
-    return probes.join(o, "scan_id").where(hit).select("scan_id", *keys).distinct()
+    hit = (F.abs(along) <= F.col("width") / 2.0 + F.col("_m")) & (F.abs(d[2]) <= F.col("height") / 2.0 + F.col("_m")) & (F.abs(vec.dot(d, vec.cols("mx", "my", "mz"))) <= 0.35)
+    asked = asked.withColumns({f"_g{a}": F.floor(F.col(a) / GRID_M) for a in "xy"})
+    return asked.join(o, ["scan_id", "_gx", "_gy"]).where(hit).select("scan_id", *keys).distinct()
 
 
 def coverage(points: DataFrame, scans: DataFrame, footprint: DataFrame, openings: DataFrame, cells: DataFrame) -> DataFrame:
@@ -42,10 +53,7 @@ def coverage(points: DataFrame, scans: DataFrame, footprint: DataFrame, openings
     lat = lat.withColumns({"x0": F.col("_x") - c, "y0": F.col("_y") - c})
     lat = lat.withColumns({"ni": F.greatest(F.lit(2).cast("long"), F.ceil((F.col("_x1") + c - F.col("x0")) / c)), "nj": F.greatest(F.lit(2).cast("long"), F.ceil((F.col("_y1") + c - F.col("y0")) / c))})
     lat = cut_lineage(lat.drop("_x", "_y", "_x1", "_y1"))
-    grid = lat.select("scan_id", "x0", "y0", "cell", "nj", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ni") - 1)).alias("i"))
-    grid = grid.select("scan_id", "x0", "y0", "cell", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nj") - 1)).alias("j"))
-    grid = grid.select("scan_id", "i", "j", (F.col("x0") + (F.col("i") + 0.5) * c).alias("x"), (F.col("y0") + (F.col("j") + 0.5) * c).alias("y"))
-    inside = cut_lineage(point_in_polygon(grid, footprint, ["i", "j"]))
+    inside = cut_lineage(cells_inside(footprint, lat))
     rows = points.select("scan_id", *P).join(lat, "scan_id").withColumns({"i": vec.clip(vec.cell(F.col("x"), F.col("x0"), c), 0, F.col("ni") - 1), "j": vec.clip(vec.cell(F.col("y"), F.col("y0"), c), 0, F.col("nj") - 1)})
     z, fz, cz = F.col("z"), F.col("floor_z"), F.col("ceiling_z")
     slab = F.greatest(F.lit(0.10), 1.5 * c)
@@ -100,9 +108,14 @@ def opening_cutout(rows: DataFrame, walls: DataFrame, openings: DataFrame, grow:
     cut = opening_on_wall(openings, walls)
     frame = add_plane_frame(walls, wall_frame).select(*WALL, "ux", "uy", "uz")
     cut = cut.join(frame, WALL).select(*WALL, *[F.col(f"c{a}").alias(f"o{a}") for a in "xyz"], "width", "height", "ux", "uy", "uz")
+    u = lambda names: vec.dot(vec.cols(*names), vec.cols("ux", "uy", "uz"))
+    for name, at, size in (("_gu", u(("ox", "oy", "oz")), "width"), ("_gv", F.col("oz"), "height")):
+        reach = F.col(size) / 2.0 + grow + 1e-6
+        cut = cut.withColumn(name, F.explode(F.sequence(F.floor((at - reach) / GRID_M), F.floor((at + reach) / GRID_M))))
+    placed = rows.select(*WALL, "point_id", *P).join(frame, WALL).withColumns({"_gu": F.floor(u(P) / GRID_M), "_gv": F.floor(F.col("z") / GRID_M)}).drop("ux", "uy", "uz")
     d = [F.col(a) - F.col(f"o{a}") for a in "xyz"]
     hit = (F.abs(vec.dot(d, vec.cols("ux", "uy", "uz"))) <= F.col("width") / 2.0 + grow) & (F.abs(d[2]) <= F.col("height") / 2.0 + grow)
-    gone = rows.join(cut, WALL).where(hit).select(*WALL, "point_id").distinct()
+    gone = placed.join(cut, [*WALL, "_gu", "_gv"]).where(hit).select(*WALL, "point_id").distinct()
     return rows.join(gone, WALL + ["point_id"], "left_anti")
 
 
