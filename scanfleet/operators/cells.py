@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -131,14 +131,15 @@ def connected_components(edges: DataFrame, nodes: DataFrame, keys: list[str] | N
         hang = down.join(low, keys + ["a"]).where(F.col("b") != F.col("_m")).select(*keys, F.col("b").alias("a"), F.col("_m").alias("b"))
         return low.select(*keys, "a", F.col("_m").alias("b")).union(hang).where(F.col("a") != F.col("b")).distinct()
 
-    def print_of(e: DataFrame):
-        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*keys, "a", "b")), F.bit_xor(F.hash(*keys, "a", "b"))).first())
+    def written(e: DataFrame) -> tuple[DataFrame, tuple]:
+        """The edges as a table, and a fingerprint of them that is taken as they are written."""
+        seen = Observation()
+        e = cut_lineage(e.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*keys, "a", "b")).alias("x"), F.bit_xor(F.hash(*keys, "a", "b")).alias("y")))
+        return e, tuple(sorted(seen.get.items()))
 
-    e = cut_lineage(edges.select(*keys, "a", "b").where(F.col("a") != F.col("b")))
-    seen = print_of(e)
-    while True:
-        e = cut_lineage(small(large(e)))
-        now = print_of(e)
+    e, seen = written(edges.select(*keys, "a", "b").where(F.col("a") != F.col("b")))
+    while seen and dict(seen)["n"]:
+        e, now = written(small(large(e)))
         if now == seen:
             break
         seen = now

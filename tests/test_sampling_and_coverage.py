@@ -45,7 +45,7 @@ def test_voxel_subsample_equals_every_size_tried(spark, monkeypatch):
 def test_codes_nest(spark):
     rng = np.random.default_rng(1)
     v = rng.integers(0, 1 << 14, (200, 3))
-    got = spark.createDataFrame(pd.DataFrame(v, columns=list("ijk"))).select("i", "j", "k", sp.morton(F.col("i"), F.col("j"), F.col("k")).alias("m")).collect()
+    got = sp.morton(spark.createDataFrame(pd.DataFrame(v, columns=list("ijk"))), ["i", "j", "k"], "m").collect()
     for r in got:
         assert r.m == sum(((c >> b) & 1) << (3 * b + a) for a, c in enumerate((r.i, r.j, r.k)) for b in range(14))
 
