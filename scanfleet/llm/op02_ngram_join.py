@@ -10,7 +10,7 @@ are summed, and classes are the components of those rows.
 
 Words are lower-cased runs without white space. A text of fewer than five words is one n-gram; null texts and texts without
 words have none, are linked to nothing and are classes of their own. Repeated rows are copies of each other. Null doc_ids take part; a
-class is named after its smallest doc_id. An empty table gives no rows.
+class is named after its smallest doc_id. An empty table gives no rows. ``deduplicate`` keeps all other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..operators.cells import connected_components
 from ..session import cut_lineage
 from .batches import slices
+from .names import free
 from .ngrams import MinHash, bands_for, ngram_set
 from .registry import query, table
 
@@ -104,7 +105,7 @@ def links_in_block(keys, parts, sets, bands, band: int, cross: bool, threshold:
 
 
 def similar_sets(docs: DataFrame, sets: DataFrame, text: str, words: int, bands: int, threshold: float) -> DataFrame:
-    """key, links and root of every linked set, a row per block: ``sets`` has key, check, bands, copies and one row that
+    """key, links and root of every linked set, a row per block: ``sets`` has key, bands, copies and one row that
     holds the text of each (doc_id, text_key)."""
     spots = sets.select("key", "n_chars", F.posexplode("bands").alias("band", "bucket"))
     sizes = spots.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("n_chars").alias("chars")).where("members > 1")
@@ -160,18 +161,18 @@ def join(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, wo
     members = cut_lineage(signed.select("doc_id", "text_key", "n_chars", "_set.key", "_set.check", "_set.bands"))
     keyed = members.where(F.col("key").isNotNull())
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n_chars", "bands"))
-    sets = cut_lineage(keyed.groupBy("key", "check").agg(F.count(F.lit(1)).alias("copies"), first.alias("f")).select("key", "check", "copies", "f.doc_id", "f.text_key", "f.n_chars", "f.bands"))
-    if sets.groupBy("key").count().where("count > 1").limit(1).count():
-        raise ValueError("two sets share a 64-bit key")
-    found = cut_lineage(similar_sets(base, sets, "text", words, bands, similarity))
+    # sets are told apart by 128 bits; from here on a number that is written once stands for each
+    sets = keyed.groupBy("key", "check").agg(F.count(F.lit(1)).alias("copies"), first.alias("f"))
+    sets = cut_lineage(sets.select(F.monotonically_increasing_id().alias("id"), "key", "check", "copies", "f.doc_id", "f.text_key", "f.n_chars", "f.bands"))
+    found = cut_lineage(similar_sets(base, sets.drop("key", "check").withColumnRenamed("id", "key"), "text", words, bands, similarity)).withColumnRenamed("key", "id")
     one = F.lit(0).alias("all")
-    edges = found.where("key != root").select(one, F.col("key").alias("a"), F.col("root").alias("b")).distinct()
-    components = connected_components(edges, found.select(one, F.col("key").alias("id")), ["all"]).select(F.col("id").alias("key"), "component")
-    links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    known = sets.join(links, "key", "left").join(components, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    edges = found.where("id != root").select(one, F.col("id").alias("a"), F.col("root").alias("b")).distinct()
+    components = connected_components(edges, found.select(one, "id"), ["all"]).select("id", "component")
+    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    known = sets.join(links, "id", "left").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
     names = known.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    of_set = known.join(names, "component").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return members.join(of_set, "key", "left").select(
+    of_set = known.join(names, "component").select("key", "check", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return members.join(of_set, ["key", "check"], "left").select(
         "doc_id", "text_key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("key").isNotNull().alias("_has")
     )
 
@@ -183,9 +184,11 @@ def deduplicate(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     first = joined.where("_has").groupBy("class_id").agg(F.min(order).alias("k")).select("k.doc_id", "k.text_key")
     ranked = first.union(joined.where("NOT _has").select("doc_id", "text_key")).distinct()
-    keyed = docs.withColumn("_text_key", F.xxhash64(text))
-    chosen = keyed.join(ranked, keyed["doc_id"].eqNullSafe(ranked["doc_id"]) & (keyed["_text_key"] == ranked["text_key"]), "left_semi")
-    return chosen.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    key = free(docs, "_text_key")
+    ranked = ranked.select(F.col("doc_id").alias((of_id := free(docs, "_of"))), F.col("text_key").alias((of_key := free(docs, "_of_key"))))
+    keyed = docs.withColumn(key, F.xxhash64(text))
+    chosen = keyed.join(ranked, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(key) == F.col(of_key)), "left_semi")
+    return chosen.dropDuplicates(["doc_id", key]).drop(key)
 
 
 SQL = """

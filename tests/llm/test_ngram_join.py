@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from scanfleet.llm import ngrams as N
 from scanfleet.llm import op02_ngram_join as J
@@ -72,6 +73,20 @@ def test_edges(spark):
     assert J.join(docs.where("false")).count() == 0 and J.deduplicate(docs.where("false")).count() == 0
 
 
+def test_sets_that_share_a_key_stay_apart(spark, monkeypatch):
+    """Keys of three values only: the second hash tells the sets apart."""
+    texts = fixture()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    real = J.with_bands
+    monkeypatch.setattr(J, "with_bands", lambda *a: real(*a).withColumn("_set", F.col("_set").withField("key", F.pmod(F.col("_set.key"), F.lit(3)))))
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in J.join(docs).collect()) == brute(texts)
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, 6, 7, 8), (2, "a b c d e f", 5, 6, 7, 8), (3, "other words", 5, 6, 7, 8)], "doc_id long, text string, _text_key int, text_key int, _of int, class_id int")
+    assert sorted(tuple(r) for r in J.deduplicate(docs).collect()) == [(1, "a b c d e f", 5, 6, 7, 8), (3, "other words", 5, 6, 7, 8)]
+
+
 def test_band_count():
     assert J.SIMILARITY == 0.8 and 1 - (1 - 0.8**6) ** N.bands_for(0.8, 6, 0.9999) >= 0.9999 > 1 - (1 - 0.8**6) ** (N.bands_for(0.8, 6, 0.9999) - 1)
 
