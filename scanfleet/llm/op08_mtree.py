@@ -6,7 +6,7 @@ is |q|^2 + M^2 - 2 q.v, so the k highest inner products are the k nearest neighb
 Routing objects come from a sample of at most ``SAMPLE`` rows; it decides how good the tree is, never what is found. Every row
 goes to its nearest routing object. A routing object's rows become pages of at most ``PAGE`` rows in the order of their distance to it; the
 page stores these parent distances and its covering radii. A query's k-th best score within the sample is its first threshold. Pages and queries
-meet in blocks of bounded size, but only where a block's radii allow it. There each query goes best first: pages wait in a heap by the
+meet in blocks of bounded size, queries of neighbouring regions in one; a page goes to the blocks whose queries its radii allow, and to no other. There each query goes best first: pages wait in a heap by the
 least distance that their radii allow; of an opened page only the entries whose parent distance lies within the threshold are computed; the
 search ends when the nearest waiting page is beyond it. Scores are computed on whole numbers, and pages at the threshold are opened, so ties are
 exact. The blocks' best are merged per query.
@@ -89,6 +89,22 @@ class Tree:
         return np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(v), -np.inf)
 
 
+def by_region(rows: DataFrame, most: int) -> Column:
+    """The number of a row's group: some whole regions that follow each other, or by hash a part of a region that has more than ``most`` rows."""
+    counts = {r["region"]: r["count"] for r in rows.groupBy("region").count().collect()}  # at most REGIONS rows
+    if not counts:
+        return F.lit(0)
+    group, filled, first, salts = 0, 0, {}, {g: math.ceil(n / most) for g, n in counts.items()}
+    for g in sorted(counts):
+        if filled and filled + counts[g] > most:
+            group, filled = group + 1, 0
+        first[g] = group
+        group, filled = (group + salts[g], 0) if salts[g] > 1 else (group, filled + counts[g])
+    of = lambda values: F.create_map(*[F.lit(x) for g in values for x in (g, values[g])])[F.col("region")]
+    # hashed with the vector, so that different rows of one vec_id don't meet in one part
+    return of(first) + F.pmod(F.xxhash64("vec_id", "v"), of(salts)).cast("int")
+
+
 def build(vectors: DataFrame, tree: Tree) -> DataFrame:
     """Pages: region, shard, near and far (radii), ids, parents (distances) and the vectors' bytes."""
 
@@ -100,18 +116,6 @@ def build(vectors: DataFrame, tree: Tree) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], pa.array(region.astype(np.int32)), pa.array(d[np.arange(len(v)), region])], names=["vec_id", "v", "region", "parent"])
 
     routed = cut_lineage(vectors.mapInArrow(route, "vec_id bigint, v array<bigint>, region int, parent double"))
-    counts = {r["region"]: r["count"] for r in routed.groupBy("region").count().collect()}  # at most REGIONS rows
-    salts = {g: math.ceil(n / SHARD_ROWS) for g, n in counts.items()}
-    # shards of whole regions, or parts of one region
-    shard, filled, first = 0, 0, {}
-    for g in sorted(counts):
-        if filled and filled + counts[g] > SHARD_ROWS:
-            shard, filled = shard + 1, 0
-        first[g] = shard
-        shard, filled = (shard + salts[g], 0) if salts[g] > 1 else (shard, filled + counts[g])
-    pairs = [F.lit(x) for g in first for x in (g, first[g])]
-    many = [F.lit(x) for g in salts for x in (g, salts[g])]
-    at = F.create_map(*pairs)[F.col("region")] + F.pmod(F.xxhash64("vec_id"), F.create_map(*many)[F.col("region")]).cast("int") if counts else F.lit(0)
 
     def pages(group: pa.Table) -> pa.Table:
         group = group.sort_by([("region", "ascending"), ("parent", "ascending"), ("vec_id", "ascending")])
@@ -126,7 +130,7 @@ def build(vectors: DataFrame, tree: Tree) -> DataFrame:
             begin = end
         return pa.Table.from_pylist(out, schema=_PAGE)
 
-    return cut_lineage(routed.withColumn("shard", at).groupBy("shard").applyInArrow(pages, _PAGE_DDL))
+    return cut_lineage(routed.withColumn("shard", by_region(routed, SHARD_ROWS)).groupBy("shard").applyInArrow(pages, _PAGE_DDL))
 
 
 _PAGE = pa.schema([("shard", pa.int32()), ("region", pa.int32()), ("near", pa.float64()), ("far", pa.float64()), ("ids", pa.list_(pa.int64())), ("parents", pa.list_(pa.float64())), ("vectors", pa.binary())])
@@ -168,6 +172,12 @@ def best_first(tree: Tree, k: int, q: np.ndarray, own: int, n2: float, to_routin
     return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
+def pages_asked_for(pages: DataFrame, asked: DataFrame) -> DataFrame:
+    """Pages with ``part``: once for each group of queries of which one asks for their shard, and nowhere else."""
+    pairs = asked.select(F.col("shard").alias("shard"), F.col("part").alias("part")).distinct()
+    return pages.join(pairs, "shard")
+
+
 def search(rows: DataFrame, queries: Column, k: int = K, vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score: for each row of ``rows`` where ``queries`` holds, its k best candidates among all others."""
     vectors = cut_lineage(whole_vectors(rows, vector))
@@ -181,8 +191,15 @@ def search(rows: DataFrame, queries: Column, k: int = K, vector: str = "embeddin
     for r in shards.collect():
         radii.setdefault(r["shard"], []).append((r["region"], r["near"], r["far"]))
     asked = vectors.where(queries).groupBy("vec_id").agg(F.min("v").alias("v"), F.min(F.struct("v", "n2")).alias("s")).select("vec_id", "v", "s.n2")
-    groups = math.ceil(asked.count() / QUERY_ROWS)
-    dealt = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, groups))).cast("int"))
+
+    def route(batches):
+        for batch in batches:
+            d = tree.to_routing(matrix(batch["v"].to_pylist(), tree.width), batch["n2"].to_numpy(), query=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.argmin(axis=1).astype(np.int32))], names=[*batch.schema.names, "region"])
+
+    # queries of neighbouring regions share a group, so that a group asks few shards
+    routed = cut_lineage(asked.mapInArrow(route, "vec_id bigint, v array<bigint>, n2 double, region int"))
+    dealt = routed.withColumn("part", by_region(routed, QUERY_ROWS)).drop("region")
 
     def spread(batches):
         """Each query with its first threshold, once for each shard that can hold a candidate."""
@@ -199,8 +216,8 @@ def search(rows: DataFrame, queries: Column, k: int = K, vector: str = "embeddin
                         [rows_["vec_id"], rows_["v"], rows_["n2"], rows_["part"], pa.array(np.full(rows_.num_rows, shard, dtype=np.int32)), pa.array(score[hit])], names=["vec_id", "v", "n2", "part", "shard", "score"]
                     )
 
-    spread_out = dealt.mapInArrow(spread, "vec_id bigint, v array<bigint>, n2 double, part int, shard int, score double")
-    met = pages.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(1, groups) - 1))))
+    spread_out = cut_lineage(dealt.mapInArrow(spread, "vec_id bigint, v array<bigint>, n2 double, part int, shard int, score double"))
+    met = pages_asked_for(pages, spread_out)
 
     def find(asked_: pa.Table, found: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}

@@ -61,3 +61,27 @@ def test_bounds_skip_pages(spark):
     pages = [r.asDict() for r in M.build(v, tree).collect()]
     assert sum(len(p["ids"]) for p in pages) == v.count() and all(len(p["ids"]) <= M.PAGE for p in pages)
     assert all(p["near"] <= d <= p["far"] for p in pages for d in p["parents"])
+
+
+def test_pages_go_where_they_are_asked_for(spark, monkeypatch):
+    """Twice the clusters, twice the rows: each page is still copied to few groups of queries, not to all."""
+    copies = []
+    real = M.pages_asked_for
+
+    def counted(pages, asked):
+        met = real(pages, asked)
+        copies.append((met.count(), pages.count(), asked.select("part").distinct().count()))
+        return met
+
+    monkeypatch.setattr(M, "pages_asked_for", counted)
+    for name, n in (("SHARD_ROWS", 100), ("QUERY_ROWS", 5), ("PAGE", 16)):
+        monkeypatch.setattr(M, name, n)
+    rnd = random.Random(4)
+    for clusters in (8, 16):
+        centres = [[rnd.choice([-1.0, 1.0]) * rnd.uniform(3, 9) for _ in range(10)] for _ in range(clusters)]
+        data = [(i, [x + rnd.gauss(0, 0.05) for x in centres[i % clusters]]) for i in range(150 * clusters)]
+        df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+        got = sorted(tuple(r) for r in M.search(df, F.col("vec_id") % 20 == 0, k=5).select("query_id", "rank", "vec_id", "score").collect())
+        assert got == brute(data, 5)
+    (a, pages_a, groups_a), (b, pages_b, groups_b) = copies
+    assert groups_b > 8 and b < 0.7 * pages_b * groups_b and b / pages_b < 3 * a / pages_a
