@@ -403,12 +403,19 @@ def _(fx):
     return rounded(gr.resolve_sign(best, fx.planes), "sign_margin").select("scan_id", "uz", "sign_margin")
 
 
-@query("refine_on_floor", ["planes", "scans"], """SELECT scan_id, round(degrees(acos(cos(radians((scan_id % 8) * 0.2e0)))), 4) AS swing_deg, round(CASE WHEN degrees(acos(cos(radians((scan_id % 8) * 0.2e0)))) <= 0.5e0 THEN 0e0 ELSE sin(radians((scan_id % 8) * 0.2e0)) END, 6) + 0.0e0 AS ux FROM scans""")
+_WEIGHT = "CASE WHEN area > 0 THEN area ELSE CAST(inlier_count AS DOUBLE) END"
+
+
+@query("refine_on_floor", ["planes", "scans"], f"""WITH u AS (SELECT scan_id, sin(radians((scan_id % 8) * 0.2e0)) AS ux, cos(radians((scan_id % 8) * 0.2e0)) AS uz FROM scans),
+r AS (SELECT scan_id, plane_id, nx, ny, nz, nx * ux + nz * uz AS c, {_WEIGHT} AS w, ux, uz FROM planes JOIN u USING (scan_id)),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY w DESC, plane_id) AS rn FROM r WHERE abs(c) >= cos(radians({K.HORIZONTAL_TOL_DEG!r}e0))) WHERE rn = 1),
+s AS (SELECT scan_id, sqrt(sum(w * t * t) / sum(w)) AS scatter, count(*) AS k FROM (SELECT *, degrees(asin(least(1e0, abs(c)))) AS t FROM r WHERE abs(c) <= sin(radians({K.WALL_TOL_DEG!r}e0))) GROUP BY 1),
+m AS (SELECT u.scan_id, degrees(acos(least(1e0, abs(c)))) AS swing, CASE WHEN k >= 2 THEN least(greatest(scatter, {K.REFINE_MAX_DEG!r}e0), {K.REFINE_MAX_TOLERANCE_DEG!r}e0) ELSE {K.REFINE_MAX_DEG!r}e0 END AS tol, u.ux, nx * sign(c) AS up FROM u LEFT JOIN h USING (scan_id) LEFT JOIN s USING (scan_id))
+SELECT scan_id, round(swing, 4) AS swing_deg, round(CASE WHEN swing <= tol THEN up ELSE ux END, 6) + 0.0e0 AS ux FROM m""")
 def _(fx):
     a = F.radians((F.col("scan_id") % 8) * 0.2)
-    flat = fx.planes.where("plane_id <> 3 AND plane_id <> 4 AND plane_id <> 7")
     ups = fx.scans.select("scan_id", F.sin(a).alias("ux"), F.lit(0.0).alias("uy"), F.cos(a).alias("uz"))
-    out = gr.refine_on_floor(ups, flat)
+    out = gr.refine_on_floor(ups, fx.planes)
     return out.select("scan_id", F.round("swing_deg", 4).alias("swing_deg"), r6(F.col("ux")).alias("ux"))
 
 
