@@ -2,8 +2,10 @@
 
 A scan's references are cut at medians, always across the widest spread, until a leaf holds about ``LEAF`` of them. Medians follow the
 points, so one stray return a hundred kilometres away costs one cut and neither empties nor overfills the other leaves. The cuts come from a sample of
-the scan; they decide how even the leaves are, never what is found. Leaves are packed once. Each query location first looks into its own leaf;
-only if the ball of its k-th distance crosses a cut does it visit the leaves behind that cut. A scan of up to one leaf has no tree at all.
+the scan; they decide how even the leaves are, never what is found. A sample of bounded size makes a bounded number of leaves, so leaves that are
+still too large are cut again, each from a sample of its own, until none holds over twice ``LEAF``. Leaves are packed once. Each query location first
+looks into its own leaf; only if the ball of its k-th distance crosses a cut does it visit the leaves behind that cut. A scan of up to one leaf has no
+tree at all.
 
 Copies collapse before anything else: at most k references per location can ever be among anyone's k nearest.
 """
@@ -22,8 +24,10 @@ from ..session import cut_lineage
 
 #: References of one leaf, and query locations of one leaf that share a task row.
 LEAF, CHUNK = 1024, 256
-#: References of a scan that its cuts are taken from, and the fewest of them that a leaf gets.
+#: References of a scan, or of a leaf that is cut again, that the cuts are taken from, and the fewest of them that a leaf gets.
 SAMPLE, LEAF_SAMPLE = 262_144, 16
+#: Numbers that a leaf's own leaves may take, and the levels that fit into a long: enough for more references than there are numbers for.
+FAN, LEVELS = 1 << 15, 4
 #: Points of a scan that are led through its tree in one task.
 DEAL = 65_536
 #: Distances that a kernel holds at a time.
@@ -105,32 +109,64 @@ def leaves_within(points: np.ndarray, reach: np.ndarray, axis: np.ndarray, value
     return row, node - len(axis)
 
 
-def _trees(refs: DataFrame, sizes: DataFrame, leaf: int) -> DataFrame:
-    """scan_id, axis and value for each scan of more than one leaf, from a bounded sample of its references."""
-    big = sizes.where(F.col("n") > leaf)
+_NODE = ["scan_id", "leaf"]
+
+
+def _trees(refs: DataFrame, big: DataFrame, leaf: int) -> DataFrame:
+    """scan_id, leaf, axis and value for each leaf of ``big`` (with its size n), from a bounded sample of its references. One without two
+    locations in its sample has no tree."""
     share = F.pmod(F.xxhash64("x", "y", "z"), F.lit(1 << 20)) * F.col("n") < F.lit(float(SAMPLE) * (1 << 20))
-    sample = refs.join(big, "scan_id").where(share).select("scan_id", "n", "x", "y", "z")
+    sample = refs.join(big, _NODE).where(share).select(*_NODE, "n", "x", "y", "z")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaves = min(math.ceil(pdf["n"].iloc[0] / leaf), max(1, len(pdf) // LEAF_SAMPLE))
+        leaves = min(math.ceil(pdf["n"].iloc[0] / leaf), max(2, len(pdf) // LEAF_SAMPLE), FAN // 2)
         axis, value = cuts(pdf[["x", "y", "z"]].to_numpy(), leaves)
-        return pd.DataFrame({"scan_id": [pdf["scan_id"].iloc[0]], "axis": [axis], "value": [value]})
+        out = pd.DataFrame({"scan_id": [pdf["scan_id"].iloc[0]], "leaf": [pdf["leaf"].iloc[0]], "axis": [axis], "value": [value]})
+        return out[[bool(np.isfinite(value).any())]]
 
-    return cut_lineage(sample.groupBy("scan_id").applyInPandas(build, "scan_id long, axis array<long>, value array<double>"))
+    return cut_lineage(sample.groupBy(*_NODE).applyInPandas(build, "scan_id long, leaf long, axis array<long>, value array<double>"))
 
 
-def _through(rows: DataFrame, trees: DataFrame, sizes: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn(rows, axis, value)`` on rows of scans with a tree, some ten thousand of a scan at a time."""
-    salts = sizes.join(trees.select("scan_id"), "scan_id").select("scan_id", F.ceil(F.col("n") / DEAL).cast("int").alias("salts"))
-    dealt = rows.join(salts, "scan_id").withColumn("salt", F.pmod(F.xxhash64("x", "y", "z"), F.col("salts")).cast("int")).drop("salts")
-    spread = trees.join(salts, "scan_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+def _through(rows: DataFrame, trees: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn(rows, axis, value)`` on the rows of leaves with a tree, some ten thousand of a leaf at a time."""
+    many = rows.groupBy(*_NODE).agg(F.count(F.lit(1)).alias("n"))
+    salts = cut_lineage(many.join(trees.select(*_NODE), _NODE).select(*_NODE, F.ceil(F.col("n") / DEAL).cast("int").alias("salts")))
+    dealt = rows.join(salts, _NODE).withColumn("salt", F.pmod(F.xxhash64("x", "y", "z"), F.col("salts")).cast("int")).drop("salts")
+    spread = trees.join(salts, _NODE).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
     def led(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return fn(left, np.zeros(0, dtype=np.int64), np.zeros(0))
         return fn(left, np.asarray(right["axis"].iloc[0], dtype=np.int64), np.asarray(right["value"].iloc[0], dtype=float))
 
-    return dealt.groupBy("scan_id", "salt").cogroup(spread.groupBy("scan_id", "salt")).applyInPandas(led, schema)
+    return dealt.groupBy(*_NODE, "salt").cogroup(spread.groupBy(*_NODE, "salt")).applyInPandas(led, schema)
+
+
+def _placed(rows: DataFrame, trees: DataFrame, number: str) -> DataFrame:
+    """``rows`` (scan_id, leaf, x, y, z and ``number``) led one level further down; leaves without a tree stay as they are."""
+    schema = f"scan_id long, leaf long, x double, y double, z double, {number} long"
+    cols = ["scan_id", "leaf", "x", "y", "z", number]
+
+    def into(pdf: pd.DataFrame, axis: np.ndarray, value: np.ndarray) -> pd.DataFrame:
+        if not len(pdf):
+            return pdf[cols]
+        return pdf[cols].assign(leaf=pdf["leaf"] * FAN + 1 + leaf_of(pdf[["x", "y", "z"]].to_numpy(), axis, value))
+
+    return cut_lineage(_through(rows, trees, into, schema).union(rows.join(trees.select(*_NODE), _NODE, "left_anti").select(*cols)))
+
+
+def _touched(rows: DataFrame, trees: DataFrame) -> DataFrame:
+    """Rows (scan_id, leaf, q, x, y, z, reach, own) for every leaf one level down that the ball of a row touches."""
+    cols = ["scan_id", "leaf", "q", "x", "y", "z", "reach", "own"]
+
+    def beyond(pdf: pd.DataFrame, axis: np.ndarray, value: np.ndarray) -> pd.DataFrame:
+        if not len(pdf):
+            return pdf[cols]
+        row, leaves = leaves_within(pdf[["x", "y", "z"]].to_numpy(), pdf["reach"].to_numpy(), axis, value)
+        return pdf[cols].iloc[row].assign(leaf=pdf["leaf"].to_numpy()[row] * FAN + 1 + leaves)
+
+    below = _through(rows, trees, beyond, "scan_id long, leaf long, q long, x double, y double, z double, reach double, own long")
+    return below.union(rows.join(trees.select(*_NODE), _NODE, "left_anti").select(*cols))
 
 
 def _solve(asked: DataFrame, packed: DataFrame, k: int) -> DataFrame:
@@ -168,36 +204,27 @@ def knn_locations(queries: DataFrame, refs: DataFrame, k: int, leaf: int | None
     ref = ref.drop("_c")
     # written once, so a location keeps its number wherever it is used
     spots = cut_lineage(own.withColumn("q", F.monotonically_increasing_id()))
-    sizes = cut_lineage(ref.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n")))
-    trees = _trees(ref, sizes, leaf)
-    if trees.isEmpty():
-        packed = ref.withColumn("leaf", F.lit(0).cast("long")).groupBy("scan_id", "leaf").agg(F.collect_list(F.struct("rid", "x", "y", "z")).alias("r"))
-        return spots, _solve(spots.withColumn("leaf", F.lit(0).cast("long")), packed, k)
-
-    def placed(rows: DataFrame, number: str) -> DataFrame:
-        def into(pdf: pd.DataFrame, axis: np.ndarray, value: np.ndarray) -> pd.DataFrame:
-            return pdf[["scan_id", "x", "y", "z", number]].assign(leaf=leaf_of(pdf[["x", "y", "z"]].to_numpy(), axis, value) if len(pdf) else [])
-
-        many = rows.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
-        cut = _through(rows, trees, many, into, f"scan_id long, x double, y double, z double, {number} long, leaf long")
-        whole = rows.join(trees.select("scan_id"), "scan_id", "left_anti").select(*loc, number, F.lit(0).cast("long").alias("leaf"))
-        return cut_lineage(cut.union(whole))
-
-    ref, spots_at = placed(ref, "rid"), placed(spots, "q")
-    packed = cut_lineage(ref.groupBy("scan_id", "leaf").agg(F.collect_list(F.struct("rid", "x", "y", "z")).alias("r")))
+    levels = []
+    refs_at, spots_at = ref.withColumn("leaf", F.lit(0).cast("long")), spots.withColumn("leaf", F.lit(0).cast("long"))
+    while len(levels) < LEVELS:
+        sizes = refs_at.groupBy(*_NODE).agg(F.count(F.lit(1)).alias("n"))
+        trees = _trees(refs_at, cut_lineage(sizes.where(F.col("n") > (2 * leaf if levels else leaf))), leaf)
+        if trees.isEmpty():
+            break
+        levels.append(trees)
+        refs_at, spots_at = _placed(refs_at, trees, "rid"), _placed(spots_at, trees, "q")
+    packed = refs_at.groupBy(*_NODE).agg(F.collect_list(F.struct("rid", "x", "y", "z")).alias("r"))
+    if not levels:
+        return spots, _solve(spots_at, packed, k)
+    packed = cut_lineage(packed)
     first = cut_lineage(_solve(spots_at, packed, k))
     reach = first.where(F.col("rank") == k).select("scan_id", "q", F.col("dist").alias("reach"))
-    open_ = spots_at.join(trees.select("scan_id"), "scan_id", "left_semi").join(reach, ["scan_id", "q"], "left").withColumn("reach", F.coalesce(F.col("reach") * (1 + 1e-12), F.lit(float("inf"))))
-
-    def beyond(pdf: pd.DataFrame, axis: np.ndarray, value: np.ndarray) -> pd.DataFrame:
-        if not len(pdf):
-            return pdf[["scan_id", "leaf", "q", "x", "y", "z"]]
-        row, leaves = leaves_within(pdf[["x", "y", "z"]].to_numpy(), pdf["reach"].to_numpy(), axis, value)
-        more = leaves != pdf["leaf"].to_numpy()[row]
-        return pdf[["scan_id", "q", "x", "y", "z"]].iloc[row[more]].assign(leaf=leaves[more])[["scan_id", "leaf", "q", "x", "y", "z"]]
-
-    many = spots_at.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
-    other = cut_lineage(_through(open_, trees, many, beyond, "scan_id long, leaf long, q long, x double, y double, z double"))
+    open_ = spots_at.join(levels[0].select("scan_id"), "scan_id", "left_semi").join(reach, ["scan_id", "q"], "left")
+    reach = F.coalesce(F.col("reach") * (1 + 1e-12), F.lit(float("inf")))
+    other = cut_lineage(open_.select("scan_id", F.lit(0).cast("long").alias("leaf"), "q", "x", "y", "z", reach.alias("reach"), F.col("leaf").alias("own")))
+    for trees in levels:
+        other = cut_lineage(_touched(other, trees))
+    other = other.where(F.col("leaf") != F.col("own")).select("scan_id", "leaf", "q", "x", "y", "z")
     second = _solve(other, packed, k)
     unsettled = other.select("scan_id", "q").distinct()
     order = Window.partitionBy("scan_id", "q").orderBy("dist", "id")

@@ -89,6 +89,27 @@ def test_knn_cuts_follow_the_points():
         assert set(leaf[inside]) <= set(leaves[row == i])
 
 
+def test_knn_cuts_large_leaves_again(spark, monkeypatch):
+    """A sample too small for all the leaves makes more levels, not larger leaves, and the same neighbours."""
+    monkeypatch.setattr(knn, "SAMPLE", 128)
+    rng = np.random.default_rng(13)
+    p = np.concatenate([rng.uniform(0, 4, (2500, 3)), 1 + rng.normal(0, 0.01, (1200, 3)), [[1e5, 0, 0]], np.repeat([[2.0, 2.0, 2.0]], 60, 0)])
+    few = rng.uniform(0, 1, (20, 3))
+    pdf = pd.concat([pd.DataFrame(a, columns=list("xyz")).assign(scan_id=s, point_id=np.arange(len(a))) for s, a in ((1, p), (2, few))])
+    df = spark.createDataFrame(pdf).select("scan_id", "point_id", "x", "y", "z")
+    asked, largest = [], []
+    solve = knn._solve
+    monkeypatch.setattr(knn, "_solve", lambda rows, packed, k: (asked.append(rows), largest.append(packed.selectExpr("max(size(r))").first()[0]), solve(rows, packed, k))[-1])
+    got = knn.knn_join(df, df, 4, leaf=40, same=True).toPandas().sort_values(["scan_id", "point_id", "rank"])
+    assert max(largest) <= 80
+    for s, a in ((1, p), (2, few)):
+        ids = got[got.scan_id == s].id.to_numpy().reshape(-1, 4)
+        d = ((a[:, None] - a[None]) ** 2).sum(-1)
+        assert (ids == np.lexsort((np.broadcast_to(np.arange(len(a)), d.shape), d), axis=1)[:, :4]).all()
+    other = knn.knn_join(df.where("point_id < 300"), df.where("point_id >= 300"), 1, leaf=40).where("scan_id = 1").toPandas().sort_values("point_id")
+    assert (other.id.to_numpy() == 300 + ((p[:300, None] - p[None, 300:]) ** 2).sum(-1).argmin(1)).all()
+
+
 def test_knn_between_two_tables_with_far_queries(spark):
     rng = np.random.default_rng(6)
     refs, qs = rng.uniform(0, 1, (80, 3)), rng.uniform(-3, 4, (700, 3))
