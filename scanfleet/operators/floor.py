@@ -74,27 +74,44 @@ def floor_cells(frames: DataFrame) -> DataFrame:
     )
 
 
+def lower_envelope(g2: np.ndarray) -> np.ndarray:
+    """For each position j the minimum over k of g2[k] + (j - k)^2.
+
+    The first k that gives the minimum never falls as j grows. So the positions are settled from the middle outwards, each looking only between
+    the choices of its settled neighbours: every level looks at some len(g2) sums, and there are logarithmically many levels.
+    """
+    n, source = len(g2), np.flatnonzero(np.isfinite(g2))
+    if not len(source):
+        return np.full(n, np.inf)
+    height = g2[source]
+    best, choice = np.empty(n), np.zeros(n + 2, dtype=np.int64)  # choice[j + 1] is that of position j, between two posts
+    choice[n + 1] = len(source) - 1
+    step = 1 << (n - 1).bit_length()
+    while step:
+        # with posts at -1 and n, the positions half-way between those of the level before
+        at = np.arange(step - 1, n, 2 * step)
+        low, high = choice[at + 1 - step], choice[np.minimum(at + 1 + step, n + 1)]
+        width = high - low + 1
+        first = np.cumsum(width) - width
+        k = np.arange(width.sum()) + np.repeat(low - first, width)
+        cost = height[k] + (np.repeat(at, width) - source[k]).astype(float) ** 2
+        best[at] = np.minimum.reduceat(cost, first)
+        hit = np.flatnonzero(cost == np.repeat(best[at], width))
+        choice[at + 1] = k[hit[np.searchsorted(hit, first)]]
+        step //= 2
+    return best
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _min_parabola(g2: pd.Series) -> pd.Series:
-    """For each position j the minimum over k of g2[k] + (j - k)^2; stops once no shift can improve anything."""
-    out = []
-    for values in g2:
-        a = np.asarray(values, dtype=float)
-        best = a.copy()
-        for d in range(1, len(a)):
-            if d * d >= best.max():
-                break
-            np.minimum(best[d:], a[:-d] + d * d, out=best[d:])
-            np.minimum(best[:-d], a[d:] + d * d, out=best[:-d])
-        out.append(best)
-    return pd.Series(out)
+    return pd.Series([lower_envelope(np.asarray(values, dtype=float)) for values in g2])
 
 
 def clearance_map(frames: DataFrame, blocked: DataFrame) -> DataFrame:
     """Exact distance from each floor cell to the nearest blocked one; a scan with none gets its longer side.
 
     The distance transform is separable. Along i it is two running lookups (nearest blocked cell before and after);
-    along j it is a minimum of parabolas over one map column, an array no longer than the map is wide.
+    along j it is the lower envelope of parabolas over one map column, an array no longer than the map is wide.
     """
     cells = floor_cells(frames).select(*CELL).join(blocked.select(*CELL, F.col("i").alias("_b")), CELL, "left")
     line = Window.partitionBy("scan_id", "j").orderBy("i")

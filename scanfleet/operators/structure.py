@@ -12,6 +12,7 @@ from ..functions import vec
 from ..functions.stats import percentiles
 from ..session import cut_lineage
 from . import cells as cl
+from .sampling import keep_strongest
 from .transforms import orient_planes, signed_distance, with_planes
 from .voxels import adaptive_resolution, footprint_area
 
@@ -150,23 +151,20 @@ def find_floor_ceiling(points: DataFrame, planes: DataFrame) -> DataFrame:
     return floor.join(best, "scan_id", "left").select("scan_id", "floor_z", "ceiling_z")
 
 
-def _same_wall(a: Column, b: Column) -> Column:
-    c = a["nx"] * b["nx"] + a["ny"] * b["ny"] + a["nz"] * b["nz"]
-    offset = F.when(c > 0, a["d"]).otherwise(-a["d"])
-    return (F.abs(c) >= math.cos(math.radians(K.DUPLICATE_WALL_ANGLE_DEG))) & (F.abs(offset - b["d"]) <= K.DUPLICATE_WALL_OFFSET_M)
-
-
 def merge_duplicate_walls(planes: DataFrame) -> DataFrame:
-    """Walls without the weaker copies of the same surface: strongest first, keep what no kept wall duplicates.
+    """Walls without the weaker copies of the same surface: strongest first (ties to the lower id), keep what no kept wall duplicates.
 
-    A scan has at most a few dozen planes (detection stops at 24), so the greedy pass folds one short array per scan.
+    A wall and the same one turned round are two ways to write one surface, so each also stands where its reverse does.
     """
     walls = planes.where(F.col("kind") == "wall")
-    entry = F.struct((-F.col("inlier_count")).alias("o"), "plane_id", "nx", "ny", "nz", F.col("plane_offset").alias("d"))
-    lists = walls.groupBy("scan_id").agg(F.sort_array(F.collect_list(entry)).alias("w"))
-    empty = F.expr("CAST(array() AS array<struct<o:bigint,plane_id:bigint,nx:double,ny:double,nz:double,d:double>>)")
-    kept = F.aggregate("w", empty, lambda acc, p: F.when(F.exists(acc, lambda k: _same_wall(p, k)), acc).otherwise(F.concat(acc, F.array(p))))
-    ids = lists.select("scan_id", F.explode(kept).alias("k")).select("scan_id", F.col("k")["plane_id"].alias("plane_id"))
+    n, kept = ["nx", "ny", "nz"], ["kept_nx", "kept_ny", "kept_nz"]
+    c = vec.dot(vec.cols(*n), vec.cols(*kept))
+    same = (F.abs(c) >= math.cos(math.radians(K.DUPLICATE_WALL_ANGLE_DEG))) & (F.abs(F.when(c > 0, F.col("plane_offset")).otherwise(-F.col("plane_offset")) - F.col("kept_plane_offset")) <= K.DUPLICATE_WALL_OFFSET_M)
+    # a little over the furthest that two copies can lie apart, as normals are of unit length to within rounding only
+    cells = {f"_b{a}": F.floor(F.col(a) / (2.2 * math.sin(math.radians(K.DUPLICATE_WALL_ANGLE_DEG / 2)))) for a in n} | {"_bd": F.floor(F.col("plane_offset") / (1.05 * K.DUPLICATE_WALL_OFFSET_M))}
+    ranked = walls.withColumn("rank", F.struct("inlier_count", (-F.col("plane_id")).alias("t")))
+    features = [*n, "plane_offset"]
+    ids = keep_strongest(ranked, "plane_id", features, cells, same, lambda df: df.withColumns({f: -F.col(f) for f in features}))
     return walls.join(ids, PLANE, "left_semi")
 
 
