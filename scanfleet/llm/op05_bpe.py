@@ -3,7 +3,9 @@
 A word starts as its bytes, the last one marked as the word's end. A tournament tree stands over the ranks of adjacent
 pairs; each leaf also carries its place, so the root is the leftmost pair of lowest rank. A merge changes three leaves:
 the merged pair, the pair before it and the pair that vanishes. Each change climbs one path to the root. It ends when the
-root holds no mergeable pair. Words of one size class are merged side by side in numpy, one tree per word.
+root holds no mergeable pair. Words of one size class are merged side by side in numpy, one tree per word. In long words all
+leaves of the root's rank are merged in one step, left to right, wherever no pair with the new symbol ranks before them: then
+one by one would come out the same.
 
 Null texts count as empty and have no ids; null id lists decode to the empty string. Texts of any length are
 encoded whole. Repeated rows get equal ids. A column that already has the output's name is replaced.
@@ -28,6 +30,7 @@ from .registry import query, table
 
 NONE = np.int64(1) << 62  # a leaf without a mergeable pair
 CELLS = 1 << 19  # leaves merged side by side, which bounds memory
+LONG = 64  # leaves from which a step takes all pairs of the root's rank
 
 # Up to here, and without odd white space, Python's case folding, classes and white space are those of the tokenizer's own steps.
 _ODD = re.compile("[^\x00-ɏ]|[\x1c-\x1f\x85\xa0]")
@@ -65,6 +68,11 @@ class SegmentTreeBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
+        # a symbol may be made in several ways, so a pair that holds it can rank before one of them
+        first_use = np.full(max(vocab.values()) + 1, len(pairs), dtype=np.int64)
+        for side in (keys >> 32, keys & 0xFFFFFFFF):
+            np.minimum.at(first_use, side, np.arange(len(pairs)))
+        self.together = first_use[self.made] > np.arange(len(pairs))
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = np.empty(max([*vocab.values(), *self.added.values()]) + 1, dtype=object)
         for token, i in [*vocab.items(), *self.added.items()]:
@@ -129,10 +137,33 @@ class SegmentTreeBpe:
             r = self.rank(symbol[row, left], symbol[row, right])
             return np.where(r >= 0, (r << bits) | left, NONE)
 
-        row = rows[tree[:, 1] < NONE]
-        while len(row):
-            root = tree[row, 1]
-            left = root & (size - 1)
+        def of_roots_rank(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Word and place of every leaf of the root's rank, in order, without those that share a symbol with one taken before."""
+            rank = tree[row, 1] >> bits
+            alone = ~self.together[rank]
+            single, single_left = row[alone], tree[row[alone], 1] & (size - 1)
+            row, rank = row[~alone], rank[~alone]
+            node = np.ones(len(row), dtype=np.int64)
+            for _ in range(bits):
+                node = np.stack([2 * node, 2 * node + 1], axis=1).ravel()
+                row, rank = np.repeat(row, 2), np.repeat(rank, 2)
+                holds = tree[row, node] >> bits == rank
+                row, rank, node = row[holds], rank[holds], node[holds]
+            left = node - size
+            # pairs that overlap are of one symbol repeated: every second one of such a chain is taken
+            chained = np.zeros(len(row), dtype=bool)
+            chained[1:] = (row[1:] == row[:-1]) & (after[row[:-1], left[:-1]] == left[1:])
+            at = np.arange(len(row))
+            taken = (at - np.maximum.accumulate(np.where(chained, 0, at))) % 2 == 0 if len(row) else chained
+            return np.concatenate([row[taken], single]), np.concatenate([left[taken], single_left])
+
+        busy = rows[tree[:, 1] < NONE]
+        while len(busy):
+            if size < LONG:
+                row, left = busy, tree[busy, 1] & (size - 1)
+            else:
+                row, left = of_roots_rank(busy)
+            root = tree[row, left + size]
             gone = after[row, left]
             then = after[row, gone]
             symbol[row, left] = self.made[root >> bits]
@@ -147,7 +178,7 @@ class SegmentTreeBpe:
             prior = before[row, left]
             has = prior >= 0
             put(row[has], prior[has], leaf(row[has], prior[has], left[has]))
-            row = row[tree[row, 1] < NONE]
+            busy = busy[tree[busy, 1] < NONE]
         kept = symbol[:, :size][alive].astype(np.int32)
         ends = np.cumsum(alive.sum(axis=1)).tolist()
         return [kept[a:b] for a, b in zip([0, *ends], ends)]

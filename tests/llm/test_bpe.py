@@ -34,6 +34,46 @@ def test_equals_the_library():
         assert tree.decode(np.frombuffer(ids, dtype=np.int32)) == lib.decode(want, skip_special_tokens=False)
 
 
+def test_long_words_in_few_steps():
+    """Words without white space: repeated symbols, overlapping pairs, and one of 32,000 letters."""
+    tree, lib, rnd = B.SegmentTreeBpe(B.default_path()), library(), random.Random(9)
+    words = ["a" * n for n in (63, 64, 65, 127, 1001)] + ["ab" * 500, "aab" * 400, "abaa" * 300, "the" * 333 + "t"]
+    words += ["".join(rnd.choice(letters) for _ in range(rnd.randint(60, 900))) for letters in ("ab", "aabc", "etaoins", "thernaedionlus") for _ in range(40)]
+    long = "".join(rnd.choice("etaoinshrdlucmfwypvbgkjqxz") for _ in range(32_000))
+    assert tree.merge([long.encode()])[0].tolist() == lib.encode(long, add_special_tokens=False).ids
+    for w, ids in zip(words, tree.merge([w.encode() for w in words])):
+        assert ids.tolist() == lib.encode(w, add_special_tokens=False).ids, w
+
+
+def test_pairs_that_rank_before_another_way_to_make_their_symbol():
+    """A vocabulary in which all pairs of a rank at once would be wrong is merged one by one."""
+    import json
+
+    import numpy as np
+
+    tree = B.SegmentTreeBpe(B.default_path())
+    with open(B.default_path(), encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    a, b, c = (vocab[x] for x in "abc")
+    ab, bc, abc = vocab["ab"], vocab["bo"], vocab["and"]  # any three other symbols
+    # (b c) -> bc, (a bc) -> abc, (abc a) -> ab, (a b) -> abc: the last way to make abc ranks after a pair that holds it
+    pairs, made = [(b, c), (a, bc), (abc, a), (a, b)], [bc, abc, ab, abc]
+    keys = np.array([(x << 32) | y for x, y in pairs])
+    order = np.argsort(keys)
+    tree.keys, tree.ranks, tree.made = keys[order], order.astype(np.int64), np.array(made)
+    tree.together = np.array([True, True, True, False])
+    rnd = random.Random(3)
+    for _ in range(60):
+        word = "".join(rnd.choice("abcab") for _ in range(rnd.randint(70, 200)))
+        ids = [vocab[x] for x in word[:-1]] + [vocab[word[-1] + "</w>"]]
+        while True:
+            best = min(((pairs.index(p), i) for i, p in enumerate(zip(ids, ids[1:])) if p in pairs), default=None)
+            if best is None:
+                break
+            ids[best[1] : best[1] + 2] = [made[best[0]]]
+        assert tree.merge([word.encode()])[0].tolist() == ids
+
+
 def test_store_limit_changes_nothing():
     tree = B.SegmentTreeBpe(B.default_path())
     once = tree.encode(texts())
