@@ -12,7 +12,10 @@ from ..functions.vec import r6
 from ..operators import capture as cp
 from ..operators import cells as cl
 from ..operators import gravity as gr
+from ..operators import normals as nm
 from ..operators import openings as op
+from ..operators import planes as pl
+from ..operators import polygons as pg
 from ..operators import qa
 from ..operators import scale as sc
 from ..operators import structure as st
@@ -283,8 +286,11 @@ def _(fx):
     return p.select("scan_id", "plane_id", sc.plane_weight().alias("weight"))
 
 
-@query("parallel_plane_gaps", ["planes"], """WITH r AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY area DESC, plane_id) AS r FROM planes), lead AS (SELECT scan_id, plane_id, r, CASE WHEN abs(nz) > 0.9e0 THEN 'z' WHEN abs(nx) > 0.9e0 THEN 'x' ELSE 'y' END AS fam, nx, ny, nz, plane_offset, area FROM r),
-m AS (SELECT *, row_number() OVER (PARTITION BY scan_id, fam ORDER BY r) AS k, min(r) OVER (PARTITION BY scan_id, fam) AS founder FROM lead), o AS (SELECT *, dense_rank() OVER (PARTITION BY scan_id ORDER BY founder) - 1 AS family FROM m)
+_GAPS = """r AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY area DESC, plane_id) AS r FROM planes), lead AS (SELECT scan_id, plane_id, r, CASE WHEN abs(nz) > 0.9e0 THEN 'z' WHEN abs(nx) > 0.9e0 THEN 'x' ELSE 'y' END AS fam, nx, ny, nz, plane_offset, area FROM r),
+m AS (SELECT *, row_number() OVER (PARTITION BY scan_id, fam ORDER BY r) AS k, min(r) OVER (PARTITION BY scan_id, fam) AS founder FROM lead), o AS (SELECT *, dense_rank() OVER (PARTITION BY scan_id ORDER BY founder) - 1 AS family FROM m)"""
+
+
+@query("parallel_plane_gaps", ["planes"], f"""WITH {_GAPS}
 SELECT a.scan_id, CAST(a.family AS BIGINT) AS family, round(abs(a.plane_offset - CASE WHEN a.nx*b.nx + a.ny*b.ny + a.nz*b.nz < 0 THEN -b.plane_offset ELSE b.plane_offset END), 6) AS gap, a.area + b.area AS weight FROM o a JOIN o b ON a.scan_id = b.scan_id AND a.family = b.family AND a.k = 1 AND b.k = 2""")
 def _(fx):
     return rounded(sc.parallel_plane_gaps(fx.planes), "gap")
@@ -312,11 +318,14 @@ def _term(i):
     return f"w{i} * {_CEILP(f'g{i}')} * {_PRI(f'g{a}', K.PLAN_PRIOR)} * {_PRI(f'g{b}', K.PLAN_PRIOR)} * {asp}"
 
 
+_SCORED = f"""s AS (SELECT scan_id, unit, f, o, (ln(greatest({_term(0)} + {_term(1)} + {_term(2)}, 1e-300)) + 0.5e0 * ln(greatest({_PRI('dg', K.DIAGONAL_PRIOR)}, 1e-300)) + 0.35e0 * ln(greatest({_PRI('sp', K.SPACING_PRIOR)}, 1e-300))) / 1.85e0 AS score FROM w),
+b AS (SELECT *, max(score) OVER (PARTITION BY scan_id) AS top, row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, o) AS rn FROM s), h AS (SELECT scan_id, 1 / sum(exp(score - top)) AS share FROM b GROUP BY 1)
+SELECT scan_id, CASE WHEN exp(top) >= 0.03e0 THEN unit ELSE 'unknown' END AS unit, CASE WHEN exp(top) >= 0.03e0 THEN f ELSE 1e0 END AS factor, round(CASE WHEN exp(top) >= 0.03e0 THEN share * least(exp(top) / 0.12e0, 1e0) ELSE 0e0 END, 5) AS confidence FROM b JOIN h USING (scan_id) WHERE rn = 1"""
+
+
 @query("infer_unit_scale", ["scans"], f"""WITH u AS (SELECT scan_id, unit, f, o, (2.4e0 + scan_id % 9 * 0.1e0) * k * f AS g0, 5.0e0 * k * f AS g1, 4.2e0 * k * f AS g2, 7.1e0 * k * f AS dg, 0.02e0 * k * f AS sp FROM (SELECT scan_id, CASE scan_id % 4 WHEN 0 THEN 1e0 WHEN 1 THEN 100e0 WHEN 2 THEN 1000e0 ELSE 39.3701e0 END AS k FROM scans),
  (VALUES (0, 'm', 1e0), (1, 'cm', 0.01e0), (2, 'mm', 0.001e0), (3, 'in', 0.0254e0), (4, 'ft', 0.3048e0)) AS v(o, unit, f)), w AS (SELECT *, pow(42e0, 3) / (pow(42e0, 3) + pow(22e0, 3) + pow(27e0, 3)) AS w0, pow(22e0, 3) / (pow(42e0, 3) + pow(22e0, 3) + pow(27e0, 3)) AS w1, pow(27e0, 3) / (pow(42e0, 3) + pow(22e0, 3) + pow(27e0, 3)) AS w2 FROM u),
-s AS (SELECT scan_id, unit, f, o, (ln(greatest({_term(0)} + {_term(1)} + {_term(2)}, 1e-300)) + 0.5e0 * ln(greatest({_PRI('dg', K.DIAGONAL_PRIOR)}, 1e-300)) + 0.35e0 * ln(greatest({_PRI('sp', K.SPACING_PRIOR)}, 1e-300))) / 1.85e0 AS score FROM w),
-b AS (SELECT *, max(score) OVER (PARTITION BY scan_id) AS top, row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, o) AS rn FROM s), h AS (SELECT scan_id, 1 / sum(exp(score - top)) AS share FROM b GROUP BY 1)
-SELECT scan_id, CASE WHEN exp(top) >= 0.03e0 THEN unit ELSE 'unknown' END AS unit, CASE WHEN exp(top) >= 0.03e0 THEN f ELSE 1e0 END AS factor, round(CASE WHEN exp(top) >= 0.03e0 THEN share * least(exp(top) / 0.12e0, 1e0) ELSE 0e0 END, 5) AS confidence FROM b JOIN h USING (scan_id) WHERE rn = 1""")
+{_SCORED}""")
 def _(fx):
     k = F.col("scan_id") % 4
     s = fx.scans.withColumn("k", F.when(k == 0, 1.0).when(k == 1, 100.0).when(k == 2, 1000.0).otherwise(39.3701))
@@ -326,6 +335,19 @@ def _(fx):
     return sc.infer_unit_scale(measures, gaps).select("scan_id", "unit", "factor", F.round("confidence", 5).alias("confidence"))
 
 
+@query("infer_unit_scale_measured", ["points", "planes"], f"""WITH t AS (SELECT scan_id, unnest([0, 1, 2]) AS axis, unnest([x, y, z]) AS t FROM points), dia AS (SELECT scan_id, sqrt(sum((hi - lo) * (hi - lo))) AS d FROM (SELECT scan_id, axis, quantile_cont(t, 0.002) AS lo, quantile_cont(t, 0.998) AS hi FROM t GROUP BY 1, 2) GROUP BY 1),
+{knn_sql(1)}, spc AS (SELECT scan_id, quantile_cont(CASE WHEN dist > 0 THEN dist END, 0.5) AS sp FROM near GROUP BY 1), {_GAPS},
+g AS (SELECT a.scan_id, abs(a.plane_offset - CASE WHEN a.nx*b.nx + a.ny*b.ny + a.nz*b.nz < 0 THEN -b.plane_offset ELSE b.plane_offset END) AS gap, pow(a.area + b.area, 3) AS m, row_number() OVER (PARTITION BY a.scan_id ORDER BY a.area + b.area DESC, a.family) AS rk FROM o a JOIN o b ON a.scan_id = b.scan_id AND a.family = b.family AND a.k = 1 AND b.k = 2),
+p AS (SELECT scan_id, {", ".join(f"max(CASE WHEN rk = {i + 1} THEN gap END) AS a{i}, max(CASE WHEN rk = {i + 1} THEN m END) / sum(m) AS w{i}" for i in range(3))} FROM g WHERE rk <= 3 GROUP BY 1),
+w AS (SELECT scan_id, unit, f, v.o, a0 * f AS g0, a1 * f AS g1, a2 * f AS g2, w0, w1, w2, d * f AS dg, sp * f AS sp FROM p JOIN dia USING (scan_id) JOIN spc USING (scan_id), (VALUES (0, 'm', 1e0), (1, 'cm', 0.01e0), (2, 'mm', 0.001e0), (3, 'in', 0.0254e0), (4, 'ft', 0.3048e0)) AS v(o, unit, f)),
+{_SCORED}""")
+def _(fx):
+    box = gr.axis_extremes(fx.points, unit_axes(fx)).groupBy("scan_id").agg(F.sqrt(F.sum((F.col("hi") - F.col("lo")) * (F.col("hi") - F.col("lo")))).alias("diagonal"))
+    n = fx.points.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
+    measures = n.join(box, "scan_id").join(nm.median_spacing(fx.points), "scan_id", "left")
+    return sc.infer_unit_scale(measures, sc.parallel_plane_gaps(fx.planes)).select("scan_id", "unit", "factor", F.round("confidence", 5).alias("confidence"))
+
+
 # -- gravity and yaw ------------------------------------------------------------------------------
 def unit_axes(fx):
     rows = F.array(*[F.struct(F.lit(i).cast("long").alias("axis"), *[F.lit(1.0 if i == j else 0.0).alias(f"a{d}") for j, d in enumerate("xyz")]) for i in range(3)])
@@ -607,16 +629,18 @@ def metrics_of(fx):
 
 
 _MISS = lambda e, n: f"CASE WHEN scan_id % {n} = 0 THEN NULL ELSE {e} END"
-_METRICS = f"""met AS (SELECT scan_id, (scan_id % 10) / 10.0e0 AS conf, {_MISS('(scan_id % 15) / 10.0e0', 7)} AS grav, {_MISS('(scan_id % 9) / 2.0e0', 8)} AS man, {_MISS('(scan_id % 25) / 10.0e0', 8)} AS off, {_MISS('(scan_id % 11) / 10.0e0', 8)} AS rect, {_MISS('(scan_id % 30) / 10.0e0', 6)} AS par,
- {_MISS('(scan_id % 70) / 1000.0e0', 5)} AS drift, {_MISS('(scan_id % 40) / 1000.0e0', 5)} AS rms, ceiling_z - floor_z + scan_id % 4 AS h, {_MISS('(scan_id % 12) / 11.0e0', 13)} AS cov, {_MISS('(scan_id % 8) * 100.0e0', 9)} AS dens, {_MISS('(scan_id % 6) / 100.0e0', 9)} AS sp, {_MISS('(scan_id % 12) / 10.0e0', 4)} AS ratio,
- {_MISS('(scan_id % 5) / 20.0e0', 14)} AS dup, {_MISS('(scan_id % 6) / 10.0e0', 3)} AS gax, {_MISS('(scan_id % 4) / 10.0e0', 3)} AS gsi, coalesce(oc, 0) AS oc FROM scans LEFT JOIN (SELECT scan_id, count(*) AS oc FROM openings GROUP BY 1) USING (scan_id)),
-chk AS (SELECT scan_id, unnest(['metric_scale', 'gravity', 'manhattan', 'yaw', 'wall_parallelism', 'ceiling_height', 'coverage', 'density', 'drift', 'wall_planarity', 'capture_bounds', 'duplicates', 'openings', 'watertight', 'gravity_axis', 'gravity_sign']) AS name, unnest([
+_RULES = """chk AS (SELECT scan_id, unnest(['metric_scale', 'gravity', 'manhattan', 'yaw', 'wall_parallelism', 'ceiling_height', 'coverage', 'density', 'drift', 'wall_planarity', 'capture_bounds', 'duplicates', 'openings', 'watertight', 'gravity_axis', 'gravity_sign']) AS name, unnest([
  CASE WHEN conf < 0.4e0 THEN 'fail' ELSE 'pass' END, CASE WHEN grav IS NULL THEN 'warn' WHEN grav > 1 THEN 'fail' WHEN grav > 0.25e0 THEN 'warn' ELSE 'pass' END, 'info',
  CASE WHEN off IS NULL THEN 'warn' WHEN rect < 0.6e0 THEN 'info' WHEN off > 2 THEN 'fail' WHEN off > 0.5e0 THEN 'warn' ELSE 'pass' END,
  CASE WHEN rect < 0.6e0 THEN 'info' WHEN par IS NULL THEN 'info' WHEN par <= 0.5e0 THEN 'pass' WHEN drift > 0.02e0 AND par > 2 THEN 'fail' ELSE 'warn' END, CASE WHEN h IS NULL THEN 'info' WHEN h < 2.1e0 OR h > 5 THEN 'warn' ELSE 'pass' END,
  CASE WHEN cov IS NULL THEN 'warn' WHEN cov < 0.5e0 THEN 'fail' WHEN cov < 0.8e0 THEN 'warn' ELSE 'pass' END, CASE WHEN dens IS NULL THEN 'warn' WHEN dens < 300 OR sp > 0.05e0 THEN 'warn' ELSE 'pass' END, CASE WHEN drift IS NULL THEN 'warn' WHEN drift > 0.05e0 THEN 'fail' WHEN drift > 0.02e0 THEN 'warn' ELSE 'pass' END,
  CASE WHEN rms IS NULL THEN 'info' WHEN rms > 0.02e0 THEN 'warn' ELSE 'pass' END, CASE WHEN ratio IS NULL OR ratio < 0.5e0 THEN 'warn' ELSE 'pass' END, CASE WHEN dup IS NULL THEN 'info' WHEN dup > 0.15e0 THEN 'warn' ELSE 'pass' END, CASE WHEN oc = 0 AND h IS NOT NULL THEN 'warn' ELSE 'info' END, 'info',
  CASE WHEN gax < 0.1e0 THEN 'fail' WHEN gax < 0.25e0 THEN 'warn' WHEN gax IS NULL THEN NULL ELSE 'pass' END, CASE WHEN gsi < 0.1e0 THEN 'warn' END]) AS status FROM met), checks AS (SELECT * FROM chk WHERE status IS NOT NULL)"""
+_METRICS = f"""met AS (SELECT scan_id, (scan_id % 10) / 10.0e0 AS conf, {_MISS('(scan_id % 15) / 10.0e0', 7)} AS grav, {_MISS('(scan_id % 9) / 2.0e0', 8)} AS man, {_MISS('(scan_id % 25) / 10.0e0', 8)} AS off, {_MISS('(scan_id % 11) / 10.0e0', 8)} AS rect, {_MISS('(scan_id % 30) / 10.0e0', 6)} AS par,
+ {_MISS('(scan_id % 70) / 1000.0e0', 5)} AS drift, {_MISS('(scan_id % 40) / 1000.0e0', 5)} AS rms, ceiling_z - floor_z + scan_id % 4 AS h, {_MISS('(scan_id % 12) / 11.0e0', 13)} AS cov, {_MISS('(scan_id % 8) * 100.0e0', 9)} AS dens, {_MISS('(scan_id % 6) / 100.0e0', 9)} AS sp, {_MISS('(scan_id % 12) / 10.0e0', 4)} AS ratio,
+ {_MISS('(scan_id % 5) / 20.0e0', 14)} AS dup, {_MISS('(scan_id % 6) / 10.0e0', 3)} AS gax, {_MISS('(scan_id % 4) / 10.0e0', 3)} AS gsi, coalesce(oc, 0) AS oc FROM scans LEFT JOIN (SELECT scan_id, count(*) AS oc FROM openings GROUP BY 1) USING (scan_id)),
+{_RULES}"""
+
 
 
 @query("qa_checks", ["scans", "openings"], f"WITH {_METRICS} SELECT scan_id, name, status, true AS has_number FROM checks")
@@ -629,11 +653,56 @@ def _(fx):
     return qa.qa_verdict(qa.qa_checks(metrics_of(fx)), fx.scans)
 
 
+def measured_of(fx):
+    """The metrics that SQL can measure too, all from the tables; drift and the gravity sign stay unmeasured."""
+    ax = unit_axes(fx)
+    stats = cut_lineage(nm.neighbour_stats(fx.points))
+    band = gr.band_asymmetry(fx.points, ax, gr.axis_extremes(fx.points, ax)).select("scan_id", "axis", F.abs("band").alias("score"))
+    n = fx.points.groupBy("scan_id").agg(F.count(F.lit(1)).alias("point_count"))
+    o = fx.openings.groupBy("scan_id").agg(F.count(F.lit(1)).alias("opening_count"), F.sum(F.col("width") * F.col("height")).alias("opening_area_m2"))
+    level = fx.planes.where("kind = 'floor'").groupBy("scan_id").agg(F.degrees(F.acos(F.min(F.struct("plane_id", "nz"))["nz"])).alias("gravity_residual_deg"))
+    worst = pl.planarity_rms(fx.points, fx.planes.where("kind = 'wall'"), K.WALL_INLIER_TOL_M).groupBy("scan_id").agg(F.max("rms_m").alias("wall_planarity_rms_m"))
+    seen = pg.polygon_area(fx.capture_edges).select("scan_id", F.col("area").alias("_seen")).join(pg.polygon_area(fx.footprint_edges).select("scan_id", "area"), "scan_id")
+    out = fx.scans.select("scan_id", (F.col("ceiling_z") - F.col("floor_z")).alias("ceiling_height_m")).join(n, "scan_id")
+    for df in (
+        o, stats, level, worst, qa.wall_frame_stats(fits_of(fx)), qa.wall_parallelism(fits_of(fx)), gr.axis_margin(band).select("scan_id", F.col("axis_margin").alias("gravity_axis_margin")),
+        qa.coverage(fx.points, fx.scans, fx.footprint_edges, fx.openings, fx.scans.select("scan_id", F.lit(0.5).alias("cell"))), qa.scale_prior(fx.scans, fx.openings, stats).withColumnRenamed("scale_confidence_prior", "scale_confidence"),
+        seen.select("scan_id", (F.col("_seen") / F.col("area")).alias("capture_coverage_ratio")), vx.cloud_bounds(fx.points).select("scan_id", *[F.col(f"extent_{a}").alias(f"extent_{a}_m") for a in "xyz"]),
+    ):
+        out = out.join(df, "scan_id", "left")
+    none = F.lit(None).cast("double")
+    return out.fillna(0, ["opening_count"]).fillna(0.0, ["opening_area_m2"]).withColumns({c: none for c in ("drift_estimate_m", "gravity_sign_margin", "mesh_boundary_edge_fraction")})
+
+
+_RAMP = lambda x, a, b, c, d: f"CASE WHEN {x} <= {a}e0 OR {x} >= {d}e0 THEN 0e0 WHEN {x} < {b}e0 THEN ({x} - {a}e0) / ({b}e0 - {a}e0) WHEN {x} > {c}e0 THEN ({d}e0 - {x}) / ({d}e0 - {c}e0) WHEN {x} IS NULL THEN NULL ELSE 1e0 END"
+_SHOELACE = "SELECT scan_id, abs(sum(x0 * y1 - x1 * y0)) / 2 AS area FROM {} GROUP BY 1"
+
+
+@query("qa_checks_measured", ["points", "scans", "planes", "openings", "footprint_edges", "capture_edges"], f"""WITH {_COVER}, {_YAW},
+wm AS (SELECT scan_id, atan2(sum(w * sin(4 * t)), sum(w * cos(4 * t))) / 4 AS m FROM w GROUP BY 1), wd AS (SELECT scan_id, w, m, t - m + pi() / 4 AS e FROM w JOIN wm USING (scan_id)), wf AS (SELECT *, abs(degrees(e - floor(e / (pi() / 2)) * (pi() / 2) - pi() / 4)) AS d FROM wd),
+frm AS (SELECT scan_id, max(d) AS man, abs(degrees(any_value(m))) AS off, sum(CASE WHEN d <= 5 THEN w ELSE 0e0 END) / sum(w) AS rect FROM wf GROUP BY 1),
+opp AS (SELECT scan_id, max(180 - degrees(acos(c))) AS par FROM (SELECT a.scan_id, greatest(-1e0, (a.nx*b.nx + a.ny*b.ny + a.nz*b.nz) / (sqrt(a.nx*a.nx+a.ny*a.ny+a.nz*a.nz) * sqrt(b.nx*b.nx+b.ny*b.ny+b.nz*b.nz))) AS c FROM planes a JOIN planes b ON a.scan_id = b.scan_id AND a.plane_id < b.plane_id AND a.kind = 'wall' AND b.kind = 'wall') WHERE c < -cos(radians(15)) GROUP BY 1),
+flat AS (SELECT scan_id, max(r) AS rms FROM (SELECT scan_id, plane_id, sqrt(avg(d * d)) AS r FROM (SELECT scan_id, plane_id, nx * x + ny * y + nz * z - plane_offset AS d FROM points JOIN planes USING (scan_id) WHERE kind = 'wall') WHERE abs(d) <= 0.06e0 GROUP BY 1, 2) GROUP BY 1),
+{knn_sql(8)}, nb AS (SELECT scan_id, point_id, min(dist) AS d1, min(CASE WHEN dist >= 0.001e0 THEN dist END) AS f, max(dist) AS rk FROM near GROUP BY 1, 2),
+nst AS (SELECT scan_id, quantile_cont(f, 0.5) AS sp, quantile_cont(7 / (pi() * rk * rk), 0.5) AS dens, avg(CASE WHEN d1 < 0.001e0 THEN 1e0 ELSE 0e0 END) AS dup FROM nb GROUP BY 1),
+axt AS (SELECT scan_id, unnest([0, 1, 2]) AS axis, unnest([x, y, z]) AS t FROM points), axe AS (SELECT scan_id, axis, quantile_cont(t, 0.002) AS lo, quantile_cont(t, 0.998) AS hi FROM axt GROUP BY 1, 2),
+axb AS (SELECT scan_id, axis, sum(CASE WHEN t > lo + sk AND t < lo + sk + b THEN 1e0 ELSE 0e0 END) AS l, sum(CASE WHEN t < hi - sk AND t > hi - sk - b THEN 1e0 ELSE 0e0 END) AS h FROM (SELECT *, least(1.2e0, 0.45e0 * (hi - lo)) AS b, least(0.18e0, 0.08e0 * (hi - lo)) AS sk FROM axt JOIN axe USING (scan_id, axis)) GROUP BY 1, 2),
+axs AS (SELECT scan_id, axis, abs(CASE WHEN l + h <= 0 THEN 0e0 ELSE (l - h) / (l + h) END) AS score FROM axb), axr AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, axis) AS rn, lead(score) OVER (PARTITION BY scan_id ORDER BY score DESC, axis) AS nxt FROM axs),
+door AS (SELECT scan_id, max(height) AS d FROM openings WHERE sill_height < 0.15e0 AND height > 0 GROUP BY 1), pri AS (SELECT scan_id, ceiling_z - floor_z AS h, {_RAMP('(ceiling_z - floor_z)', 1.6, 2.2, 3.6, 6.0)} AS a, {_RAMP('d', 1.4, 1.9, 2.4, 3.2)} AS b, {_RAMP('sp', 0.0005, 0.002, 0.05, 0.3)} AS c FROM scans LEFT JOIN door USING (scan_id) LEFT JOIN nst USING (scan_id)),
+met AS (SELECT scan_id, 0.75e0 * (coalesce(2 * a, 0e0) + coalesce(b, 0e0) + coalesce(c, 0e0)) / ((a IS NOT NULL)::INT * 2 + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT) AS conf, degrees(acos(nz)) AS grav, man, off, rect, par, CAST(NULL AS DOUBLE) AS drift, rms, h, fn / n AS cov, dens, sp, ca.area / fa.area AS ratio, dup,
+ CASE WHEN score <= 0 THEN 0e0 ELSE 1 - nxt / score END AS gax, CAST(NULL AS DOUBLE) AS gsi, coalesce(oc, 0) AS oc
+ FROM pri JOIN planes fl USING (scan_id) LEFT JOIN frm USING (scan_id) LEFT JOIN opp USING (scan_id) LEFT JOIN flat USING (scan_id) LEFT JOIN seen USING (scan_id) LEFT JOIN nst USING (scan_id) LEFT JOIN ({_SHOELACE.format("capture_edges")}) ca USING (scan_id) LEFT JOIN ({_SHOELACE.format("footprint_edges")}) fa USING (scan_id)
+ LEFT JOIN axr USING (scan_id) LEFT JOIN (SELECT scan_id, count(*) AS oc FROM openings GROUP BY 1) USING (scan_id) WHERE fl.kind = 'floor' AND rn = 1), {_RULES}
+SELECT scan_id, name, status FROM checks""")
+def _(fx):
+    return qa.qa_checks(measured_of(fx)).select("scan_id", "name", "status")
+
+
 def twin_metrics(fx):
-    return assess(fx.points, fx.scans, fx.planes, fx.openings, fx.footprint_edges, fx.scans.select("scan_id", F.lit(6.5).alias("capture_bounds_area_m2")), fx.mesh_faces, min_wall_points=5, min_floor_points=20)
+    return assess(fx.points, fx.scans, fx.planes, fx.openings, fx.footprint_edges, pg.polygon_area(fx.capture_edges).select("scan_id", F.col("area").alias("capture_bounds_area_m2")), fx.mesh_faces, min_wall_points=5, min_floor_points=20)
 
 
-@query("qa_metrics", ["points", "scans", "planes", "openings", "footprint_edges", "mesh_faces"])
+@query("qa_metrics", ["points", "scans", "planes", "openings", "footprint_edges", "capture_edges", "mesh_faces"])
 def _(fx):
     return qa.qa_metrics(twin_metrics(fx))
 
@@ -652,7 +721,7 @@ def _(fx):
     return out.select("scan_id", "request_id", "distance_m", "uncertainty_m", "uncertainty_floor_m", "within_capture")
 
 
-@query("scout_report", ["points", "scans", "footprint_edges", "capture_edges", "openings", "mesh_vertices"])
+@query("scout_report", ["points", "scans", "footprint_edges", "capture_edges", "openings", "mesh_vertices", "planes"])
 def _(fx):
-    m = metrics_of(fx)
+    m = cut_lineage(measured_of(fx))
     return scout_report(fx.points, fx.scans, fx.footprint_edges, fx.capture_edges, fx.openings, m, qa.qa_checks(m), fx.mesh_vertices.select("scan_id", "filled"), 0.5)
