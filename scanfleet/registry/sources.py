@@ -209,10 +209,13 @@ def _(fx):
 
 
 def window_poses(fx):
-    """Each scan's cameras cut into windows of eight overlapping by five, every window in its own turned, scaled frame."""
+    """Each scan's cameras cut into windows of eight overlapping by five, every window in its own turned, scaled frame. Cameras step on as
+    they are numbered: those of a scan may all stand in one spot (they do at 60 times sf0.1), and from one spot no scale can be told."""
     poses = poses_of(fx).withColumn("sweep_id", F.col("scan_id")).withColumn("frame_id", F.col("cam_id"))
     sizes = poses.groupBy("sweep_id").agg(F.count(F.lit(1)).alias("n"))
     rows = vd.window_frames(poses, vd.overlap_windows(sizes, 8, 5))
+    step = F.col("idx") % 16
+    rows = rows.withColumn("t", F.array(*[F.col("t")[i] - step * (0.4 * F.col("r")[3 * i] + 0.3 * F.col("r")[3 * i + 1]) for i in range(3)]))
     # window frame: p' = s Q p + d, with Q a turn about Z; a pose becomes (R Q', s t - R Q' d)
     a = F.radians(17.0 * F.col("w"))
     s = 1.0 + 0.1 * F.col("w")
