@@ -72,8 +72,8 @@ def arc_length(paths: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     return steps.join(before, PATH + ["_blk"]).withColumn("length_m", F.col("_b") + local).drop("_b", "_blk", "idx")
 
 
-def resample_paths(paths: DataFrame, n: int) -> DataFrame:
-    """Each path at ``n`` points evenly spaced along its length; a path without length repeats its first point.
+def resample_paths(paths: DataFrame, n: int, still: bool = True) -> DataFrame:
+    """Each path at ``n`` points evenly spaced along its length; a path without length repeats its first point, or has no row without ``still``.
 
     Every segment works out which targets fall on it, so no range join is needed.
     """
@@ -90,8 +90,10 @@ def resample_paths(paths: DataFrame, n: int) -> DataFrame:
     u = (F.col("k") * F.col("_L") / (n - 1) - F.col("length_m")) / F.nullif(F.col("_s1") - F.col("length_m"), F.lit(0.0))
     rows = rows.withColumn("_u", F.coalesce(u, F.lit(0.0)))
     moving = rows.select(*PATH, "k", *[(F.col(a) + F.col("_u") * (F.col(f"_{a}1") - F.col(a))).alias(a) for a in "xyz"])
-    still = ends.where(F.col("_L") < 1e-9).select(*PATH, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("k"), *[F.col("_first")[a].alias(a) for a in "xyz"])
-    return moving.union(still)
+    if not still:
+        return moving
+    spots = ends.where(F.col("_L") < 1e-9).select(*PATH, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("k"), *[F.col("_first")[a].alias(a) for a in "xyz"])
+    return moving.union(spots)
 
 
 def line_of_sight(rays: DataFrame, solid: DataFrame, grids: DataFrame, keys: list[str], slack: float = K.SIGHT_SLACK_M) -> DataFrame:
