@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanfleet import session
+from scanfleet.operators import knn
 
 CONFS = ("spark.sql.cbo.planStats.enabled", "spark.sql.sources.fileCompressionFactor")
 
@@ -36,3 +37,13 @@ def test_other_tables_come_back_whole_and_few_rows_stay_few(by_rows):
     assert sorted(map(tuple, session.cut_lineage(lists).collect())) == sorted(map(tuple, lists.collect()))
     few = session.cut_lineage(by_rows.range(1000).select("id", F.lit("wall").alias("kind"), F.lit(None).cast("double").alias("z")))
     assert _size(few) < 100_000 and few.where("kind = 'wall' AND z IS NULL").count() == 1000
+
+
+def test_neighbours_hand_few_leaves_to_a_worker_at_a_time(spark):
+    pts = spark.range(40).select((F.col("id") % 2).alias("scan_id"), F.col("id").alias("point_id"), *[F.rand(i).alias(a) for i, a in enumerate("xyz")])
+    assert knn.self_knn(pts, 3).count() == 120
+    size = F.pandas_udf(lambda s: s * 0 + len(s), "long")
+    leaves = spark.range(0, 400, 1, 1).select("id", F.sequence(F.lit(0).cast("long"), F.lit(8191).cast("long")).alias("r"))
+    held = F.pandas_udf(lambda i, r: i * 0 + len(r), "long")
+    assert leaves.select(size("id").alias("n")).agg(F.max("n")).first()[0] == 400
+    assert leaves.select(held("id", "r").alias("n")).agg(F.max("n")).first()[0] < 100
