@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from scanfleet import session
 from scanfleet.operators import knn
 
-CONFS = ("spark.sql.cbo.planStats.enabled", "spark.sql.sources.fileCompressionFactor")
+CONFS = ("spark.sql.cbo.planStats.enabled", "spark.sql.sources.fileCompressionFactor", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")
 
 
 @pytest.fixture
@@ -47,3 +47,9 @@ def test_neighbours_hand_few_leaves_to_a_worker_at_a_time(spark):
     held = F.pandas_udf(lambda i, r: i * 0 + len(r), "long")
     assert leaves.select(size("id").alias("n")).agg(F.max("n")).first()[0] == 400
     assert leaves.select(held("id", "r").alias("n")).agg(F.max("n")).first()[0] < 100
+
+
+def test_a_task_reads_little_of_a_shuffle(by_rows):
+    by_rows.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    rows = by_rows.range(5_000_000).select(F.xxhash64("id").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert rows.select(F.spark_partition_id().alias("p"), "k").groupBy("p").agg(F.count("k")).count() > 2
