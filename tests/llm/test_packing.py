@@ -28,6 +28,17 @@ def test_ids_equal_the_library():
         assert np.frombuffer(ids, dtype=np.int32).tolist() == lib.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_ordinary_texts_are_encoded_whole():
+    """Most chunks of prose are new to a worker, so looking them up costs more than encoding them: only texts with an added token or rare white space are cut."""
+    own = P.DocumentIds(P.default_path())
+    plain = [t for t in TEXTS if not own.special(t or "")]
+    cut_up = own.chunks
+    own.chunks = lambda t: (_ for _ in ()).throw(AssertionError(t))
+    got = own.ids(plain)
+    own.chunks = cut_up
+    assert 0 < len(plain) < len(TEXTS) and got == own.store.ids(plain, cut_up)
+
+
 def test_cut():
     for n in (1, 1023, 1024, 1025, 2048, 5000):
         parts = P.cut(np.arange(n), 1024)
