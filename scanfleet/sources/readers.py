@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import vec
+from ..session import cut_lineage
 
 COMMENT = r"^\s*(#|//|;)"
 
@@ -15,7 +16,7 @@ def read_point_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     """XYZ/PTS/ASC/CSV point lists under ``path``: (points, report per file).
 
     Files may be large: lines are read in splits and every decision that concerns a whole file (its column count, its
-    colour range) is an aggregate joined back.
+    colour range) is an aggregate joined back. The numbers are read from the text once and written.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), (F.col("_metadata.file_block_start") + F.monotonically_increasing_id() % (1 << 33)).alias("line_no"), "value")
     return parse_point_lines(lines)
@@ -28,32 +29,39 @@ def parse_point_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     The first data row sets a file's width. Rows of another width and rows without three numbers give no point; the report counts them
     (``dropped``), and ``status`` is "ok", "ragged" or, for a file without a single point, "unreadable".
     """
-    data = lines.where((F.trim("value") != "") & ~F.col("value").rlike(COMMENT))
-    parts = F.split(F.trim(F.regexp_replace("value", r"[,\s]+", " ")), " ")
-    data = data.withColumn("n", F.transform(parts, lambda p: p.try_cast("double"))).withColumn("width", F.size("n"))
-    head = data.where((F.col("width") == 1) | F.col("n")[0].isNull()).groupBy("source").agg(F.count(F.lit(1)).alias("headers"))
-    rows = data.where((F.col("width") > 1) & F.col("n")[0].isNotNull())
-    width = rows.groupBy("source").agg(F.min(F.struct("line_no", "width"))["width"].alias("columns"))
+    # each step takes up the one before in a projection, never in a filter, which would be moved below and read the text again
+    text = lines.select("source", "line_no", "value").withColumns({"_skip": (F.trim("value") == "") | F.col("value").rlike(COMMENT), "_text": F.trim(F.regexp_replace("value", r"[,\s]+", " "))})
+    parts = text.select("source", "line_no", "_skip", F.split("_text", " ").alias("_parts"))
+    read = cut_lineage(parts.select("source", "line_no", "_skip", F.size("_parts").alias("width"), *[F.get("_parts", F.lit(i)).try_cast("double").alias(f"_n{i}") for i in range(9)]))
+    data = read.where(~F.col("_skip")).drop("_skip")
+    row = (F.col("width") > 1) & F.col("_n0").isNotNull()
+    xyz = row & (F.col("width") >= 3) & F.col("_n1").isNotNull() & F.col("_n2").isNotNull()
     colour = {6: 3, 7: 4, 9: 3}
-    sized = rows.join(width, "source")
-    whole = (F.col("width") == F.col("columns")) & F.forall(F.slice("n", 1, 3), lambda v: v.isNotNull()) & (F.col("width") >= 3)
-    tally = sized.groupBy("source").agg(F.count(F.lit(1)).alias("_all"), F.count(F.when(whole, 1)).alias("rows"))
-    rows = sized.where(whole)
-    for i, c in enumerate("rgb"):
+
+    def channel(i: int) -> Column:
         at = F.lit(None).cast("double")
         for w, start in colour.items():
-            at = F.when(F.col("columns") == w, F.get("n", F.lit(start + i))).otherwise(at)
-        rows = rows.withColumn(f"_{c}", at)
-    peak = rows.groupBy("source").agg(F.max(F.greatest(*[F.abs(f"_{c}") for c in "rgb"])).alias("peak"))
-    rows = rows.join(peak, "source")
+            at = F.when(F.col("width") == w, F.col(f"_n{start + i}")).otherwise(at)
+        return at
+
+    # what rows of each width hold, from which a file takes that of its first row
+    widths = data.groupBy("source", "width").agg(
+        F.min(F.when(row, F.col("line_no"))).alias("_first"), F.count(F.when(row, 1)).alias("_all"), F.count(F.when(xyz, 1)).alias("rows"),
+        F.count(F.when(~F.coalesce(row, F.lit(False)), 1)).alias("headers"), F.max(F.when(xyz, F.greatest(*[F.abs(channel(i)) for i in range(3)]))).alias("peak"),
+    )
+    own = F.min(F.when(F.col("_first").isNotNull(), F.struct("_first", "width", "rows", "peak"))).alias("_own")
+    files = cut_lineage(widths.groupBy("source").agg(own, F.sum("_all").alias("_all"), F.sum("headers").alias("headers")).where(F.col("_own").isNotNull()).select(
+        "source", F.col("_own.width").alias("columns"), F.col("_own.rows").alias("rows"), F.col("_own.peak").alias("peak"), "_all", "headers"
+    ))
+    rows = data.where(xyz).join(files.select("source", F.col("columns").alias("width"), "peak"), ["source", "width"])
     gain = F.when(F.col("peak") <= 1.0 + 1e-6, 255.0).otherwise(1.0)
     points = rows.select(
-        "source", "line_no", *[F.get("n", F.lit(i)).alias(a) for i, a in enumerate("xyz")],
-        *[vec.clip(F.floor(F.col(f"_{c}") * gain), 0, 255).cast("int").alias(c) for c in "rgb"],
-        *[F.when(F.col("columns") == 9, F.get("n", F.lit(6 + i))).alias(f"n{a}") for i, a in enumerate("xyz")],
+        "source", "line_no", *[F.col(f"_n{i}").alias(a) for i, a in enumerate("xyz")],
+        *[vec.clip(F.floor(channel(i) * gain), 0, 255).cast("int").alias(c) for i, c in enumerate("rgb")],
+        *[F.when(F.col("width") == 9, F.col(f"_n{6 + i}")).alias(f"n{a}") for i, a in enumerate("xyz")],
     )
-    report = width.join(tally, "source").join(peak, "source", "left").join(head, "source", "left").select(
-        "source", F.col("columns").cast("long").alias("columns"), "rows", (F.coalesce("peak", F.lit(9.0)) <= 1.0 + 1e-6).alias("scaled_colours"), F.coalesce("headers", F.lit(0)).alias("headers"),
+    report = files.select(
+        "source", F.col("columns").cast("long").alias("columns"), "rows", (F.coalesce("peak", F.lit(9.0)) <= 1.0 + 1e-6).alias("scaled_colours"), "headers",
         (~F.col("columns").isin(3, 4, 6, 7, 9)).alias("extra_columns"), (F.col("_all") - F.col("rows")).alias("dropped"),
         F.when(F.col("rows") == 0, "unreadable").when(F.col("rows") < F.col("_all"), "ragged").otherwise("ok").alias("status"),
     )

@@ -224,6 +224,17 @@ def test_read_point_text_reports_what_it_drops(spark):
     assert got == {"a": (2, 1, "ragged"), "b": (0, 2, "unreadable"), "c": (1, 1, "ragged")}
 
 
+def test_read_point_text_reads_the_text_once(spark, capsys):
+    """Neither the points nor the report go back to the text, and a file takes its width and colours from its own first row."""
+    lines = [("a", 0, "1 2 3 0.5 1 0"), ("a", 1, "4 5 6 0 0 0.25"), ("a", 2, "7 8 9"), ("b", 0, "1,2,3,9,255,0,2"), ("b", 1, "// 1 2"), ("b", 2, "oops"), ("c", 0, "1 2 3 1 1 1 0 0 1"), ("c", 1, "9 9 9 300 0 0")]
+    points, report = rd.parse_point_lines(spark.createDataFrame(lines, "source string, line_no long, value string"))
+    for df in (points, report):
+        df.explain(True)
+        assert "regexp" not in capsys.readouterr().out.lower()
+    assert sorted((r.source, r.line_no, r.r, r.g, r.b, r.nz) for r in points.collect()) == [("a", 0, 127, 255, 0, None), ("a", 1, 0, 0, 63, None), ("b", 0, 255, 0, 2, None), ("c", 0, 255, 255, 255, 1.0)]
+    assert {r.source: (r.columns, r.rows, r.dropped, r.headers, r.scaled_colours) for r in report.collect()} == {"a": (6, 2, 1, 0, True), "b": (7, 1, 0, 1, False), "c": (9, 1, 1, 0, True)}
+
+
 def test_units_that_a_line_declares(spark):
     said = {
         "units: cm": "cm", "1 unit = 1 mm": "mm", "scale in feet": "ft", "measured in a single pass": None, "dimensions in centimetres": "cm", "unit m": "m", "in m.": "m", "scale1 mm": None,
