@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions import optics, vec
 from ..functions.stats import percentiles, ranked_value
+from ..session import cut_lineage
 from .polygons import point_in_polygon
 
 CELL = ["scan_id", "i", "j"]
@@ -102,9 +103,33 @@ def lower_envelope(g2: np.ndarray) -> np.ndarray:
     return best
 
 
+#: Columns up to this length are solved side by side, by trying every distance.
+SHORT = 64
+
+
+def lower_envelopes(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """:func:`lower_envelope` of each column. Short ones of one length share a matrix, as numpy takes as long for a few numbers as for some thousand."""
+    out: list[np.ndarray] = [None] * len(columns)
+    sizes = np.array([len(c) for c in columns])
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        if n > SHORT:
+            for k in at:
+                out[k] = lower_envelope(columns[k])
+            continue
+        g2 = np.stack([columns[k] for k in at])
+        best = g2.copy()
+        for d in range(1, n):
+            np.minimum(best[:, d:], g2[:, :-d] + d * d, out=best[:, d:])
+            np.minimum(best[:, :-d], g2[:, d:] + d * d, out=best[:, :-d])
+        for k, row in zip(at, best):
+            out[k] = row
+    return out
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _min_parabola(g2: pd.Series) -> pd.Series:
-    return pd.Series([lower_envelope(np.asarray(values, dtype=float)) for values in g2])
+    return pd.Series(lower_envelopes([np.asarray(values, dtype=float) for values in g2]))
 
 
 def clearance_map(frames: DataFrame, blocked: DataFrame) -> DataFrame:
@@ -129,10 +154,10 @@ def clearance_map(frames: DataFrame, blocked: DataFrame) -> DataFrame:
 def floor_maps(
     points: DataFrame, scans: DataFrame, footprint: DataFrame | None = None, capture: DataFrame | None = None, cell: float = K.FLOOR_CELL_M
 ) -> DataFrame:
-    """All five maps, one row per floor cell: inside, surveyed, headroom_m, clearance_m, floor_rise_m (null unseen)."""
-    frames = floor_frames(points, scans, cell)
-    returns = floor_returns(points, frames)
-    heights = room_heights(returns, frames)
+    """All five maps, one row per floor cell: inside, surveyed, headroom_m, clearance_m, floor_rise_m (null unseen). What several maps read is written once."""
+    frames = cut_lineage(floor_frames(points, scans, cell))
+    returns = cut_lineage(floor_returns(points, frames))
+    heights = cut_lineage(room_heights(returns, frames))
     cells = floor_cells(frames)
     out = cells
     for name, edges, default in (("inside", footprint, True), ("surveyed", capture, False)):
@@ -143,7 +168,7 @@ def floor_maps(
         ring = edges.groupBy("scan_id").agg((F.count(F.lit(1)) >= 3).alias("_ring"))
         got = F.when(F.col("_ring"), F.coalesce(F.col(f"_{name}"), F.lit(False))).otherwise(F.lit(default))
         out = out.join(hit, CELL, "left").join(ring, "scan_id", "left").withColumn("_ring", F.coalesce("_ring", F.lit(False)))
-        out = out.withColumn(name, got).drop(f"_{name}", "_ring")
+        out = cut_lineage(out.withColumn(name, got).drop(f"_{name}", "_ring"))
     out = (
         out.join(headroom_map(returns, heights), CELL, "left")
         .join(heights, "scan_id")

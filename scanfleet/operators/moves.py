@@ -157,7 +157,8 @@ def score_beats(beats: DataFrame, maps: DataFrame, frames: DataFrame, solid: Dat
     at = beats.join(frames, "scan_id").withColumns(map_cell(F.col("x"), F.col("y")))
     at = at.join(maps.select("scan_id", "i", "j", "inside", "surveyed", "headroom_m", "clearance_m", "floor_rise_m"), ["scan_id", "i", "j"])
     eye = [F.col("sx"), F.col("sy"), F.col("sz") + K.EYELINE_SHARE * F.col("subject_height_m")]
-    at = at.withColumns(dict(zip(("bx", "by", "bz"), eye))).withColumns({"ax": F.col("x"), "ay": F.col("y"), "az": F.col("z")})
+    # written once: the sightlines and the checks below would otherwise each build the maps again
+    at = cut_lineage(at.withColumns(dict(zip(("bx", "by", "bz"), eye))).withColumns({"ax": F.col("x"), "ay": F.col("y"), "az": F.col("z")}))
     rays = at.where(F.col("bx").isNotNull()).select("scan_id", *keys, "ax", "ay", "az", "bx", "by", "bz")
     seen = line_of_sight(rays, solid, grids, keys).select("scan_id", *keys, "visible")
     at = at.join(seen, ["scan_id"] + keys, "left").withColumns(gear_columns(F.col("gear")))
@@ -192,6 +193,11 @@ def track_level(scored: DataFrame) -> DataFrame:
 
     The blamed beat is the one furthest from the median rise; the earliest wins a tie.
     """
+    return _track_level(cut_lineage(scored.select("scan_id", "move_id", "beat", "floor_rise_m")))
+
+
+def _track_level(scored: DataFrame) -> DataFrame:
+    """As :func:`track_level`, of written rows: they are read three times."""
     key = ["scan_id", "move_id"]
     seen = scored.where(F.col("floor_rise_m").isNotNull())
     level = seen.groupBy(*key).agg(
@@ -207,7 +213,8 @@ def track_level(scored: DataFrame) -> DataFrame:
 def with_track_problem(scored: DataFrame) -> DataFrame:
     """Scored beats where the blamed beat of each move on track (``on_track``) also names the uneven floor."""
     key = ["scan_id", "move_id"]
-    uneven = track_level(scored.where("on_track")).where(F.col("blamed_beat").isNotNull())
+    scored = cut_lineage(scored)
+    uneven = _track_level(scored.where("on_track")).where(F.col("blamed_beat").isNotNull())
     said = F.format_string("floor under the track varies by %.0f mm and needs cribbing", F.col("track_level_range_m") * 1000)
     joined = scored.join(uneven, key, "left")
     problems = F.when(F.col("beat") == F.col("blamed_beat"), F.concat("problems", F.array(said))).otherwise(F.col("problems"))

@@ -7,6 +7,7 @@ import pandas as pd
 
 from scanfleet import constants as K
 from scanfleet.operators import floor as fl
+from scanfleet.operators import moves as mv
 from scanfleet.operators import openings as op
 from scanfleet.operators import structure as st
 
@@ -65,3 +66,26 @@ def test_clearance_is_the_distance_to_the_nearest_blocked_cell(spark):
     for (s, i, j), v in got.items():
         want = min(math.hypot(i - a, j - b) for a, b in blocked[s]) if s in blocked else max(sizes[s])
         assert abs(v - 0.1 * want) < 1e-9
+
+
+def test_lower_envelopes_of_many_columns():
+    rng = np.random.default_rng(9)
+    columns = [np.where(rng.random(n) < share, np.inf, rng.integers(0, 30, n).astype(float) ** 2) for n in (1, 2, 9, 9, 64, 65, 130) for share in (0.0, 0.5, 1.0)]
+    for g, got in zip(columns, fl.lower_envelopes(columns)):
+        j = np.arange(len(g))
+        assert (got == (g[None] + (j[:, None] - j[None]) ** 2.0).min(1)).all()
+
+
+def test_scored_beats_and_maps_are_built_once(spark, capsys):
+    """What several steps read is written, so that no plan holds the work behind it more than once."""
+    rows = [(1, m, b, 0.5 * b, 0.0, 0.0, 0.0, 1.0, "medium", True, 0.03 * b * m, m == 1, []) for m in (0, 1) for b in range(3)]
+    scored = spark.createDataFrame(rows, "scan_id long, move_id long, beat long, t double, x double, y double, z double, distance_m double, shot string, surveyed boolean, floor_rise_m double, on_track boolean, problems array<string>")
+    level, first = mv.track_level(scored), mv.first_problem(scored)
+    points = spark.createDataFrame([(1, 0.3 * (n % 7), 0.3 * (n % 5), 0.1 * (n % 27)) for n in range(200)], "scan_id long, x double, y double, z double")
+    edges = spark.createDataFrame([(1, s, *e) for s, e in enumerate([(0.0, 0.0, 2.0, 0.0), (2.0, 0.0, 2.0, 2.0), (2.0, 2.0, 0.0, 0.0)])], "scan_id long, seq long, x0 double, y0 double, x1 double, y1 double")
+    maps = fl.floor_maps(points, spark.createDataFrame([(1, 0.0, None)], "scan_id long, floor_z double, ceiling_z double"), edges, edges, 0.5)
+    for df in (level, first, maps):
+        df.explain()
+        assert "ExistingRDD" not in capsys.readouterr().out
+    assert {r.move_id: r.blamed_beat for r in level.collect()} == {0: None, 1: 0}
+    assert {r.move_id: r.problems for r in first.collect()} == {0: "", 1: "floor under the track varies by 60 mm and needs cribbing"}
