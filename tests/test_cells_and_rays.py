@@ -195,3 +195,27 @@ def test_observed_volume_and_shell_of_a_closed_room(spark):
     assert sets_of(completed, ["i", "j", "k"])[1] == {tuple(x + 1 for x in c) for c in solid | {c for c in inside if 0 in c or n - 1 in c}}
     few = cp.complete_shell(spark.createDataFrame(pts), cams.where("cam_id = 0"), shifted, grids, 0.5, 1, 1.0)
     assert few[2].first().reason == "no camera poses" and few[0].count() == len(solid) and few[1].count() == 0
+
+
+def test_lines_are_dealt_out_not_copies_of_cells(spark):
+    """Closing, shrinking and skins equal plain loops on crowded and sparse sets, and no shuffle reads more rows than a set on its way has cells."""
+    rng = np.random.default_rng(12)
+    held = {(s, *map(int, c)) for s, size in ((1, 9), (2, 40)) for c in rng.integers(-size, size, (150, 2))} | {(3, 5, 5)}
+    df = spark.createDataFrame(sorted(held), "scan_id long, i long, j long")
+
+    def grow(cells, r, faces):
+        return {(s, i + a, j + b) for s, i, j in cells for a in range(-r, r + 1) for b in range(-r, r + 1) if not faces or abs(a) + abs(b) <= r}
+
+    def shrink(cells, r, faces):
+        return {(s, i, j) for s, i, j in cells if grow({(s, i, j)}, r, faces) <= cells}
+
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    for r in (1, 2, 5):
+        for kind in ("all", "faces"):
+            assert rows(cl.close_cells(df, ["i", "j"], r, kind)) == sorted(shrink(grow(held, r, kind == "faces"), r, kind == "faces"))
+    assert rows(cl.erode_cells(df, ["i", "j"], "faces")) == sorted(shrink(held, 1, True))
+    assert rows(cl.boundary_shell(df, ["i", "j"])) == sorted(held - shrink(held, 1, True))
+    radius = df.withColumn("r", F.col("scan_id").cast("int"))
+    assert rows(cl.close_by(radius, ["i", "j"], "r", ["scan_id"])) == sorted(c for s in (1, 2, 3) for c in shrink(grow({h for h in held if h[0] == s}, s, False), s, False))
+    plan = cl.close_cells(df, ["i", "j"], 2)._jdf.queryExecution().toString()
+    assert "HashAggregate" not in plan
