@@ -219,3 +219,38 @@ def test_lines_are_dealt_out_not_copies_of_cells(spark):
     assert rows(cl.close_by(radius, ["i", "j"], "r", ["scan_id"])) == sorted(c for s in (1, 2, 3) for c in shrink(grow({h for h in held if h[0] == s}, s, False), s, False))
     plan = cl.close_cells(df, ["i", "j"], 2)._jdf.queryExecution().toString()
     assert "HashAggregate" not in plan
+
+
+def test_edges_of_one_place_are_contracted_in_one_round(spark, monkeypatch):
+    """A chain of touching runs needs no round but the one that finds nothing to do; a bound on what is held at once changes nothing."""
+    rng = np.random.default_rng(13)
+    held = {(s, *map(int, c)) for s, size in ((1, 12), (2, 30)) for c in rng.integers(0, size, (400, 3 if s == 3 else 2))} | {(3, i, 0) for i in range(700)}
+    df = spark.createDataFrame(sorted(held), "scan_id long, i long, j long")
+
+    def parts(neighbours):
+        left, out = set(held), set()
+        while left:
+            todo, part = [left.pop()], set()
+            while todo:
+                s, i, j = c = todo.pop()
+                part.add(c)
+                for a, b in neighbours:
+                    if (n := (s, i + a, j + b)) in left:
+                        left.remove(n)
+                        todo.append(n)
+            out.add(frozenset(part))
+        return out
+
+    cross = [(1, 0), (-1, 0), (0, 1), (0, -1)]
+    for at_once in (200_000, 64):
+        monkeypatch.setattr(cl, "AT_ONCE", at_once)
+        for kind, near in (("faces", cross), ("all", [*cross, (1, 1), (1, -1), (-1, 1), (-1, -1)])):
+            got: dict = {}
+            for r in cl.cell_components(df, ["i", "j"], kind).collect():
+                got.setdefault((r.scan_id, r.label), set()).add((r.scan_id, r.i, r.j))
+            assert {frozenset(p) for p in got.values()} == parts(near)
+    monkeypatch.setattr(cl, "AT_ONCE", 200_000)
+    writes = []
+    monkeypatch.setattr(cl, "cut_lineage", lambda d, cut=cl.cut_lineage: writes.append(1) or cut(d))
+    cl.cell_components(df.where("scan_id = 3 AND i < 250"), ["i", "j"]).count()
+    assert len(writes) <= 3  # the runs, the stars, and the same stars again
