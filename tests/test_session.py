@@ -53,3 +53,19 @@ def test_a_task_reads_little_of_a_shuffle(by_rows):
     by_rows.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
     rows = by_rows.range(5_000_000).select(F.xxhash64("id").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     assert rows.select(F.spark_partition_id().alias("p"), "k").groupBy("p").agg(F.count("k")).count() > 2
+
+
+def test_little_is_broadcast_and_a_lower_limit_of_the_session_stays(by_rows):
+    """A table of some megabytes is shuffled: dozens of those in one query are what fills a driver."""
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    try:
+        edges = session.cut_lineage(by_rows.range(200_000).select((F.col("id") % 3).alias("scan_id"), "id", F.lit(0).cast("long").alias("b")))
+        assert session.BROADCAST_BYTES < _size(edges) < 10 * 1024**2
+        plan = by_rows.range(9_000_000).join(edges, "id")._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" not in plan
+        for own in ("256k", "-1"):
+            by_rows.conf.set(conf, own)
+            session.plan_by_rows(by_rows)
+            assert by_rows.conf.get(conf) == own
+    finally:
+        by_rows.conf.unset(conf)
