@@ -64,6 +64,25 @@ def test_knn_matches_brute_force_with_clusters_and_copies(spark, leaf):
     assert (got.id.to_numpy().reshape(-1, 5) == order).all()
 
 
+@pytest.mark.parametrize("leaf", [1024, 24])
+def test_moments_of_neighbourhoods_stay_in_the_task_that_found_them(spark, leaf):
+    """Moments equal brute force with copies and with trees; a location is one row once its neighbours are known, and nothing gathers them again."""
+    rng = np.random.default_rng(6)
+    p = np.concatenate([rng.uniform(0, 3, (300, 3)), np.repeat([[1.0, 1.0, 1.0]], 40, 0)])
+    df = spark.createDataFrame(pd.DataFrame(p, columns=list("xyz")).assign(scan_id=1, point_id=np.arange(len(p)))).select("scan_id", "point_id", "x", "y", "z")
+    sums = knn.knn_moments(df, 6, leaf)
+    got = {(r.x, r.y, r.z): r for r in sums.collect()}
+    assert len(got) == 301
+    for at in p[:301]:
+        near = np.concatenate([p[:301], np.repeat(p[-1:], 5, 0)])  # six copies of a place are as many as can count
+        rel = (near - at)[np.argsort(((near - at) ** 2).sum(1), kind="stable")[:6]]
+        r = got[tuple(at)]
+        assert r.n == 6 and [r.mx, r.my, r.mz] == pytest.approx(rel.sum(0)) and [r.mxx, r.mxy, r.mxz, r.myy, r.myz, r.mzz] == pytest.approx((rel.T @ rel)[np.triu_indices(3)])
+    if leaf == 1024:
+        plan = sums._jdf.queryExecution().optimizedPlan().toString()
+        assert not {"Aggregate", "Join"} & set(plan[: plan.index("_block_moments")].split())
+
+
 def test_knn_with_one_stray_point(spark):
     """A return 100 km away neither pairs the rest with itself nor changes their neighbours."""
     rng = np.random.default_rng(11)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from scanfleet import session
 from scanfleet.operators import knn
 
-CONFS = ("spark.sql.cbo.planStats.enabled", "spark.sql.sources.fileCompressionFactor", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")
+CONFS = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.cbo.planStats.enabled", "spark.sql.sources.fileCompressionFactor", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")
 
 
 @pytest.fixture
@@ -69,3 +69,24 @@ def test_little_is_broadcast_and_a_lower_limit_of_the_session_stays(by_rows):
             assert by_rows.conf.get(conf) == own
     finally:
         by_rows.conf.unset(conf)
+
+
+def test_what_a_query_shuffled_goes_when_it_ends(by_rows):
+    """Shuffles of steps long written would otherwise stay on disk until the driver collects garbage. A result may still be read twice."""
+    disk = by_rows._jsc.sc().env().blockManager().diskBlockManager()
+    rows = by_rows.range(200_000).select((F.col("id") % 1009).alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    before = disk.getAllFiles().size()
+    kept = session.cut_lineage(rows.join(rows.withColumnRenamed("n", "m"), "a"))
+    assert kept.count() == 1009 and disk.getAllFiles().size() <= before
+    total = rows.groupBy(F.col("n") > 198).agg(F.sum("n").alias("s"))
+    assert total.collect() == total.collect()
+
+
+def test_tables_of_a_step_go_with_it(by_rows):
+    """Only the result of a step is left of what was written for it, and of the tables it was the last to read."""
+    first = session.cut_lineage(by_rows.range(100).select("id"))
+    left = set(session._stages)
+    out = session.settled(lambda: session.cut_lineage(first.where("id < 50")).where("id < 20"))
+    assert out.count() == 20 and len(set(session._stages) - left) == 1
+    last = session.settled(lambda: out.where("id < 5"), out, first)
+    assert last.count() == 5 and len(set(session._stages)) == len(left)
