@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from scanfleet import session
 from scanfleet.operators import capture as cp
 from scanfleet.operators import cells as cl
 from scanfleet.operators import moves as mv
@@ -254,3 +255,28 @@ def test_edges_of_one_place_are_contracted_in_one_round(spark, monkeypatch):
     monkeypatch.setattr(cl, "cut_lineage", lambda d, cut=cl.cut_lineage: writes.append(1) or cut(d))
     cl.cell_components(df.where("scan_id = 3 AND i < 250"), ["i", "j"]).count()
     assert len(writes) <= 3  # the runs, the stars, and the same stars again
+
+
+def test_scans_that_stay_together_are_dealt_out_once(spark):
+    """Closing gives the same cells, but its lines along three axes are not dealt out anew for each; rounds of a search leave one table of edges, not one each."""
+    rng = np.random.default_rng(14)
+    held = sorted({(s, *map(int, c)) for s in (1, 2, 3) for c in rng.integers(0, 8, (120, 3))})
+    df = spark.createDataFrame(held, "scan_id long, i long, j long, k long")
+    session.plan_by_rows(spark)
+    try:
+        spread = cl.close_cells(df, ["i", "j", "k"], 2, "faces")
+        want, by_line = sorted(map(tuple, spread.collect())), spread._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        session.keep_scans_together(spark)
+        kept = cl.close_cells(df, ["i", "j", "k"], 2, "faces")
+        assert sorted(map(tuple, kept.collect())) == want
+        plan = cl.close_cells(df, ["i", "j", "k"], 2, "faces")._jdf.queryExecution().sparkPlan().toString()
+        assert "Exchange hashpartitioning(scan_id" in plan and by_line > 3
+        left = set(session._stages)
+        chain = spark.range(1, 4000).select(F.lit(1).cast("long").alias("scan_id"), (F.col("id") * 7919 % 4001).alias("a"), ((F.col("id") + 1) * 7919 % 4001).alias("b"))
+        nodes = chain.select("scan_id", F.col("a").alias("id")).union(chain.select("scan_id", F.col("b").alias("id")))
+        assert cl.connected_components(chain, nodes).select("component").distinct().count() == 1
+        assert len(set(session._stages) - left) == 1
+    finally:
+        session.plan_by_rows(spark)
+        for c in ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.cbo.planStats.enabled", "spark.sql.sources.fileCompressionFactor", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(c)

@@ -23,7 +23,7 @@ def tables(spark, tmp_path):
     lines = pd.DataFrame({"l_orderkey": n, "l_partkey": n, "l_suppkey": n % 40, "l_linenumber": (n % 7).astype("int32"), "l_quantity": (n % 50 + 1).astype(float)})
     spark.createDataFrame(lines).write.parquet(f"{tmp_path}/lineitem.parquet")
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
     yield str(tmp_path)
     session.plan_by_rows(spark)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
