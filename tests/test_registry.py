@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from scanfleet.operators import cells as cl
 
 DIR = "/root/testdata/sf0.001"
 FAST = [
@@ -38,3 +39,13 @@ def test_agrees_with_oracle(spark, name):
     got = sorted((tuple(norm(v) for v in r) for r in df.select(*sorted(df.columns)).collect()), key=key)
     exp = sorted((tuple(norm(r[i]) for i in order) for r in cur.fetchall()), key=key)
     assert got == exp
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="test tables not present")
+def test_observed_volume_closes_further_the_second_time(spark, monkeypatch):
+    """Its query takes the operator's own radii, on voxels that tell them apart: a second closing by no more than the first would change nothing."""
+    radii = []
+    monkeypatch.setattr(cl, "close_cells", lambda cells, axes, r, *rest: radii.append(r) or cells)
+    monkeypatch.setattr(cl, "fill_holes", lambda cells, axes: cells)
+    entry.queries()["observed_volume"](spark, DIR)
+    assert radii == [2, 3]
