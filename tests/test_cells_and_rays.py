@@ -257,6 +257,19 @@ def test_edges_of_one_place_are_contracted_in_one_round(spark, monkeypatch):
     assert len(writes) <= 3  # the runs, the stars, and the same stars again
 
 
+def test_a_shell_leaves_no_tables_of_its_steps(spark):
+    """What closing, filling and searching wrote on the way goes with each step; only what the results read is left."""
+    free = table(spark, {1: set(itertools.product(range(1, 9), repeat=3)) - {(4, 4, 4)}}, ["i", "j", "k"])
+    walls = table(spark, {1: {c for c in itertools.product(range(10), repeat=3) if 0 in c or 9 in c}}, ["i", "j", "k"])
+    pts = walls.select("scan_id", F.xxhash64("i", "j", "k").alias("point_id"), *[((F.col(c) + 0.5) * 0.5).alias(a) for a, c in zip("xyz", "ijk")])
+    cams = spark.createDataFrame([(1, k, 2.0 + 0.3 * k, 2.2, 2.4) for k in range(3)], "scan_id long, cam_id long, x double, y double, z double")
+    grids = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 10, 10, 10, 0.5)], "scan_id long, ox double, oy double, oz double, dim_x long, dim_y long, dim_z long, voxel double")
+    left = set(session._stages)
+    stats = cp.complete_shell(pts, cams, walls, grids, 0.5, 1, 1.0)[2]
+    assert len(set(session._stages) - left) <= 6  # walls, shares, scans, volume, shell, inferred
+    assert stats.first().swept_voxels == free.count() + 1
+
+
 def test_scans_that_stay_together_are_dealt_out_once(spark):
     """Closing gives the same cells, but its lines along three axes are not dealt out anew for each; rounds of a search leave one table of edges, not one each."""
     rng = np.random.default_rng(14)
